@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import html_extract, langid, media_avi
 
-MODULES = [langid]
+MODULES = [langid, html_extract, media_avi]
 
 
 def queries() -> dict:
