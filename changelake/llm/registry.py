@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_extract, langid, media_avi
+from . import html_extract, langid, media_avi, toxicity
 
-MODULES = [langid, html_extract, media_avi]
+MODULES = [langid, html_extract, media_avi, toxicity]
 
 
 def queries() -> dict:
