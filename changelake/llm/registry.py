@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, langid, media_avi, mixing, toxicity
+from . import decontaminate, html_extract, langid, media_avi, mixing, secret_scan, toxicity
 
-MODULES = [langid, html_extract, decontaminate, mixing, media_avi, toxicity]
+MODULES = [langid, html_extract, decontaminate, mixing, secret_scan, media_avi, toxicity]
 
 
 def queries() -> dict:
