@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, langid, media_avi, mixing, secret_scan, toxicity
+from . import decontaminate, html_extract, langid, media_avi, mixing, ngram_join, secret_scan, toxicity
 
-MODULES = [langid, html_extract, decontaminate, mixing, secret_scan, media_avi, toxicity]
+MODULES = [langid, html_extract, decontaminate, mixing, secret_scan, ngram_join, media_avi, toxicity]
 
 
 def queries() -> dict:

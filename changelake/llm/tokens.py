@@ -8,6 +8,10 @@ bytes (one text at least), which bounds memory whatever the batch size.
 
 from __future__ import annotations
 
+import io
+import pathlib
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,7 +154,24 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, out_at
 
 
+def ship(spark) -> None:
+    """Send this package to the executors, once a session: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_changelake_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent.parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(p.relative_to(root.parent))), p.read_text())
+    path = pathlib.Path(tempfile.mkdtemp(), "changelake_package.zip")
+    path.write_bytes(held.getvalue())
+    context.addPyFile(str(path))
+    context._changelake_shipped = True
+
+
 def small_batches(spark, rows: int = 512, size: int = 8 << 20) -> None:
-    """Bound what goes to Python at once: long texts must not meet in one batch."""
+    """Ready a session: bound what goes to Python at once, as long texts must not meet in one batch."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
