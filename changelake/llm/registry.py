@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, langid, media_avi, mixing, ngram_join, secret_scan, toxicity
+from . import chat_tools, decontaminate, html_extract, langid, license_scan, media_avi, mixing, ngram_join, secret_scan, toxicity
 
-MODULES = [langid, html_extract, decontaminate, mixing, secret_scan, ngram_join, media_avi, toxicity]
+MODULES = [langid, html_extract, chat_tools, decontaminate, mixing, secret_scan, ngram_join, license_scan, media_avi, toxicity]
 
 
 def queries() -> dict:
