@@ -111,7 +111,8 @@ def mix(docs: DataFrame, keep: list[str] = ("doc_id",), key: str = "doc_id", sou
     part = F.greatest(F.lit(0), F.least(F.col("size"), quota - passes * F.col("source_size") - F.col("before")))
     out = out.withColumn("taken", (F.col("size") * passes + part).cast("long"))
     position = F.when((F.col("taken") > 0) & (F.col("target") > 0), time(F.col("before") / F.col("target")))
-    return out.select(*keep, "size", "source_size", "target", "taken", position.alias("position")).repartitionByRange(F.col("position").asc_nulls_last(), *keep[:1]).sortWithinPartitions(F.col("position").asc_nulls_last(), *keep[:1])
+    in_order = [F.col("position").asc_nulls_last(), *([key] if key in keep else [])]
+    return out.select(*keep, "size", "source_size", "target", "taken", position.alias("position")).repartitionByRange(*in_order).sortWithinPartitions(*in_order)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,81 @@
-"""A corpus pipeline over ``documents``, one stage per operator."""
+"""A corpus pipeline over ``documents``: five stages, each one operator.
+
+Every stage takes all rows its predecessor kept, and all but the last return the
+columns of ``documents``.  Nulls in any column pass; a null or empty text is kept
+by every stage but the last, which takes only documents with words.  Rows that
+share a doc_id are one document to the join stage: the smallest of them stays.
+Rows without a doc_id cannot be named as members of a group and always stay.
+Further columns of the input are carried along.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from changelake.llm import decontaminate, mixing, ngram_join, secret_scan, tokens, toxicity
+from changelake.llm.scratch import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain calls toxic go."""
+    tokens.small_batches(spark)
+    model = toxicity.fit_documents(spark, docs, sf_dir)
+    scored = toxicity.score(docs, model, list(toxicity.CATEGORIES), keep=docs.columns)
+    return scored.where(~F.col("is_toxic")).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingle similarity the one with the smallest doc_id stays."""
+    tokens.small_batches(spark)
+    groups = ngram_join.join(docs)
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    rest = [c for c in docs.columns if c != "doc_id"]
+    firsts = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("first")).select("doc_id", "first.*")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(firsts)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    tokens.small_batches(spark)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are blotted out of the texts; n_chars follows."""
+    tokens.small_batches(spark)
+    return secret_scan.redact(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with words taken and training position, in training order."""
+    return mixing.mix(docs, keep=docs.columns).where("taken > 0")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+]
+#: A trained classifier and a random field can't be put in SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over ``documents``; each result is written and read again."""
+    scratch = Scratch(spark)
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        new = scratch.save(stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.drop(last)
+        docs = last = new
+    return STAGES[-1][1](spark, docs, sf_dir)
