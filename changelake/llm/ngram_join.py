@@ -49,8 +49,8 @@ from .scratch import Scratch
 WORDS, PERCENT = 5, 75
 BLOCK, LARGEST_BLOCK, SALT = 128, 8192, 200_000
 #: Shingles pooled before counting, how often one must come there, and how many of the most frequent are moved last.
-POOL, OFTEN, HOT = 1 << 21, 3, 1 << 16
-GROUP_KEYS, CHUNK_KEYS, BLOOM = 1_500_000, 400_000, 1 << 23
+POOL, OFTEN, HOT = 1 << 22, 2, 1 << 17
+GROUP_KEYS, CHUNK_KEYS, BLOOM = 3_000_000, 400_000, 1 << 23
 _U = np.uint64
 
 
@@ -217,11 +217,12 @@ def _clusters_of(table: pa.Table) -> pa.Table:
 # --- clusters in tasks ---------------------------------------------------------------------
 
 
-def _blocked(clusters: DataFrame, scratch_size: int = BLOCK) -> DataFrame:
+def _blocked(clusters: DataFrame, scratch: Scratch) -> DataFrame:
     """Add i and j: the pair of blocks of a large cluster that meets; 0 and 0 of a small one."""
-    large = clusters.groupBy("centre").count().where(F.col("count") > scratch_size)
-    block = F.least(F.greatest(F.floor(F.col("count") / 128), F.lit(scratch_size)), F.lit(LARGEST_BLOCK))
-    large = large.select("centre", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    large = clusters.groupBy("centre").count().where(F.col("count") > BLOCK)
+    block = F.least(F.greatest(F.floor(F.col("count") / 128), F.lit(BLOCK)), F.lit(LARGEST_BLOCK))
+    # Few rows: written first, so that the join below knows their size and need not deal a large cluster to one task.
+    large = scratch.save(large.select("centre", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     mine = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     met = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine")), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
@@ -449,7 +450,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     packed = source.select("text").mapInArrow(_packed_keys(groups, hot, rank, hot[seen >= SALT]), "p long, direct long, digests binary, counts binary, keys binary")
     clusters = scratch.save(packed.groupBy("p").applyInArrow(_clusters_of, "centre binary, member binary").distinct())
 
-    signed = _blocked(clusters).join(classes.select(F.col("d").alias("member"), "n", "bits"), "member")
+    signed = _blocked(clusters, scratch).join(classes.select(F.col("d").alias("member"), "n", "bits"), "member")
     signed = signed.select("centre", "i", "j", F.col("centre").alias("c"), "member", "n", "bits").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
     kept = scratch.save(signed.mapInArrow(_survivors, "centre binary, member binary").distinct())
     scratch.drop(clusters)
@@ -474,7 +475,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     found = source.select("key", place("key").alias("h"), "text").mapInArrow(wanted_sets, f"key {kind}, d binary, set binary")
     sets = found.join(needed, ["d"]).where(F.col("key").eqNullSafe(F.col("rep"))).select(F.col("d").alias("member"), "set")
-    compared = _blocked(kept).join(sets, "member").select("centre", "i", "j", "member", "set").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    compared = _blocked(kept, scratch).join(sets, "member").select("centre", "i", "j", "member", "set").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
     links = compared.mapInArrow(_links, "a binary, b binary")
     labels = components(links, scratch)
 
