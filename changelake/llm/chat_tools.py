@@ -1,15 +1,15 @@
 """Tool-call linking for chat transcripts, from DataFrame functions only.
 
 Calls and results are hash-joined by conversation and identifier.  A call may
-wait for results of other calls; calls are ordered topologically by peeling off,
-round by round, those that wait for nothing left.  Arguments are validated
+wait for results of other calls, and calls are ordered topologically.  Arguments are validated
 against schemas, and each linked pair is serialised as canonical JSON: keys in
 code point order, no white space, numbers in their shortest form.
 
 Every join is on conversation *and* call, so a conversation with a third of all
 rows is spread like any other; nothing gathers a conversation in one task.  The
-place of a call is (level, seq), which needs no ranking.  A round of peeling
-costs a join; there are as many as the longest chain of waiting calls.
+place of a call is (level, seq), which needs no ranking.  Where each call waits
+for one other at most, levels come from pointer doubling, in as many rounds as
+the logarithm of the longest chain; else calls are peeled off, a round a level.
 
 Edge cases: a call without a result has status ``open``; a result without a call
 ``orphan``; of several calls, or several results, with one identifier the one of
@@ -70,14 +70,38 @@ def levels(calls: DataFrame, waits: DataFrame, scratch: Scratch) -> DataFrame:
     keys = ["conv_id", "call_id"]
     known = calls.select(*keys)
     edges = scratch.save(waits.join(known, keys).join(known.withColumnRenamed("call_id", "on"), ["conv_id", "on"]).select(*keys, "on").distinct())
-    done = scratch.save(known.join(edges, keys, "left_anti").withColumn("level", F.lit(0)))
-    parts, level = [done], 0
+    several = edges.groupBy(*keys).count().where("count > 1").limit(1).count()
+    out = _peeled(known, edges, scratch) if several else _doubled(known, edges, scratch)
+    scratch.drop(edges)
+    return out
+
+
+def _doubled(known: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Levels where a call waits for one other at most: each round looks twice as far back."""
+    keys = ["conv_id", "call_id"]
+    state = scratch.save(known.join(edges, keys, "left").withColumn("level", F.when(F.col("on").isNull(), 0).otherwise(1).cast("long")))
+    waiting = state.where(F.col("on").isNotNull()).count()
+    reach, longest = 1, waiting
+    while waiting and reach <= longest:  # no chain is longer than there are waiting calls; what waits then is in or behind a cycle
+        far = state.select("conv_id", F.col("call_id").alias("on"), F.col("on").alias("next"), F.col("level").alias("more"))
+        jumped = state.where(F.col("on").isNotNull()).join(far, ["conv_id", "on"]).select(*keys, F.col("next").alias("on"), (F.col("level") + F.col("more")).alias("level"))
+        new = scratch.save(state.where(F.col("on").isNull()).select(*keys, "on", "level").unionByName(jumped))
+        scratch.drop(state)
+        state, reach = new, reach * 2
+        waiting = state.where(F.col("on").isNotNull()).count()
+    return state.select(*keys, F.when(F.col("on").isNull(), F.col("level")).alias("level"))
+
+
+def _peeled(known: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Levels of any graph, one round for each level."""
+    keys = ["conv_id", "call_id"]
+    parts = [scratch.save(known.join(edges, keys, "left_anti").withColumn("level", F.lit(0).cast("long")))]
     while True:
         # An edge is met once the call waited for has a level; what has no edge left comes next.
-        level += 1
         left = scratch.save(edges.join(parts[-1].select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti").select(*keys, "on"))
-        ready = scratch.save(edges.select(*keys).distinct().join(left, keys, "left_anti").withColumn("level", F.lit(level)))
-        scratch.drop(edges)
+        ready = scratch.save(edges.select(*keys).distinct().join(left, keys, "left_anti").withColumn("level", F.lit(len(parts)).cast("long")))
+        if len(parts) > 1:
+            scratch.drop(edges)
         edges = left
         if ready.isEmpty():
             scratch.drop(ready, edges)
