@@ -78,7 +78,7 @@ def _keys(strategy, prefix, extension, compression):
     return f
 
 
-_MS = "CAST(epoch_ms(cluster_time) AS VARCHAR)"
+_MS = "CAST(epoch_us(cluster_time) // 1000 AS VARCHAR)"
 query(CHG + f"SELECT event_id, concat('data/collection=', collection, strftime(cluster_time, '/year=%Y/month=%m/day=%d/hour=%H/'), {_MS}, '.jsonl.gz') AS object_key FROM chg")(_keys("hive", "data", "jsonl", ".gz"))
 query(CHG + f"SELECT event_id, concat('events/', collection, strftime(cluster_time, '/%Y/%m/%d/%H/'), {_MS}, '.csv') AS object_key FROM chg")(_keys("date_hour", "events", "csv", ""))
 query(CHG + f"SELECT event_id, concat('daily/', collection, strftime(cluster_time, '/%Y/%m/%d/'), {_MS}, '.parquet.zst') AS object_key FROM chg")(_keys("date", "daily", "parquet", ".zst"))

@@ -85,8 +85,7 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
         e = spark.read.text(path).select(F.from_json("value", shape).alias("e")).select("e.*")
         return e.select(F.col("operationType").alias("operation"), "ns.database", "ns.collection", F.col("clusterTime").alias("cluster_time"), F.col("documentKey").alias("document_key"), F.col("fullDocument").alias("full_document"), F.col("_id").alias("resume_token"))
     if fmt == "csv":
-        shape = "operation string, database string, cluster_time string, document_key string, full_document string, resume_token string, collection string"
-        return from_text(spark.read.schema(shape).option("header", True).option("escape", '"').option("enforceSchema", False).csv(path))
+        return from_text(spark.read.option("header", True).option("escape", '"').csv(path))  # columns by the header's names, all text
     return from_text(read_avro(spark, path))
 
 
@@ -95,7 +94,7 @@ def from_text(rows: DataFrame) -> DataFrame:
     shown = F.col("operation")
     operation = F.coalesce(F.nullif(F.regexp_extract(shown, r'^Unknown\("(.*)"\)$', 1), F.lit("")), F.lower(shown))
     null = lambda c: F.nullif(F.col(c), F.lit(""))
-    return rows.select(operation.alias("operation"), "database", "collection", F.to_timestamp("cluster_time").alias("cluster_time"), null("document_key").alias("document_key"), null("full_document").alias("full_document"), "resume_token")
+    return rows.select(operation.alias("operation"), F.coalesce("database", F.lit("")).alias("database"), F.col("collection").cast("string").alias("collection"), F.to_timestamp("cluster_time").alias("cluster_time"), null("document_key").alias("document_key"), null("full_document").alias("full_document"), "resume_token")
 
 
 def read_avro(spark: SparkSession, path: str) -> DataFrame:

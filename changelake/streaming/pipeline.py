@@ -64,6 +64,7 @@ class Pipeline:
         self.config, self.raw, self.destination, self.store, self.checkpoint, self.sequence = config, raw, destination, store, checkpoint, sequence
         self.owner = f"changelake-{uuid.uuid4()}"
         self.stats, self.query, self.keepers = Stats(), None, []
+        self.newest: dict[str, tuple] = {}  # the furthest event of each key: a token never goes back
         self.guard = threading.Lock()
         self.lost_lock = threading.Event()
 
@@ -114,12 +115,10 @@ class Pipeline:
                 return
             write_with_retry(lambda: self.destination.write_batch(batch, epoch), self.config.max_retries, self.config.retry_delay, self.config.max_retry_delay, self.stats)
             self.destination.flush()
-            newest: dict[str, tuple] = {}
             for r in found:
                 key = level.resume_token_key(self.config.database, r.collection if level.kind == "collection" else None)
-                newest[key] = max(newest.get(key, ((), "")), (tuple(r["last"]["at"]), r["last"]["resume_token"]))
-            for key, (_, token) in newest.items():
-                self.store.save(key, token)
+                self.newest[key] = max(self.newest.get(key, ((), "")), (tuple(r["last"]["at"]), r["last"]["resume_token"]))
+                self.store.save(key, self.newest[key][1])
             with self.guard:
                 for r in found:
                     self.stats.events_processed += r.n
