@@ -47,7 +47,7 @@ from . import tokens
 from .scratch import Scratch
 
 WORDS, PERCENT = 5, 75
-BLOCK, LARGEST_BLOCK, SALT = 128, 8192, 200_000
+BLOCK, LARGEST_BLOCK, SALT = 256, 8192, 200_000
 #: Shingles pooled before counting, how often one must come there, and how many of the most frequent are moved last.
 POOL, OFTEN, HOT = 1 << 22, 2, 1 << 17
 GROUP_KEYS, CHUNK_KEYS, BLOOM = 3_000_000, 400_000, 1 << 23
@@ -63,6 +63,17 @@ def _sets(values: list[bytes]) -> Iterator[tuple[int, np.ndarray, bytes | None]]
             yield w.first + i, u, hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None
 
 
+def _six(u: np.ndarray) -> bytes:
+    """A set for comparing: six bytes of each hash, of which any two texts' differ but once in 10**8 pairs."""
+    return u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
 def bitmap(u: np.ndarray) -> bytes:
     """Two bits or more a token, as a power of two from 2**8 to 2**14."""
     k = min(14, max(8, int(2 * len(u) - 1).bit_length()))
@@ -120,6 +131,11 @@ def _summaries(key_type: pa.DataType):
     return run
 
 
+def _as_bytes(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c in b.columns], b.schema.names)
+
+
 # --- pass 2: prefix shingles, packed by hash partition -------------------------------------
 
 
@@ -383,7 +399,7 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def _links(batches):
     a, b = [], []
     for d, sets in _groups(batches, 2):
-        one = {x: np.frombuffer(s, _U) for x, s in zip(d, sets, strict=True)}
+        one = {x: _from_six(s) for x, s in zip(d, sets, strict=True)}
         names = sorted(one)
         for x, y in spanning_links([one[k] for k in names]) if len(names) > 1 else ():
             a.append(names[x])
@@ -438,9 +454,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
 
     # At most HOT shingles and counts, however many rows there are; any order of them is right.
-    often = told.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "hash").limit(HOT).collect()
-    hot = np.array([r[0] for r in often], np.int64).view(_U)
-    seen = np.array([r[1] for r in often], np.int64)
+    often = told.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "hash").limit(HOT)
+    found = [(bytes(r[0]), bytes(r[1])) for r in often.mapInArrow(_as_bytes, "hash binary, seen binary").collect()]
+    hot = np.frombuffer(b"".join(r[0] for r in found), _U)
+    seen = np.frombuffer(b"".join(r[1] for r in found), np.int64)
     order = np.argsort(hot)
     hot, seen = hot[order], seen[order]
     rank = np.empty(len(hot), np.int64)
@@ -469,7 +486,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             for i, u, digest in _sets(tokens.texts(b.column(2))):
                 if digest is not None and (keys[i], digest) not in known:
                     known.add((keys[i], digest))
-                    out.append((i, digest, u.tobytes()))
+                    out.append((i, digest, _six(u)))
             if out:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in out])), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], ["key", "d", "set"])
 
