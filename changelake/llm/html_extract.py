@@ -60,13 +60,14 @@ def _boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[str], list[int]]:
-    """Lines of text, and the weight of each."""
+def lines(page: str) -> tuple[list[str], list[int], bool]:
+    """Lines of text, the weight of each, and whether the page marks an article."""
     out: list[str] = []
     weights: list[int] = []
     inner: list[bool] = []
     text: list[str] = []
     size = linked = depth = 0  # depth: of article and main elements that are open
+    marked = False  # whether there is such an element at all
     link = False
     dropped, level = "", 0  # the element that is being dropped, and how many of its name are open
 
@@ -124,21 +125,21 @@ def lines(page: str) -> tuple[list[str], list[int]]:
             end()
             if name in ("article", "main"):
                 depth = max(0, depth - 1) if closing else depth + 1
+                marked |= not closing
     add(page[at:])
     end()
-    if any(inner):
+    if marked:
         weights = [abs(w) if i else 0 for w, i in zip(weights, inner, strict=True)]
     else:
         weights = [max(0, w) for w in weights]
-    return out, weights
+    return out, weights, marked
 
 
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Text between surge and dive points of a page's line-block distribution."""
     if not page:
         return ""
-    found, weights = lines(page)
-    marked = bool(re.search(r"<(?:article|main)[\s>]", page, re.I))
+    found, weights, marked = lines(page)
     least = 0 if marked else surge
     n = len(found)
     total = [0] * (n + window)

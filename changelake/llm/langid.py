@@ -128,7 +128,7 @@ def predict_rows(model: dict | None, values: list[str | None]) -> tuple[list[str
                 level = model["within"][name]
                 best, q = _choose(level, x[at])
                 lang[at] = np.array(level["names"], dtype=object)[best]
-                score[at] = np.clip(p[at] * q, 0, 1)
+                score[at] = np.round(np.clip(p[at] * q, 0, 1), 6)  # the last digits depend on what else is in a batch
     return lang.tolist(), score.tolist()
 
 
