@@ -439,7 +439,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row of ``docs``."""
+    """(key, n_shingles, component_id) of every row of ``docs``.
+
+    Two small tables in the scratch folder outlive the call, as the result reads
+    them: digests and names of components; they go with the folder.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))

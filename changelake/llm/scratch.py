@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            if not spark.sparkContext.master.startswith("local["):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = f"{tempfile.gettempdir()}/changelake-checkpoints"
         self.root = f"{root.rstrip('/')}/changelake/{uuid.uuid4().hex}"
