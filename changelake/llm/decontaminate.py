@@ -18,7 +18,7 @@ without a shuffle.  No text is shortened and no hit is dropped.
 
 Edge cases: null or empty texts and items never match; repeated items and texts
 match alike; an empty benchmark or table gives an empty result; further columns
-are passed through by ``clean`` and ignored by ``overlaps``.
+of any name are passed through by ``clean`` and ignored by ``overlaps``.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
+from .scratch import Scratch
 
 #: Positions that a mask keeps; each has weight 6.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 7, 8), (0, 2, 3, 6, 7, 9), (0, 1, 4, 5, 6, 10), (0, 3, 5, 6, 8, 9))
@@ -149,8 +150,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text overlaps no benchmark item."""
+    wanted = docs.columns
+    words = tokens.free_name(wanted)
     for k, block in enumerate(blocks(benchmark), 1):
-        wanted = docs.columns
 
         def run(batches, block=block):
             maybe = block.filter()
@@ -159,9 +161,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
                 kept = pa.array([i not in bad for i in range(b.num_rows)])
                 yield pa.RecordBatch.from_arrays([c.filter(kept) for c in b.columns[:-1]], b.schema.names[:-1])
 
-        docs = docs.withColumn("__text", F.col(text).cast("binary")).mapInArrow(run, docs.schema).select(*wanted)
+        docs = docs.withColumn(words, F.col(text).cast("binary")).mapInArrow(run, docs.schema)
         if k % 4 == 0:  # a long benchmark: no more than four passes stand in one stage
-            docs = docs.checkpoint()
+            docs = Scratch(docs.sparkSession).save(docs)
     return docs
 
 

@@ -17,7 +17,8 @@ task.
 Edge cases: null text has size 0; a null source is a source of its own, last in
 order; a null key is hashed as empty; rows that repeat are taken like different
 documents; a source without words has target 0, and its documents are not taken;
-an empty table gives an empty result; further columns are ignored.
+an empty table gives an empty result; further columns are ignored, and kept ones
+may have any name, but one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 MOST = 3
 WORD = r"[^\x20\x09-\x0D]+"
+RESULTS = ("size", "source_size", "target", "taken", "position")
 Schedule = list[tuple[float, float]]
 
 
@@ -93,7 +95,9 @@ def mix(docs: DataFrame, keep: list[str] = ("doc_id",), key: str = "doc_id", sou
     schedules = schedules or {}
     skey = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~"))  # a null source sorts last
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    sized = docs.select(*keep, skey.alias("skey"), words(text).alias("size"), digest.alias("place"), F.substring(digest, 1, digits).alias("bucket"))
+    # Kept columns go by number on the way, so that no name of theirs meets one used here.
+    held = {f"kept{i}": c for i, c in enumerate(keep) if c.lower() not in RESULTS}
+    sized = docs.select(*[F.col(c).alias(k) for k, c in held.items()], skey.alias("skey"), words(text).alias("size"), digest.alias("place"), F.substring(digest, 1, digits).alias("bucket"))
     buckets = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     weight = F.element_at(F.array(*[F.lit(float(c)) for c in cycle]), F.pmod(F.col("rank") - 1, F.lit(len(cycle))) + 1)
     time = lambda at: at
@@ -112,7 +116,7 @@ def mix(docs: DataFrame, keep: list[str] = ("doc_id",), key: str = "doc_id", sou
     out = out.withColumn("taken", (F.col("size") * passes + part).cast("long"))
     position = F.when((F.col("taken") > 0) & (F.col("target") > 0), time(F.col("before") / F.col("target")))
     in_order = [F.col("position").asc_nulls_last(), *([key] if key in keep else [])]
-    return out.select(*keep, "size", "source_size", "target", "taken", position.alias("position")).repartitionByRange(*in_order).sortWithinPartitions(*in_order)
+    return out.select(*[F.col(k).alias(c) for k, c in held.items()], "size", "source_size", "target", "taken", position.alias("position")).repartitionByRange(*in_order).sortWithinPartitions(*in_order)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,6 +154,14 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, out_at
 
 
+def free_name(columns: list[str], name: str = "__text") -> str:
+    """``name``, with underscores added until none of ``columns`` has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship(spark) -> None:
     """Send this package to the executors, once a session: they need not have it installed."""
     context = spark.sparkContext

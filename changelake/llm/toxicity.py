@@ -16,7 +16,8 @@ A category's threshold is the one with the best F1 on out-of-fold predictions.
 Edge cases: null or empty text has probability 0 in every category and is never
 flagged; labels that are null count as 0; labelled keys without a text, and
 texts without a label, don't train; with one class only in the labels nothing is
-flagged; repeated rows score alike; empty tables give an empty result.
+flagged; repeated rows score alike; empty tables give an empty result; further
+columns of any name are passed through by ``clean`` and don't matter to ``fit``.
 """
 
 from __future__ import annotations
@@ -155,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key:
     bound = min(1 << 30, int((1 << 30) * rows * 1.1 / n) + 1)
     few = labels.where(F.col(key).isNotNull() & (place < bound)).select(F.col(key).alias("__key"), place.alias("place"), *[F.coalesce(c, F.lit(False)).cast("int").alias(f"y{j}") for j, c in enumerate(categories.values())]).limit(rows * 2)
     # At most 2 x rows keys and a few numbers each: small whatever the tables' size.
-    found = docs.where(F.col(text).isNotNull()).join(F.broadcast(few), F.col(key) == F.col("__key")).select("place", *[f"y{j}" for j in range(len(categories))], F.col(text).cast("binary").alias("text"))
+    whole = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__doc"), F.col(text).cast("binary").alias("text"))
+    found = whole.join(F.broadcast(few), F.col("__doc") == F.col("__key")).select("place", *[f"y{j}" for j in range(len(categories))], "text")
     k = len(categories)
 
     def sets(batches):
@@ -200,6 +202,21 @@ def score(docs: DataFrame, model: dict | None, categories: list[str], text: str
     return chosen.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, model: dict | None, category: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not flagged in ``category``, with all their columns."""
+    if model is None:
+        return docs
+    j = model["categories"].index(category)
+
+    def run(batches):
+        for b in batches:
+            p = probabilities(model, tokens.texts(b.column(b.num_columns - 1)))[:, j]
+            kept = pa.array(~((p > 0) & (p >= model["thresholds"][j])))
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in b.columns[:-1]], b.schema.names[:-1])
+
+    return docs.withColumn(tokens.free_name(docs.columns), F.col(text).cast("binary")).mapInArrow(run, docs.schema)
+
+
 #: In chain order: what the ``labels`` table has.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 

@@ -5,7 +5,8 @@ columns of ``documents``.  Nulls in any column pass; a null or empty text is kep
 by every stage but the last, which takes only documents with words.  Rows that
 share a doc_id are one document to the join stage: the smallest of them stays.
 Rows without a doc_id cannot be named as members of a group and always stay.
-Further columns of the input are carried along.
+Further columns of the input are carried along, whatever their names; only where
+the last stage has a result of that name, the result stands.
 """
 
 from __future__ import annotations
@@ -22,9 +23,7 @@ from changelake.llm.scratch import Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
     tokens.small_batches(spark)
-    model = toxicity.fit_documents(spark, docs, sf_dir)
-    scored = toxicity.score(docs, model, list(toxicity.CATEGORIES), keep=docs.columns)
-    return scored.where(~F.col("is_toxic")).select(*docs.columns)
+    return toxicity.clean(docs, toxicity.fit_documents(spark, docs, sf_dir), "toxic")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
