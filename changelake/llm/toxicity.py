@@ -11,7 +11,9 @@ at most ``rows`` labelled texts, those whose key hashes lowest; a rerun fits the
 same model.  Scoring is one pass over whole texts without a shuffle; the model
 has a fixed size.
 
-A category's threshold is the one with the best F1 on out-of-fold predictions.
+A category's threshold is the one with the best F1 on out-of-fold predictions,
+but not below its share of the labels: with very few positive labels that F1 says
+little, and a text no likelier than the average must not be flagged.
 
 Edge cases: null or empty text has probability 0 in every category and is never
 flagged; labels that are null count as 0; labelled keys without a text, and
@@ -118,7 +120,7 @@ def train(sets: list[tuple[np.ndarray, np.ndarray]], form: np.ndarray, y: np.nda
                 w = _logistic(chain[~held], y[~held, j])
                 out_of_fold[held] = _sigmoid(chain[held] @ w[:-1] + w[-1])
         model["weights"].append(_logistic(chain, y[:, j]))
-        model["thresholds"].append(_best_threshold(out_of_fold, y[:, j]) if 0 < y[:, j].sum() < len(y) else 1.1)
+        model["thresholds"].append(max(_best_threshold(out_of_fold, y[:, j]), float(y[:, j].mean())) if 0 < y[:, j].sum() < len(y) else 1.1)
         chain = np.hstack([chain, out_of_fold[:, None]])
     return model
 

@@ -303,6 +303,22 @@ def test_pipeline_stage_by_stage(spark):
     assert sum(r["taken"] for r in got) == pytest.approx(sum(sizes.values()), abs=25)
 
 
+def test_stages_carry_columns_of_clashing_names(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    names = ["__text", "__key", "place", "y0", "p_toxic", "is_toxic", "count", "first", "component_id", "n", "d", "found", "skey", "bucket", "before", "kept0", "Size", "target"]
+    more = docs.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        got, plain = stage(spark, more, DATA), stage(spark, docs, DATA)
+        last = name == corpus_pipeline.STAGES[-1][0]
+        carried = [c for c in names if not last or c.lower() not in ("size", "target")]
+        assert set(got.columns) == set(plain.columns) | set(carried) and len(got.columns) == len(plain.columns) + len(carried), name
+        rows = got.collect()
+        assert all(r[c] == f"x{names.index(c)}" for r in rows for c in carried), name
+        assert sorted(str([r[c] for c in plain.columns]) for r in rows) == sorted(str(list(r)) for r in plain.collect()), name
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
