@@ -6,14 +6,16 @@ neighbours, keywords before it, and how much the whole text looks like code.
 Weights are fitted by maximum likelihood on lines that ``examples`` writes from
 templates (no data table is read), and tags are decoded by Viterbi.
 
-Only tokens that could be a secret may carry a tag other than outside: those of
-8 or more characters with a letter and a digit, and those of 6 or more within
-four tokens after a keyword and a separator.  All other tokens are fixed to
-outside, where the chain falls into independent parts; so only lines that hold a
-candidate are tokenised, and the decoding is the same as over the whole text.
+Every token of a line with a digit, a keyword or a URL may carry any tag,
+punctuation between two pieces included, so a secret may hold several tokens; a
+token after white space is never inside.
+A token whose scores favour outside by more than transitions could ever make up
+for is outside on the best path; there the chain falls into independent parts,
+and the decoding is the same as over the whole line.  Lines with none of these
+hold no span of the random field, and no span reaches over a line's end.
 
 The base patterns (assigned values, access keys, long hex) always stay; spans of
-the random field are added where they overlap none of these.
+the random field are added where they reach beyond these.
 
 Edge cases: null text is empty and has no spans; offsets are code points, ends
 exclusive; repeated rows, ties and further columns change nothing; an empty
@@ -40,7 +42,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.~-]+=*|[^\sA-Za-z0-9+/_.~-]")
 KEYWORD = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|bearer|api.?key|auth(?:orization)?|credential|private.?key|access.?key|client.?secret|signature", re.I | re.A)
-_DIGITS = re.compile(r"[0-9]+")
+_STARTS = re.compile(r"[0-9]+|://")
 _SEPARATORS = {"=", ":", '"', "'", ">", "(", ","}
 Span = tuple[int, int, str]
 
@@ -80,37 +82,66 @@ def _local(t: str) -> list[str]:
     return [f"s={shape(t)}", f"n={min(n, 60) // 6}", f"d={10 * len(set(t)) // max(1, min(n, 24))}", f"w={min(9, 10 * switches // n)}", f"num={5 * sum(c.isdigit() for c in t) // n}", f"p={t[:3] if n > 12 else ''}"]
 
 
-def features(toks: list[str], i: int, code: int) -> list[str]:
-    """Feature names of token i: its shape, neighbours, keywords before it, and the file."""
-    out = [*_local(toks[i]), "bias", f"code={code}"]
-    for k in (1, 2):
-        out.append(f"-{k}={shape(toks[i - k]) if i >= k else '^'}")
-    out.append(f"+1={shape(toks[i + 1]) if i + 1 < len(toks) else '$'}")
-    key = keyword_before(toks, i)
-    out += [f"key={key}", f"key={key}|s={shape(toks[i])}", f"code={code}|s={shape(toks[i])}"]
+def contexts(toks: list[str], glued: list[bool]) -> list[tuple]:
+    """Of each token: shapes around it, distance of a keyword, place in quotes and in a URL.
+
+    A token is glued if no white space stands before it.
+    """
+    shapes = [shape_of(t) for t in toks]
+    keys, separators = _keywords(toks), [t in _SEPARATORS or t.lower() in ("is", "bearer") for t in toks]
+    out, quote, url, run = [], "", 0, 0
+    n = len(toks)
+    for i, t in enumerate(toks):
+        if not glued[i]:
+            url = run = 0
+        run += 1
+        if url == 0 and t.startswith("//") and run > 1 and toks[i - 1] == ":":
+            url = 1
+        elif url == 1 and t == "@":
+            url = 2
+        place = "in" if quote else ""
+        if t == quote:
+            place, quote = "close", ""
+        elif t in ('"', "'") and not quote and (run == 1 or not toks[i - 1][-1].isalnum()):
+            place, quote = "open", t
+        before = ("" if glued[i] else " ") + shapes[i - 1] if i else "^"
+        after = ("" if glued[i + 1] else " ") + shapes[i + 1] if i + 1 < n else "$"
+        out.append((shapes[i], before, shapes[i - 2] if i > 1 else "^", after, keyword_before(keys, separators, i), place, url, min(run, 3), next((k for k in (1, 2) if i >= k and keys[i - k]), 0)))
     return out
 
 
-def keyword_before(toks: list[str], i: int) -> int:
+@functools.lru_cache(100_000)
+def shape_of(t: str) -> str:
+    return shape(t)
+
+
+def features(token: str, context: tuple, code: int) -> list[str]:
+    """Feature names of a token: its own, and those of its context and the file."""
+    return [*_local(token), *_around(context, code)]
+
+
+def _around(context: tuple, code: int) -> list[str]:
+    s, before, second, after, key, place, url, run, near = context
+    return [
+        "bias", f"code={code}", f"-1={before}", f"-2={second}", f"+1={after}", f"key={key}", f"key={key}|s={s}", f"code={code}|s={s}",
+        f"-1={before}|s={s}", f"+1={after}|s={s}", f"q={place}|s={s}", f"q={place}|key={key}", f"url={url}|s={s}", f"url={url}|-1={before}", f"run={run}", f"near={near}|s={s}",
+    ]
+
+
+def _keywords(toks: list[str]) -> list[bool]:
+    return [len(t) > 2 and KEYWORD.search(t) is not None for t in toks]
+
+
+def keyword_before(keys: list[bool], separators: list[bool], i: int) -> int:
     """How far back a keyword stands, with a separator between; 0 if within four tokens none does."""
     separated = False
-    for k in range(1, 5):
-        if i < k:
-            break
-        t = toks[i - k]
-        if separated and KEYWORD.search(t):
+    for k in range(1, min(i, 4) + 1):
+        if separated and keys[i - k]:
             return k
-        separated |= t in _SEPARATORS or t.lower() in ("is", "bearer")
+        separated |= separators[i - k]
     return 0
 
 
-def candidate(toks: list[str], i: int) -> bool:
-    t = toks[i]
-    if len(t) >= 8 and any(c.isdigit() for c in t) and any(c.isalpha() for c in t):
-        return True
-    return len(t) >= 6 and keyword_before(toks, i) > 0
-
-
 def code_like(text: str) -> int:
     """0 to 3: how many of its lines look like code or settings."""
     n = text.count("\n") + 1
@@ -118,8 +149,8 @@ def code_like(text: str) -> int:
     return min(3, 4 * marks // n) if marks else 0
 
 
-def examples(n: int = 700, seed: int = 7) -> list[tuple[list[str], list[int], int]]:
-    """Tagged lines from templates: tokens, tags (0 outside, 1 begin, 2 inside), code class."""
+def examples(n: int = 3000, seed: int = 7) -> list[tuple[list[str], list[bool], list[int], int]]:
+    """Tagged lines from templates: tokens, whether glued, tags (0 outside, 1 begin, 2 inside), code class."""
     r = random.Random(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
@@ -127,69 +158,99 @@ def examples(n: int = 700, seed: int = 7) -> list[tuple[list[str], list[int], in
     secrets = [
         lambda: pick(low + up + dig, 16, 48), lambda: pick("0123456789abcdef", 16, 64), lambda: pick(low + up + dig + "+/", 20, 60) + "=" * r.randint(0, 2),
         lambda: "sk_live_" + pick(low + up + dig, 20, 30), lambda: "ghp_" + pick(low + up + dig, 36, 36), lambda: "xoxb-" + pick(dig, 10, 12) + "-" + pick(low + up + dig, 20, 28),
-        lambda: "AKIA" + pick(up + dig, 16, 16), lambda: "eyJ" + pick(low + up + dig + "_-", 20, 40) + "." + pick(low + up + dig + "_-", 30, 60), lambda: pick(low, 3, 6) + pick(dig, 2, 4) + pick(low + up, 2, 6),
+        lambda: "AKIA" + pick(up + dig, 16, 16), lambda: "eyJ" + pick(low + up + dig + "_-", 20, 40) + "." + pick(low + up + dig + "_-", 30, 60), lambda: pick(low, 3, 6) + pick(dig, 1, 4) + pick(low + up, 2, 6), lambda: pick(low, 3, 6) + pick(dig, 1, 4) + pick(low, 2, 6), lambda: pick(low + dig, 8, 20), lambda: pick(low + up + dig, 8, 24),
     ]
     plain = [
         word, word, word, lambda: pick(dig, 1, 12), lambda: word().title(), lambda: f"{word()}{r.randint(1, 99)}@{word()}{r.randint(1, 9)}.{word()}.com", lambda: f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}",
         lambda: f"https://{word()}.{word()}.org/{word()}/{r.randint(1, 9999)}", lambda: f"{word()}_{word()}_{r.randint(1, 2024)}", lambda: f"{word()}-{r.randint(1990, 2030)}-{word()}", lambda: f"{r.randint(1990, 2030)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T10:{r.randint(10, 59)}:00Z",
-        lambda: f"{word()}{r.randint(1, 9)}.{word()}", lambda: f"{word().title()}{word().title()}{r.randint(1, 64)}", lambda: f"/{word()}/{word()}{r.randint(1, 9)}/{word()}.txt", lambda: "+" + pick(dig, 9, 12), lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), lambda: word() + "!", lambda: word() + ",",
+        lambda: f"{word()}{r.randint(1, 9)}.{word()}", lambda: f"{word().title()}{word().title()}{r.randint(1, 64)}", lambda: f"/{word()}/{word()}{r.randint(1, 9)}/{word()}.txt", lambda: "+" + pick(dig, 9, 12), lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), lambda: word() + "!", lambda: word() + ",", lambda: word().upper(), lambda: word() + "!!", lambda: (word() + r.choice(["!!", "??", "###", "...", "%%%", "$$$", "&&&"])).upper(), lambda: word().title() + r.choice(["!!", "###", "&&&", "%%%", "$$$"]), lambda: word() + r.choice("###&&&%%%$$$***@@@") * 3,
     ]
-    keys = ["password", "passwd", "secret", "token", "api_key", "apikey", "auth_token", "client_secret", "DB_PASSWORD", "AWS_SECRET_ACCESS_KEY", "private_key", "credential", "Authorization: Bearer", "access_key"]
+    keys = ["password", "passwd", "secret", "token", "api_key", "apikey", "auth_token", "client_secret", "DB_PASSWORD", "AWS_SECRET_ACCESS_KEY", "private_key", "credential", "Authorization: Bearer", "Authorization: Bearer", "Bearer", "bearer", "access_key", "Password", "pwd", "passphrase"]
+    symbols = "@!#$%^&*?"
+
+    def pieces() -> str:
+        """A password of letters, digits and punctuation: several tokens."""
+        while True:
+            s = pick(low + up, 1, 5) + "".join(r.choice(symbols) * r.randint(1, 2) * (r.random() < 0.9) + pick(low + up + dig, 1, 5) for _ in range(r.randint(1, 5))) + (r.choice(symbols) if r.random() < 0.2 else "")
+            if len(s) >= 6 and any(c in symbols for c in s):
+                return s
+
     filler = lambda a, b: " ".join(r.choice(plain)() for _ in range(r.randint(a, b)))
+    junk = lambda: r.choice("#$%&*!-=") * 3
+    nothing = ["required", "None", "null", "string", "<your password>", "optional", "********", "${PASSWORD}", "os.environ['TOKEN']", "", "the one you chose", "hashed", "see below", "too short", "expired", "8 characters or more"]
     out = []
     for k in range(n):
         before, after, marks = filler(0, 6), filler(0, 6), []
         if k % 2:
-            s = r.choice(secrets)()
-            q = r.choice(["", "", '"', "'"])
             style = r.random()
-            if style < 0.7:
+            keyed = style < 0.65
+            s = pieces() if keyed and r.random() < 0.4 else r.choice(secrets)()
+            q = r.choice(["", "", '"', "'"])
+            if keyed:
                 key = r.choice(keys)
-                middle = f"{key}{r.choice(['=', ' = ', ': ', ':', ' is ']) if 'Bearer' not in key else ' '}{q}{s}{q}"
-            elif style < 0.85 and len(s) >= 16:
-                middle = s
+                form = r.random()
+                if r.random() < 0.1:
+                    middle = f"{key} {s}"
+                elif "earer" in key:
+                    middle = f"{key} {q}{s}{q}"
+                elif form < 0.2:
+                    middle = f'"{key}": "{s}"' + r.choice(["", ",", "}", "},"])
+                elif form < 0.3:
+                    middle = f"<{key}>{s}</{key}>"
+                elif form < 0.4:
+                    middle = f"{key}({r.choice(chr(34) + chr(39))}{s}" + chr(39)
+                    middle = middle[:-1] + middle[len(key) + 1] + ")"
+                else:
+                    sep = r.choice(["=", " = ", ": ", ":", " is ", " is: ", " := "])
+                    middle = f"{r.choice(['', '', '--', 'my ', 'the '])}{key}{sep}{q}{s}{q}" + r.choice(["", "", ";", ","] if q else [""])
+            elif style < 0.8:
+                while len(s) < 16:
+                    s = r.choice(secrets)()
+                middle = r.choice([s, s, f'"{s}"', f"{junk()}{s}{junk()}"])
             else:
-                middle = f"{word()}://{word()}:{s}@{word()}.{word()}.net/{word()}"
+                middle = f"{word()}://{word()}:{s}@{word()}.{r.choice(['net', 'com', 'example.com'])}{r.choice(['', ':5432'])}/{word()}"
             marks = [s]
         else:
-            middle = r.choice([filler(1, 3), f"{word()} = {r.choice(plain)()}", f"{r.choice(keys[:6])} {word()} {word()}", f"{word()}: {filler(1, 2)}"])
+            middle = r.choice([
+                filler(1, 3), f"{word()} = {r.choice(plain)()}", f"{r.choice(keys)} {word()} {word()}", f"{word()}: {filler(1, 2)}", f"{r.choice(keys)}{r.choice([': ', ' = ', ' is '])}{r.choice(nothing)}", f"{r.choice(plain)()}{junk()}",
+                f"{junk()} {pick(dig, 4, 12)} {word()}{junk()}", f"{word()}, {word()} ({word()} {r.randint(1, 2030)}) {word()}'s \"{word()} {word()}\"", f"{word()}#{r.randint(1, 9999)} {word()}/{word()} {r.randint(1, 99)}% ${r.randint(1, 999)}.{pick(dig, 2, 2)}", f"{word()}.{r.randint(1, 99)}@{word()}{r.randint(1, 9)}.{word()}.com {word()}",
+                f"{word()}[{r.randint(0, 9)}] != {word()}({word()}, {r.randint(0, 99)}); {word()}", f'{word()}("{word()}%d{r.choice(["", " %s"])}" % {word()})', f"{word()}('{word()}{r.randint(0, 9)}', \"{r.choice(plain)()}\")", f"the {r.choice(keys[:6])} {word()} and {word()}, {word()}. {word().title()}",
+            ])
         line = " ".join(x for x in (before, middle, after) if x)
         at = line.find(marks[0], len(before)) if marks else -1
-        toks, tags = [], []
+        toks, glued, tags, end = [], [], [], -1
         for m in TOKEN.finditer(line):
-            inside = marks and at <= m.start() < at + len(marks[0])
+            inside = marks and at < m.end() and m.start() < at + len(marks[0])
             toks.append(m[0])
-            tags.append((2 if tags and tags[-1] and toks else 1) if inside else 0)
-        out.append((toks, tags, r.choice([0, 0, 1, 2, 3])))
+            glued.append(m.start() == end)
+            tags.append((2 if tags and tags[-1] and glued[-1] else 1) if inside else 0)
+            end = m.end()
+        out.append((toks, glued, tags, r.choice([0, 0, 1, 2, 3])))
     return out
 
 
 @functools.cache
 def model(steps: int = 150, rate: float = 0.08, ridge: float = 2e-3) -> tuple[dict[str, tuple[float, float, float]], list[list[float]]]:
     """Weights by feature name, and transition scores, by maximum likelihood (Adam, full batch)."""
-    data = [(t, y, c) for t, y, c in examples() if t]
+    data = [x for x in examples() if x[0]]
     names: dict[str, int] = {}
-    n, longest = len(data), max(len(t) for t, _, _ in data)
-    each = [[[names.setdefault(f, len(names)) for f in features(t, i, c)] for i in range(len(t))] for t, _, c in data]
-    wide, pad = max(len(f) for s in each for f in s), len(names)
-    index = np.full((n, longest, wide), pad)
-    tags, mask = np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    allowed = np.zeros((n, longest), bool)
-    for k, (t, y, _) in enumerate(data):
-        for i, f in enumerate(each[k]):
-            index[k, i, : len(f)] = f
-            allowed[k, i] = candidate(t, i)
-        tags[k, : len(t)], mask[k, : len(t)] = np.where(allowed[k, : len(t)], y, 0), True
+    n, longest = len(data), max(len(x[0]) for x in data)
+    each = [[names.setdefault(f, len(names)) for f in features(t, x, c)] for toks, glued, _, c in data for t, x in zip(toks, contexts(toks, glued), strict=True)]
+    index, pad = np.array(each), len(names)
+    wide = index.shape[1]
+    tags, mask, joined = np.zeros((n, longest), int), np.zeros((n, longest), bool), np.zeros((n, longest), bool)
+    for k, (t, g, y, _) in enumerate(data):
+        tags[k, : len(t)], mask[k, : len(t)], joined[k, : len(t)] = y, True, g
     w, trans = np.zeros((pad + 1, 3)), np.array([[0, 0, -8.0], [0, -8.0, 0], [0, -8.0, 0]])
     free = trans > -8
     truth = np.eye(3)[tags] * mask[..., None]
     pairs = np.einsum("nti,ntj->ij", truth[:, :-1], truth[:, 1:])
-    fixed = np.where(allowed[..., None], 0.0, [0.0, -50.0, -50.0])
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)]
     lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
     for step in range(1, steps + 1):
-        e = w[index].sum(2) + fixed
-        e[:, 0, 2] -= 50
+        e = np.zeros((n, longest, 3))
+        e[mask] = w[index].sum(1)
+        e[~joined, 2] -= 50  # white space ends a secret
         a, b = np.zeros((n, longest, 3)), np.zeros((n, longest, 3))
         a[:, 0] = e[:, 0]
         for t in range(1, longest):
@@ -199,7 +260,7 @@ def model(steps: int = 150, rate: float = 0.08, ridge: float = 2e-3) -> tuple[di
         z = lse(a[:, -1], 1)
         p = np.exp(a + b - z[:, None, None]) * mask[..., None]
         gap = (p - truth) / n
-        gw = np.stack([np.bincount(index.ravel(), np.repeat(gap[..., y].ravel(), wide), pad + 1) for y in range(3)], axis=1) + ridge * w / 10
+        gw = np.stack([np.bincount(index.ravel(), np.repeat(gap[mask][:, y], wide), pad + 1) for y in range(3)], axis=1) + ridge * w / 10
         gw[pad] = 0
         both = a[:, :-1, :, None] + trans + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]
         gt = ((np.exp(both) * mask[:, 1:, None, None]).sum((0, 1)) - pairs) / n * free
@@ -210,9 +271,9 @@ def model(steps: int = 150, rate: float = 0.08, ridge: float = 2e-3) -> tuple[di
     return {f: tuple(w[k].tolist()) for f, k in names.items()}, trans.tolist()
 
 
-def viterbi(scores: list[tuple[float, float, float]], trans: list[list[float]]) -> list[int]:
-    """The best tags; inside never comes first."""
-    best, back = [scores[0][0], scores[0][1], float("-inf")], []
+def viterbi(scores: list[tuple[float, float, float]], trans: list[list[float]], later: bool = False) -> list[int]:
+    """The best tags; inside never comes first, unless these are ``later`` tokens of a line."""
+    best, back = [scores[0][0], scores[0][1], scores[0][2] if later else float("-inf")], []
     for e in scores[1:]:
         came = [max(range(3), key=lambda i, j=j: best[i] + trans[i][j]) for j in range(3)]
         best = [best[came[j]] + trans[came[j]][j] + e[j] for j in range(3)]
@@ -225,16 +286,45 @@ def viterbi(scores: list[tuple[float, float, float]], trans: list[list[float]])
     return out[::-1]
 
 
+def surplus(trans: list[list[float]]) -> float:
+    """The most that transitions can gain by a tag other than outside at one place."""
+    trans = [list(row) for row in trans]
+    steps = [(a, c) for a in (None, 0, 1, 2) for c in (None, 0, 1, 2)]
+    into, off = lambda a, y: 0.0 if a is None else trans[a][y], lambda y, c: 0.0 if c is None else trans[y][c]
+    return max(into(a, y) + off(y, c) - into(a, 0) - off(0, c) for a, c in steps for y in (1, 2))
+
+
+def _sum(names: list[str], weights: dict[str, tuple[float, float, float]]) -> tuple[float, float, float]:
+    found = [weights[f] for f in names if f in weights]
+    return tuple(map(sum, zip(*found, strict=True))) if found else (0.0, 0.0, 0.0)
+
+
+class Scores:
+    """Scores of tokens and of contexts, each looked up once."""
+
+    def __init__(self, fitted):
+        self.fitted, self.most = fitted, surplus(fitted[1])
+        self.local = functools.lru_cache(100_000)(lambda t: _sum(_local(t), fitted[0]))
+        self.around = functools.lru_cache(100_000)(lambda x, code: _sum(_around(x, code), fitted[0]))
+
+
+_scores: list[Scores] = []
+
+
+def _scores_of(fitted) -> Scores:
+    if not _scores or _scores[0].fitted is not fitted:
+        _scores[:] = [Scores(fitted)]
+    return _scores[0]
+
+
 def field_spans(text: str, fitted=None) -> list[Span]:
     """Spans that the random field tags."""
-    starts = [m.start() for m in _DIGITS.finditer(text)]
-    if ":" in text or "=" in text:
-        starts += [m.start() for m in KEYWORD.finditer(text)]
-        starts.sort()
+    starts = sorted([m.start() for m in _STARTS.finditer(text)] + [m.start() for m in KEYWORD.finditer(text)])
     if not starts:
         return []
-    weights, trans = fitted or model()
-    out, done, code = [], -1, None
+    table = _scores_of(fitted or model())
+    trans, code = table.fitted[1], code_like(text)
+    out, done = [], -1
     for at in starts:
         if at < done:
             continue
@@ -242,26 +332,27 @@ def field_spans(text: str, fitted=None) -> list[Span]:
         done = end = len(text) if end < 0 else end
         found = list(TOKEN.finditer(text, begin, end))
         toks = [m[0] for m in found]
+        glued = [False, *(a.end() == b.start() for a, b in zip(found, found[1:], strict=False))]
+        scores = []
+        for t, x, joined in zip(toks, contexts(toks, glued), glued, strict=True):
+            a, b = table.local(t), table.around(x, code)
+            scores.append((a[0] + b[0], a[1] + b[1], a[2] + b[2] - (0 if joined else 50)))
+        outside = [s[0] - max(s[1], s[2]) > table.most for s in scores]
         k = 0
         while k < len(toks):
-            if not (toks[k][0].isalnum() or len(toks[k]) > 1) or not candidate(toks, k):
+            if outside[k]:
                 k += 1
                 continue
             last = k + 1
-            while last < len(toks) and candidate(toks, last):
+            while last < len(toks) and not outside[last]:
                 last += 1
-            code = code_like(text) if code is None else code
-            scores = []
-            for i in range(k, last):
-                e = [0.0, 0.0, 0.0]
-                for f in features(toks, i, code):
-                    for j, x in enumerate(weights.get(f, (0, 0, 0))):
-                        e[j] += x
-                scores.append(tuple(e))
-            # The neighbours are fixed to outside: leaving the last token costs as much from any tag.
-            scores[-1] = tuple(s + trans[j][0] for j, s in enumerate(scores[-1])) if last < len(toks) else scores[-1]
-            scores[0] = tuple(s + trans[0][j] for j, s in enumerate(scores[0])) if k else scores[0]
-            tags = viterbi(scores, trans)
+            part = scores[k:last]
+            # The neighbours are outside: leaving the last token costs as much from any tag.
+            if last < len(toks):
+                part[-1] = tuple(s + trans[j][0] for j, s in enumerate(part[-1]))
+            if k:
+                part[0] = tuple(s + trans[0][j] for j, s in enumerate(part[0]))
+            tags = viterbi(part, trans, k > 0)
             for i, tag in enumerate(tags):
                 if tag == 1:
                     stop = i + 1
@@ -277,10 +368,19 @@ def spans(text: str | None, fitted=None) -> list[Span]:
     if not text:
         return []
     base = base_spans(text)
-    added = [s for s in field_spans(text, fitted) if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+    added = [s for s in field_spans(text, fitted) if not _covered(s, base)]
     return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _covered(span: Span, base: list[Span]) -> bool:
+    """Whether base spans leave nothing of ``span``."""
+    at = span[0]
+    for start, end, _ in sorted(base):
+        if start <= at < end:
+            at = end
+    return at >= span[1]
+
+
 def redacted(text: str | None, fitted=None, mark: str = "[SECRET]") -> str | None:
     """The text with each run of overlapping spans replaced by ``mark``; of assignments, the value only."""
     if not text:
