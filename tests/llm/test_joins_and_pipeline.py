@@ -261,6 +261,28 @@ def test_known_license_texts_in_other_spellings(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_whole_texts_under_other_titles_and_of_further_licenses(spark):
+    body = license_scan.TEXTS["MIT"].split("\n", 1)[1]
+    isc, bsd, more = license_scan.TEXTS["ISC"].split("\n", 1)[1], license_scan.TEXTS["BSD-2-Clause"], dict(license_scan.MORE)
+    wrapped = "\n".join(re.findall(r".{1,68}(?:\s|$)", more["BSD-3-Clause"]))
+    texts = [("MIT", body), ("MIT", "The MIT License (MIT)\n\nCopyright Some One\n\n" + body), ("MIT", "MIT License\nCopyright 2020-2022, A and B\n" + body), ("ISC", "The ISC License\nCopyright Some One and others\n" + isc)]
+    texts += [("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, X\n\n" + bsd), ("BSD-3-Clause", "BSD 3-Clause License\nCopyright X\n" + wrapped), ("Unlicense", more["Unlicense"]), ("own", "Own License\nDo as we say."), (None, "MIT License\nCopyright X"), (None, body + "\nBut not on Sundays.")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(df, more=[("own", "Do as we say!")]).collect()}
+    assert [got[i] for i in range(len(texts))] == [k for k, _ in texts]
+
+
+@pytest.mark.parametrize(("file", "name"), [("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("CC0-1.0", "CC0-1.0")])
+def test_long_license_texts(spark, file, name):
+    from pathlib import Path
+
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no copy of the text on this machine")
+    df = spark.createDataFrame([(1, path.read_text()), (2, path.read_text() + "\nmore")], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in license_scan.scan(df).collect()} == {1: name, 2: None}
+
+
 def test_canonical_forms_agree(spark):
     texts = list(license_scan.TEXTS.values()) + ["Licence — organisation's  ©2020", "(c) 2021 X", "Copyright owner 2020"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
