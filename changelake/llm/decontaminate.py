@@ -7,7 +7,11 @@ over every training text, and equal hashes join.  Each hit puts a text and an
 item on a common diagonal; along it, every window of ``OVERLAP`` tokens is
 compared token by token, and the pair counts if one window agrees in at least
 ``AGREE`` of its places.  Items with fewer tokens, and at least ``SHORTEST``,
-are one window.  Items below that are no evidence and never match.
+are one window.  The masks miss no window that counts: whatever places are
+substituted, one mask fits between them (items under ``SHORT`` tokens have masks
+of their own for that).  Items below ``SHORTEST`` are no evidence and never match,
+unless ``shortest`` is set lower: then an item of that many tokens matches where
+all of it stands in a text, by the hash of the whole item.
 
 Tokens are runs of letters and digits, lower-cased (ASCII and Latin-1 capitals).
 
@@ -35,6 +39,9 @@ from .scratch import Scratch
 
 #: Positions that a mask keeps; each has weight 6.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 7, 8), (0, 2, 3, 6, 7, 9), (0, 1, 4, 5, 6, 10), (0, 3, 5, 6, 8, 9))
+#: Further masks for items of fewer than ``SHORT`` tokens, where the others leave some substitutions without a fit.
+SHORT_MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8))
+SHORT = 12
 OVERLAP, AGREE, SHORTEST, BLOCK = 13, 0.8, 8, 300_000
 _BITS = 22
 _U = np.uint64
@@ -59,16 +66,25 @@ def _inside(at: np.ndarray, pos: np.ndarray, span: int) -> np.ndarray:
 class Block:
     """Some benchmark items with their seed table."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], shortest: int = SHORTEST):
         w = tokens.hash_words([t for _, t in items], tokens.ALNUM, fold=True)
         self.ids, self.at, self.h = [i for i, _ in items], w.at, w.hashes
         seeds, places = [], []
-        for k, mask in enumerate(MASKS):
+        n = np.diff(self.at)
+        # Mask, and the least and greatest length of items that it is for.
+        kinds = [*((m, SHORTEST, len(self.h)) for m in MASKS), *((m, SHORTEST, SHORT - 1) for m in SHORT_MASKS), *((tuple(range(k)), k, k) for k in range(max(1, shortest), SHORTEST))]
+        self.masks = []
+        for k, (mask, low, high) in enumerate(kinds):
+            if not ((n >= low) & (n <= high)).any():
+                continue
+            self.masks.append((k, mask))
             s = _rolled(self.h, mask, k)
             ok = np.flatnonzero(_inside(self.at, np.arange(len(s)), mask[-1])) if len(s) else np.array([], int)
+            size = n[np.searchsorted(self.at, ok, side="right") - 1]
+            ok = ok[(size >= low) & (size <= high)]
             seeds.append(s[ok])
             places.append(ok)
-        seeds, places = np.concatenate(seeds), np.concatenate(places)
+        seeds, places = np.concatenate([np.array([], _U), *seeds]), np.concatenate([np.array([], np.int64), *places])
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.places = seeds[order], places[order].astype(np.int64)
 
@@ -80,7 +96,7 @@ class Block:
     def match(self, w: tokens.Words, maybe: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, agreeing tokens, window) of verified overlaps, by text and item."""
         doc_pos, item_pos = [], []
-        for k, mask in enumerate(MASKS):
+        for k, mask in self.masks:
             s = _rolled(w.hashes, mask, k)
             near = np.flatnonzero(maybe[(s >> _U(64 - _BITS)).astype(np.int64)])
             low = np.searchsorted(self.seeds, s[near], "left")
@@ -99,8 +115,6 @@ class Block:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for d, i, shift in np.unique(np.stack([doc, item, p - q]), axis=1).T.tolist():
             n = int(self.at[i + 1] - self.at[i])
-            if n < SHORTEST:
-                continue
             size = min(n, OVERLAP)
             a = max(self.at[i], w.at[d] - shift)
             b = min(self.at[i + 1], w.at[d + 1] - shift)
@@ -108,32 +122,32 @@ class Block:
                 continue
             same = np.concatenate([[0], np.cumsum(self.h[a:b] == w.hashes[a + shift : b + shift])])
             agree = int((same[size:] - same[:-size]).max())
-            if agree >= np.ceil(AGREE * size - 1e-9):
+            if agree >= (np.ceil(AGREE * size - 1e-9) if n >= SHORTEST else n):
                 best[d, i] = max(best.get((d, i), (0, 0)), (agree, size))
         for (d, i), (agree, size) in sorted(best.items()):
             yield d, i, agree, size
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = BLOCK) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = BLOCK, *, shortest: int = SHORTEST) -> Iterator[Block]:
     """The benchmark in blocks of at most ``size`` bytes, one item at least."""
     part, n = [], 0
     for i, t in benchmark.where(F.col(text).isNotNull()).select(item, F.col(text).cast("binary")).toLocalIterator():
         if part and n + len(t) > size:
-            yield Block(part)
+            yield Block(part, shortest)
             part, n = [], 0
         part.append((i, bytes(t)))
         n += len(t)
     if part:
-        yield Block(part)
+        yield Block(part, shortest)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", shortest: int = SHORTEST) -> DataFrame:
     """Pairs (key, item, agree, size): the best window of each text and item that overlap."""
     chosen = docs.select(F.col(key), F.col(text).cast("binary").alias("__text"))
     kind, item_kind = chosen.schema[0].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item}` {item_kind}, agree int, size int"
     out = None
-    for block in blocks(benchmark, item):
+    for block in blocks(benchmark, item, shortest=shortest):
 
         def run(batches, block=block):
             maybe = block.filter()
@@ -148,11 +162,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """The rows of ``docs`` whose text overlaps no benchmark item."""
     wanted = docs.columns
     words = tokens.free_name(wanted)
-    for k, block in enumerate(blocks(benchmark), 1):
+    for k, block in enumerate(blocks(benchmark, shortest=shortest), 1):
 
         def run(batches, block=block):
             maybe = block.filter()

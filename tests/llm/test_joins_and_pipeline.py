@@ -106,6 +106,31 @@ def test_overlaps_against_brute_force(spark):
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0 and decontaminate.overlaps(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 15))
+def test_no_substitution_of_short_items_is_missed(n):
+    """All choices of substituted places, with as many as still agree and with one more."""
+    from itertools import combinations
+
+    item = [f"w{i}" for i in range(n)]
+    block = decontaminate.Block([(7, " ".join(item).encode()), (8, b"")], shortest=1)
+    maybe = block.filter()
+    size = min(n, decontaminate.OVERLAP)
+    free = size - int(np.ceil(decontaminate.AGREE * size - 1e-9)) if n >= decontaminate.SHORTEST else 0
+    for most in (free, free + 1):
+        for places in combinations(range(size), most):
+            changed = [f"x{i}" if i in places else t for i, t in enumerate(item[:size])]
+            w = tokens.hash_words([" ".join(["a", *changed, "b"]).encode()], tokens.ALNUM, fold=True)
+            assert [(i, agree, s) for _, i, agree, s in block.match(w, maybe)] == ([(0, size - most, size)] if most == free else []), places
+
+
+def test_short_items_match_whole_where_asked(spark):
+    docs = spark.createDataFrame([(1, "say: What is it? now"), (2, "what is that"), (3, "what is"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "what is it"), (2, ""), (3, None), (4, "a b c d e f g h i j k l m n")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.overlaps(docs, bench, shortest=1).collect()] == [(1, 1, 3, 3)]
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench, shortest=3).collect()} == {2, 3, 4}
+    assert decontaminate.overlaps(docs, bench).count() == 0 and decontaminate.overlaps(docs, bench.where("item_id = 2")).count() == 0
+
+
 def test_contamination_of_the_test_tables(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op4_decontamination(spark, "/root/testdata/sf0.001").collect()}
     read = lambda t, k: [(r[0], r[1]) for r in spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").select(k, "text").collect()]
