@@ -15,8 +15,11 @@ Character references are decoded, white space inside a block becomes one space,
 and blocks are joined by a newline.  Nothing else is cut: a region is kept whole.
 
 Edge cases: null or empty html, or a page without text, gives an empty text;
-unclosed elements end with the page (an opening ``article`` ends a dropped
-element around it); repeated rows, ties and further columns change nothing; an
+unclosed elements end with the page, but an ``article`` or ``main`` ends a dropped
+element that is never closed, or a form around it, and a ``main`` one that was
+dropped for its names; what is not of a head's elements ends an open head; an
+article named as a comment or the like is dropped, and articles in dropped parts
+don't mark a page; repeated rows, ties and further columns change nothing; an
 empty table stays empty.  One pass, no shuffle.
 """
 
@@ -37,7 +40,10 @@ WINDOW, SURGE = 3, 40
 RAW = {"script", "style", "textarea", "title", "xmp", "noframes", "iframe", "noembed"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "head", "noscript", "template", "button", "select", "svg", "canvas", "object", "menu", "dialog", "math", "audio", "video"}
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+HEADS = {"base", "bgsound", "basefont", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+# Words of names that tell what a page has or lacks, not what an element is.
+TELLS = {"has", "no", "not", "with", "without"}
 # Words of class, id and role attributes that mark other parts of a page.
 MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "contentinfo", "cookie", "cookies", "consent", "disqus", "footer", "gdpr", "header", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup", "promo", "promoted", "promotion", "related", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
@@ -47,17 +53,56 @@ _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?tru
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+def _named(value: str, lead: bool) -> bool:
+    """Whether a name in ``value`` holds a mark, or begins with one; names like has-sidebar don't."""
+    for name in value.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        for k, p in enumerate(parts[:1] if lead else parts):
+            if p in MARKS and not TELLS.intersection(parts[:k]):
+                return True
+    return False
+
+
+def _boilerplate(name: str, attributes: str) -> str:
+    """Why an element is dropped: its element name, "hidden" or "named"; empty if it isn't."""
     if name in DROPPED:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+        return name
+    if not attributes or name in ("html", "body", "main"):
+        return ""
+    if name != "article" and _HIDDEN.search(attributes):
+        return "hidden"
     for m in _ATTRIBUTE.finditer(attributes):
-        if any(p.lower() in MARKS for p in _PART.findall(m[2] or m[3] or m[4] or "")):
-            return True
-    return False
+        if _named(m[2] or m[3] or m[4] or "", name == "article"):
+            return "named"
+    return ""
+
+
+def _tags(page: str):
+    """Start of the text before a tag, the tag's start and end, name, whether it closes, attributes; nameless for what has no part in the structure."""
+    at = 0
+    while m := _TOKEN.search(page, at):
+        begin, at = at, m.end()
+        name, closing = (m[2] or m[5] or "").lower(), bool(m[1] or m[4])
+        if name in RAW and not closing:
+            close = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+            at = close.start() if close else len(page)
+            name = ""
+        yield begin, m.start(), at, name, closing, m[3] or m[6] or ""
+    yield at, len(page), len(page), "", False, ""
+
+
+def _closed(page: str) -> set[int]:
+    """Where the tags start that are closed later."""
+    open_at: dict[str, list[int]] = {}
+    out = set()
+    for _, start, _, name, closing, attributes in _tags(page):
+        if not name or name in VOID:
+            continue
+        if not closing and not attributes.endswith("/"):
+            open_at.setdefault(name, []).append(start)
+        elif closing and open_at.get(name):
+            out.add(open_at[name].pop())
+    return out
 
 
 def lines(page: str) -> tuple[list[str], list[int], bool]:
@@ -90,32 +135,34 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
         size += n
         linked += n * link
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    closed, since, why = None, 0, ""  # tags that are closed; where the dropped element starts, and why it is dropped
+    for begin, start, _, name, closing, attributes in _tags(page):
+        add(page[begin:start])
         if not name:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if name in RAW and not closing:
-            close = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
-            at = close.start() if close else len(page)
-            continue
         if dropped:
             if name == dropped and name not in VOID:
                 level += -1 if closing else (not attributes.endswith("/"))
                 if level == 0:
                     dropped = ""
                 continue
-            if closing or name not in ("article", "main"):
+            if closing:
+                continue
+            if dropped == "head":
+                if name in HEADS:
+                    continue
+            elif name not in ("article", "main"):
                 continue
+            elif why != "form" and not (why == "named" and name == "main"):
+                closed = _closed(page) if closed is None else closed
+                if since in closed:
+                    continue
             dropped = ""
-        if not closing and name not in VOID and _boilerplate(name, attributes):
+        if not closing and name not in VOID and (reason := _boilerplate(name, attributes)):
             end()
             end(blank=True)
             if not attributes.endswith("/"):
-                dropped, level = name, 1
+                dropped, level, since, why = name, 1, start, reason
             continue
         if name == "a":
             link = not closing
@@ -126,7 +173,6 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
             if name in ("article", "main"):
                 depth = max(0, depth - 1) if closing else depth + 1
                 marked |= not closing
-    add(page[at:])
     end()
     if marked:
         weights = [abs(w) if i else 0 for w, i in zip(weights, inner, strict=True)]

@@ -82,6 +82,31 @@ def test_html_edge_cases(page, text):
     assert html_extract.extract(page) == text
 
 
+LONG = "word " * 30
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{LONG}</p></article><section id=comments><article class=comment><p>First comment</p></article></section>", "body"),
+        (f"<article><p>{LONG}</p></article><aside class=related><article><p>A teaser</p></article></aside>", "body"),
+        (f"<div><p>{LONG}</p></div><section id='comments'><article class='comment'><p>First!</p></article></section>", "body"),
+        (f"<div><p>{LONG}</p></div><article class='comment even' id='comment-3'><p>First!</p></article>", "body"),
+        (f"<div class='content has-sidebar'><p>{LONG}</p></div><div class='left-sidebar'>x</div>", "body"),
+        (f"<div id=page class=no-sidebar><p>{LONG}</p></div>", "body"),
+        (f"<html><head><title>T</title><meta charset=utf-8><body><p>{LONG}</p></body></html>", "body"),
+        (f"<head><title>T</title><link href=x><p>{LONG}</p>", "body"),
+        (f"<form id=page><article><p>{LONG}</p></article><p>Send</p></form>", "body"),
+        (f"<div class=widget><main><p>{LONG}</p></main></div>", "body"),
+        (f"<article class='post category-social tag-search'><p>{LONG}</p></article>", "body"),
+        (f"<nav>menu<nav>more</nav><article><p>{LONG}</p></article>", "body"),
+        ("<div hidden><article>no</article></div><p>yes</p>", "yes"),
+    ],
+)
+def test_articles_in_dropped_parts_and_names_that_only_tell(page, text):
+    assert html_extract.extract(page) == (LONG.strip() if text == "body" else text)
+
+
 def test_unmarked_page_by_line_blocks():
     body = "<div><a href=x>Home</a></div><div><a href=y>News</a></div><p>" + "</p><p>".join(["word " * 30] * 4) + "</p><div><a>Next</a></div><div><a>Up</a></div><div><a>Top</a></div><div>x</div>"
     got = html_extract.extract(body)
