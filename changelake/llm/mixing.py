@@ -6,7 +6,8 @@ times a source's own words, and what is left over is reshared by weight until
 none is above.  Within a source, documents stand in a fixed pseudo-random order
 (by a hash of the key); the cumulative word demand of the schedule, inverted at
 a document's first word, is its position in training.  The result is range-sorted
-by position.
+by position.  ``op5_mixing`` and the pipeline give no schedules: their weights are
+constant over training, and no schedule is integrated or inverted there.
 
 Scale: documents are summed by source and hash bucket before anything else, so
 prefix sums run over at most ``16 ** digits`` buckets of a source and then over
