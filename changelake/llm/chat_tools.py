@@ -141,9 +141,11 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and waits of plain transcripts.
 
     Every turn that isn't an assistant's is a call; the assistant's turn after it
-    is its result.  A call waits for the result of the turn before it.
+    is its result.  A call waits for the result of the turn before it.  A turn
+    without a number has a null identifier, so ``link`` drops it; one without a
+    role is neither call nor result and goes, as in the oracle SQL.
     """
-    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     asks = turns.where("role <> 'assistant'")
     calls = asks.select("conv_id", name(F.col("turn")).alias("call_id"), F.col("turn").alias("seq"), F.lit("chat").alias("name"), F.to_json(F.struct("turn", "text", "role")).alias("arguments"))
     answers = turns.where("role = 'assistant'")

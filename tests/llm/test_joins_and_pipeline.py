@@ -47,6 +47,18 @@ def test_links_validation_and_canonical_json(spark):
     assert linked(spark, [], []) == {}
 
 
+def test_turns_without_number_or_role_as_in_the_oracle(spark, tmp_path):
+    from pathlib import Path
+
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, None, "user", "c"), (1, None, "user", "d"), (1, None, "assistant", "e"), (1, 2, None, "f"), (1, 3, "user", None), (None, 1, "user", "g"), (2, None, "user", "h")]
+    spark.createDataFrame(turns, spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").schema).coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    for table in Path(DATA).glob("*.parquet"):
+        if table.name != "conversations.parquet":
+            (tmp_path / table.name).symlink_to(table)
+    got = rows(chat_tools.op3_chat_tools(spark, str(tmp_path)).toPandas())
+    assert got == rows(oracle(chat_tools.ORACLES["op3_chat_tools"], str(tmp_path))) and len(got[1]) == 2
+
+
 def test_levels_of_chains_graphs_and_cycles(spark):
     calls = [(1, str(i), i, "now", "{}") for i in range(20)] + [(2, c, 0, "now", "{}") for c in "abc"]
     chain = [(1, str(i), str(i + 1)) for i in range(19)] + [(2, "a", "b"), (2, "b", "a"), (2, "c", "a"), (1, "19", "nobody")]
