@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
 from urllib.parse import urlsplit, urlunsplit
 
 from pyspark.sql import Column
@@ -34,6 +36,38 @@ def category(message: Column) -> Column:
     return out
 
 
+def category_of(message: str) -> str:
+    """As ``category``, of one text."""
+    low = message.lower()
+    return next((name for name, words in CATEGORIES if any(w in low for w in words)), "unknown_error")
+
+
+@dataclass(frozen=True)
+class StreamError:
+    """What a source's error says of itself."""
+
+    kind: str
+    code: int | None = None
+    labels: tuple[str, ...] = ()
+
+    @property
+    def retryable(self) -> bool:
+        return self.kind == "connection" and self.code != FATAL_CODE and (self.code in RETRYABLE_CODES or any(x in RETRYABLE_LABELS for x in self.labels))
+
+    @property
+    def category(self) -> str:
+        return "invalid_token" if self.kind == "connection" and self.code == FATAL_CODE else self.kind
+
+
+_SOURCE_ERROR = re.compile(r"\[source error kind=(\w+) code=(\d*) labels=([\w,]*)\]")
+
+
+def stream_error(message: str) -> StreamError | None:
+    """The source error that a failed query's message carries, if it does."""
+    found = _SOURCE_ERROR.search(message)
+    return StreamError(found[1], int(found[2]) if found[2] else None, tuple(filter(None, found[3].split(",")))) if found else None
+
+
 def stream_category(kind: Column, code: Column) -> Column:
     """The metric label of a source error: its kind, or ``invalid_token`` for the fatal code."""
     return F.when((kind == "connection") & (code == FATAL_CODE), "invalid_token").otherwise(kind)

@@ -83,14 +83,19 @@ def flat7(include_update: bool = False) -> list[Column]:
     return [*out, F.to_json("update_description").alias("update_description")] if include_update else out
 
 
+def one_line(document: Column) -> Column:
+    """A JSON text without line ends: they can only stand between its members, where a space will do."""
+    return F.translate(document, "\r\n", "  ")
+
+
 def json_line() -> Column:
-    """An event as one JSON line: absent members left out, documents spliced in as they are."""
+    """An event as one JSON line: absent members left out, documents spliced in, on one line."""
     text = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
     part = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
     delta = F.col("update_description")
     truncated = F.when(delta["truncatedArrays"].isNotNull(), F.concat(F.lit(',"truncatedArrays":'), F.to_json(delta["truncatedArrays"]))).otherwise("")
-    update = F.when(delta.isNotNull(), F.concat(F.lit('"updateDescription":{"updatedFields":'), F.coalesce(delta["updatedFields"], F.lit("{}")), F.lit(',"removedFields":'), F.coalesce(F.to_json(delta["removedFields"]), F.lit("[]")), truncated, F.lit("}")))
+    update = F.when(delta.isNotNull(), F.concat(F.lit('"updateDescription":{"updatedFields":'), F.coalesce(one_line(delta["updatedFields"]), F.lit("{}")), F.lit(',"removedFields":'), F.coalesce(F.to_json(delta["removedFields"]), F.lit("[]")), truncated, F.lit("}")))
     namespace = F.concat(F.lit('{"database":'), text(F.col("database")), F.lit(',"collection":'), text(F.col("collection")), F.lit("}"))
     time = F.date_format(F.to_utc_timestamp("cluster_time", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    members = F.concat_ws(",", part("operationType", text(F.col("operation"))), part("ns", namespace), part("documentKey", F.col("document_key")), part("fullDocument", F.col("full_document")), update, part("clusterTime", text(time)), part("_id", F.col("resume_token")))
+    members = F.concat_ws(",", part("operationType", text(F.col("operation"))), part("ns", namespace), part("documentKey", one_line(F.col("document_key"))), part("fullDocument", one_line(F.col("full_document"))), update, part("clusterTime", text(time)), part("_id", one_line(F.col("resume_token"))))
     return F.concat(F.lit("{"), members, F.lit("}"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,14 @@ def object_key(strategy: str, prefix: str | None, collection: Column | str, time
     return F.concat(*([F.lit(f"{prefix}/")] if prefix else []), *pieces)
 
 
+def object_name(strategy: str, prefix: str | None, collection: str, time: datetime, extension: str, compression: str = "", part: str = "") -> str:
+    """As ``object_key``, of one object; ``part`` follows the timestamp."""
+    ms = (time - datetime(1970, 1, 1, tzinfo=time.tzinfo)) // timedelta(milliseconds=1)
+    pattern = PATTERNS[strategy] if prefix else PATTERNS[strategy].removeprefix("{prefix}/")
+    fields = {k: f"{time:{v}}" for k, v in {"YYYY": "%Y", "MM": "%m", "DD": "%d", "HH": "%H"}.items()}
+    return pattern.format(prefix=prefix, name=collection, collection=collection, timestamp=f"{ms}{part}", ext=extension + compression, **fields)
+
+
 def resume_token_key(level: Column, database: Column, collection: Column) -> Column:
     """One key for each scope, used for reading and writing alike."""
     named = F.when(collection.isNull(), F.concat(F.lit("resume_token:"), database)).otherwise(F.concat(F.lit("resume_token:"), database, F.lit(":"), collection))

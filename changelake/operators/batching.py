@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,23 +55,49 @@ def by_bytes(events: DataFrame, limit: int, size: Column, keys: list[str], order
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema.fields) + ", batch long"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held, batch = None, 0, 0
+        # The group that the last frame ended in, the bytes of its open batch (none yet: None), and that batch's number.
+        last, held, batch = None, None, 0
         for frame in frames:
-            out = []
-            for row in zip(*(frame[k] for k in keys), frame["bytes"], strict=True):
-                if row[:-1] != last:
-                    last, held, batch = row[:-1], 0, 0
-                    first = True
-                if not first and held + row[-1] > limit:
-                    held, batch = 0, batch + 1
-                held += row[-1]
-                first = False
-                out.append(batch)
+            n, sizes = len(frame), frame["bytes"].to_numpy(np.int64)
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            fresh = np.ones(n, bool)
+            if n > 1:
+                fresh[1:] = np.any([(frame[k].to_numpy()[1:] != frame[k].to_numpy()[:-1]) for k in keys], axis=0)
+            starts = np.flatnonzero(fresh) if n else np.array([], int)
+            out = np.empty(n, np.int64)
+            for a, b in zip(starts, [*starts[1:], n], strict=True):
+                group = tuple(frame[k].iat[a] for k in keys)
+                if group != last:
+                    last, held, batch = group, None, 0
+                at = a
+                while at < b:
+                    # Rows up to here still fit; an empty batch takes one row whatever its size.
+                    end = int(np.searchsorted(total, total[at] + limit - (held or 0), "right")) - 1
+                    end = min(b, max(end, at + 1 if held is None else at))
+                    out[at:end] = batch
+                    if end < b:
+                        held, batch = None, batch + 1
+                    else:
+                        held = (held or 0) + int(total[end] - total[at])
+                    at = end
             yield frame.assign(batch=out)
 
     return sized.mapInPandas(run, schema)
 
 
+def capped(events: DataFrame, size: int, rows: int, worker: str = "collection", order: list[str] = ("cluster_time", "resume_token"), bucket: int = 32) -> DataFrame:
+    """Add lane and chunk: runs of at most ``size`` events of a worker, in a micro-batch of about ``rows`` events.
+
+    A micro-batch of more than ``bucket`` batches is dealt over lanes by a hash of
+    the token, so the window of a worker with most of the events is spread.  The
+    same events get the same lanes and chunks again.
+    """
+    lanes = max(1, -(-rows // (size * bucket)))
+    dealt = events.withColumn("lane", F.pmod(F.xxhash64("resume_token"), F.lit(lanes)).cast("int"))
+    within = Window.partitionBy(worker, "lane").orderBy(*order)
+    return dealt.withColumn("chunk", F.floor((F.row_number().over(within) - 1) / F.lit(size)).cast("long"))
+
+
 def simulate_size_or_time(times_us: list[int], size: int, timeout_us: int, start_us: int = 0) -> list[int]:
     """Batch sizes of one worker, by running its loop: the reference for tests."""
     out, held, due = [], 0, start_us + timeout_us

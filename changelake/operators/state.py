@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from changelake import schema
 
 
 def dedup_by_key(events: DataFrame, key: str = "document_key", order: str = "event_id") -> DataFrame:
@@ -34,6 +40,47 @@ def pre_image(events: DataFrame, keys: list[str], order: str = "event_id") -> Da
     return events.withColumn("full_document_before_change", F.lag("full_document").over(Window.partitionBy(*keys).orderBy(order)))
 
 
+def images(events: DataFrame, lookup: bool = True, before: bool = False, order: str = "seq", keys: tuple[str, ...] = ("database", "collection", "document_key")) -> DataFrame:
+    """A stream of events with the versions of documents that the stream itself has seen.
+
+    ``lookup`` fills updates that have no document with its last version;
+    ``before`` adds full_document_before_change.  The last version of each document
+    is the query's state, in Spark's state store; a delete clears it.  Events of a
+    document in one micro-batch meet in one task, so the source's admission limit
+    bounds them.  Events without a document key pass as they are.
+    """
+    shape = T.StructType([f for f in events.schema.fields if f.name != "update_description"])
+    if before:
+        shape = T.StructType([*shape.fields, T.StructField("full_document_before_change", T.StringType())])
+    wire = T.StructType([*shape.fields, T.StructField("update_description", T.StringType())])
+    by = {f"__{c}": F.coalesce(c, F.lit("")) for c in keys} | {"__alone": F.when(F.col("document_key").isNull(), F.col("resume_token")).otherwise("")}
+
+    def run(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        last = state.get[0] if state.exists else None
+        filled, earlier = [], []
+        for operation, document in zip(rows["operation"], rows["full_document"], strict=True):
+            document = None if document is None or pd.isna(document) else document
+            earlier.append(last)
+            if operation == "delete":
+                last = None
+            elif document is not None:
+                last = document
+            filled.append(last if lookup and operation == "update" and document is None else document)
+        if rows["document_key"].notna().any():
+            if last is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((last,))
+        rows = rows.assign(full_document=filled, **({"full_document_before_change": earlier} if before else {}))
+        yield rows[wire.names]
+
+    flat = events.withColumn("update_description", F.to_json("update_description")).withColumns(by)
+    out = flat.groupBy(*by).applyInPandasWithState(run, wire, "last string", "append", "NoTimeout")
+    return out.withColumn("update_description", F.from_json("update_description", schema.UPDATE))
+
+
 def token_sequence(token: Column) -> Column:
     """The sequence number within a resume token."""
     return F.regexp_extract(token, r'_([0-9]+)"', 1).try_cast("long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from changelake.functions import errors as X
 from changelake.functions import keys as K
 from changelake.operators import state as S
+from changelake.operators.health import lock_alerts
 from changelake.operators.locks import replay
 from changelake.plans.changelog import CHG, changelog
 from changelake.plans.registry import query
@@ -54,7 +55,7 @@ def q_list_tokens(spark, sf_dir):
 LOCKS = "(SELECT event_id AS seq, epoch_us(ts) // 1000000 AS sec, event_type AS key, concat('w', user_id % 3) AS owner, CASE event_id % 4 WHEN 0 THEN 'acquire' WHEN 1 THEN 'refresh' WHEN 2 THEN 'is_locked' ELSE CASE WHEN user_id % 2 = 0 THEN 'release' ELSE 'acquire' END END AS action FROM events)"
 
 
-@query(f"""WITH RECURSIVE ops AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM {LOCKS}),
+REPLAY = f"""WITH RECURSIVE ops AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM {LOCKS}),
 state AS (
   SELECT key, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, '' AS owner, '' AS action, false AS ok, CAST(NULL AS VARCHAR) AS holder, CAST(0 AS BIGINT) AS until FROM ops WHERE rn = 1
   UNION ALL
@@ -62,7 +63,10 @@ state AS (
          CASE WHEN ok AND action IN ('acquire', 'refresh') THEN sec + 3600 ELSE until END
   FROM (SELECT *, CASE action WHEN 'acquire' THEN live IS NULL WHEN 'is_locked' THEN live IS NOT NULL ELSE coalesce(live = owner, false) END AS ok
         FROM (SELECT o.key, o.rn, o.seq, o.owner, o.action, o.sec, s.until, CASE WHEN o.sec < s.until THEN s.holder END AS live FROM state s JOIN ops o ON o.key = s.key AND o.rn = s.rn + 1)))
-SELECT seq, key, owner, action, ok, holder FROM state WHERE rn > 0""")
+"""
+
+
+@query(REPLAY + "SELECT seq, key, owner, action, ok, holder FROM state WHERE rn > 0")
 def q_lock_replay(spark, sf_dir):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -70,3 +74,8 @@ def q_lock_replay(spark, sf_dir):
     action = F.when(turn == 0, "acquire").when(turn == 1, "refresh").when(turn == 2, "is_locked").otherwise(F.when(F.col("user_id") % 2 == 0, "release").otherwise("acquire"))
     requests = e.select(F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("key"), F.concat(F.lit("w"), F.col("user_id") % 3).alias("owner"), action.alias("action"), F.lit(3600).alias("ttl"))
     return replay(requests)
+
+
+@query(REPLAY + ", a AS (SELECT key, count(*) FILTER (action = 'refresh' AND NOT ok) AS lost, CASE WHEN max_by(struct_pack(h := holder), seq).h IS NULL THEN 0 ELSE 1 END AS held FROM state WHERE rn > 0 GROUP BY key) SELECT key, lost, held FROM a WHERE lost > 0 OR held = 0")
+def q_alert_locks(spark, sf_dir):
+    return lock_alerts(q_lock_replay(spark, sf_dir))

@@ -40,23 +40,27 @@ def q_sink_parquet(spark, sf_dir):
 
 @query(CHG + FLAT_SQL)
 def q_sink_avro(spark, sf_dir):
-    from collections.abc import Iterator
+    keys = ["collection", "tick", "chunk"]
+    name = K.object_key("hive", "data", "collection", F.timestamp_micros(F.col("tick") * 86_400_000_000), "avro")
+    return _back(files.from_text(files.decoded_avro(files.objects(batched(spark, sf_dir), keys, name))))
+
 
-    import pandas as pd
+def _messy(spark, sf_dir, fmt, **options):
+    """Documents spread over lines, with quotes and commas in a text, and spaces at the end."""
+    path = workspace(spark)
+    document = F.concat(F.lit('{\n  "k": '), F.get_json_object("full_document", "$.k"), F.lit(',\r\n  "note": "a, \\"b\\" c"\n} '))
+    files.write(changelog(spark, sf_dir).withColumn("full_document", document), path, fmt, time=F.col("cluster_time"), **options)
+    return _back(files.read(spark, path, fmt))
 
-    from changelake.sinks import avro
 
-    keys = ["collection", "tick", "chunk"]
-    name = K.object_key("hive", "data", "collection", F.timestamp_micros(F.col("tick") * 86_400_000_000), "avro")
-    made = files.objects(batched(spark, sf_dir), keys, name)
+@query(CHG + """SELECT operation, database, collection, cluster_time, document_key, '{"k":' || json_extract_string(full_document, '$.k') || ',"note":"a, \\"b\\" c"}' AS full_document, resume_token FROM chg""")
+def q_sink_json_over_lines(spark, sf_dir):
+    return _messy(spark, sf_dir, "json", layout="date", compression="gzip")
 
-    def decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                yield pd.DataFrame(list(avro.decode(content)), columns=avro.COLUMNS)
 
-    rows = made.select("content").mapInPandas(decoded, ", ".join(f"{c} string" for c in avro.COLUMNS))
-    return _back(files.from_text(rows))
+@query(CHG + """SELECT operation, database, collection, cluster_time, document_key, '{' || chr(10) || '  "k": ' || json_extract_string(full_document, '$.k') || ',' || chr(13) || chr(10) || '  "note": "a, \\"b\\" c"' || chr(10) || '} ' AS full_document, resume_token FROM chg""")
+def q_sink_csv_over_lines(spark, sf_dir):
+    return _messy(spark, sf_dir, "csv", layout="collection")
 
 
 @query(CHG + "SELECT operation, collection, resume_token FROM chg WHERE collection = 'users' AND strftime(cluster_time, '%Y-%m-%d') = '2024-01-02'")

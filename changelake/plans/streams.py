@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
+import time
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from changelake import schema
 from changelake.functions import events as E
+from changelake.operators.state import token_sequence
 from changelake.plans.changelog import CHG, changelog, workspace
 from changelake.plans.events import COMPACT_SQL
 from changelake.plans.registry import query
 from changelake.sinks.base import ConnectionFailed
-from changelake.sinks.files import FileDestination, read
-from changelake.sources.replay import watch
-from changelake.streaming.config import LockConfig, PipelineConfig
-from changelake.streaming.pipeline import Pipeline
+from changelake.sinks.buckets import ObjectDestination
+from changelake.sinks.files import FileDestination, read, read_objects
+from changelake.sources.replay import ReplaySource, ReplayStream, SourceError, watch
+from changelake.streaming.config import LockConfig, PipelineConfig, StreamConfig, WatchLevel
+from changelake.streaming.pipeline import Pipeline, Workers
 from changelake.streaming.stores import MemoryStore
 
 
-def publish(spark, sf_dir, path, files=4):
+def publish(spark, sf_dir, path, files=4, log=None):
     """The change log as JSON lines, in some files ordered by sequence."""
-    log = changelog(spark, sf_dir)
+    log = changelog(spark, sf_dir) if log is None else log
     line = F.concat(F.regexp_replace(E.json_line(), r"\}$", ""), F.lit(',"seq":'), F.col("event_id").cast("string"), F.lit("}"))
     log.repartitionByRange(files, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
 
 
 def _config(**options):
-    return PipelineConfig(database="testdb", lock=LockConfig(enabled=False), **options)
+    return PipelineConfig(**{"database": "testdb", "batch_size": 10_000, "lock": LockConfig(enabled=False)} | options)
+
+
+def _flat(events):
+    return events.select(*schema.FLAT7).withColumn("cluster_time", F.col("cluster_time").cast("timestamp_ntz"))
 
 
 def _read(spark, path):
-    return read(spark, path, "parquet").select(*schema.FLAT7).withColumn("cluster_time", F.col("cluster_time").cast("timestamp_ntz"))
+    return _flat(read(spark, path, "parquet"))
+
+
+def _replay(spark, path, source=ReplaySource, **options):
+    """The published log by the replay source: files in the order of their names, one a micro-batch."""
+    spark.dataSource.register(source)
+    return spark.readStream.format(source.name()).options(path=path, suffix=".txt", level="deployment", max_files=1, **options).load()
 
 
 @query(CHG + COMPACT_SQL)
@@ -65,6 +80,129 @@ def q_stream_restart(spark, sf_dir):
     return _read(spark, f"{root}/out")
 
 
+def _objects(fmt, compression, strategy, sql):
+    """A stream that writes whole objects of at most 1,000 events by a key strategy, read back."""
+
+    def f(spark, sf_dir):
+        root = workspace(spark)
+        publish(spark, sf_dir, f"{root}/log")
+        sink = ObjectDestination(f"{root}/out", fmt, compression, strategy, "data")
+        Pipeline(_config(batch_size=1000), watch(spark, f"{root}/log"), sink, MemoryStore(), f"{root}/checkpoint").run_once()
+        return _flat(read_objects(spark, f"{root}/out", fmt, compression))
+
+    f.__name__ = f"q_stream_key_{strategy}"
+    return query(CHG + sql)(f)
+
+
+_objects("avro", "gzip", "hive", COMPACT_SQL)
+_objects("json", "zstd", "date_hour", COMPACT_SQL)
+_objects("csv", "gzip", "date", COMPACT_SQL)
+_objects("parquet", "zstd", "collection", COMPACT_SQL)
+_objects("json", "gzip", "flat", COMPACT_SQL)
+
+
+@query(CHG + "SELECT event_id, collection FROM chg WHERE event_id > (SELECT CAST(count(*) // 3 AS BIGINT) FROM chg)")
+def q_stream_resume(spark, sf_dir):
+    """The replay source from a token in the middle of a file on."""
+    root, log = workspace(spark), changelog(spark, sf_dir)
+    publish(spark, sf_dir, f"{root}/log", log=log)
+    third = log.count() // 3
+    token = log.where(F.col("event_id") == third).first()["resume_token"]
+    sink = FileDestination(f"{root}/out", "parquet", layout="collection")
+    Pipeline(_config(), _replay(spark, f"{root}/log", resume_after=token), sink, MemoryStore(), f"{root}/checkpoint").run_once()
+    return read(spark, f"{root}/out").select(token_sequence(F.col("resume_token")).alias("event_id"), "collection")
+
+
+@query(CHG + "SELECT c.event_id, c.collection FROM chg c LEFT JOIN (SELECT collection, min(event_id) AS stop FROM chg WHERE operation = 'invalidate' GROUP BY collection) s ON c.collection = s.collection WHERE c.collection IN ('users', 'orders') AND (s.stop IS NULL OR c.event_id < s.stop)")
+def q_stream_invalidate(spark, sf_dir):
+    """Watched collections end at their first invalidate, over several micro-batches."""
+    root = workspace(spark)
+    publish(spark, sf_dir, f"{root}/log")
+    sink = FileDestination(f"{root}/out", "parquet", layout="collection")
+    config = _config(watch_level=WatchLevel("collection", ("users", "orders")))
+    Pipeline(config, _replay(spark, f"{root}/log"), sink, MemoryStore(), f"{root}/checkpoint").run_once()
+    return read(spark, f"{root}/out").select(token_sequence(F.col("resume_token")).alias("event_id"), "collection")
+
+
+_NUMBER = "CAST(json_extract_string(full_document, '$.k') AS BIGINT)"
+
+
+@query(CHG + f""", bare AS (SELECT event_id, operation, collection, document_key, CASE WHEN operation <> 'update' THEN {_NUMBER} END AS own FROM chg),
+marked AS (SELECT *, max(CASE WHEN operation = 'delete' THEN event_id END) OVER w AS gone FROM bare WINDOW w AS (PARTITION BY collection, document_key ORDER BY event_id)),
+seen AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY collection, document_key, gone ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS state FROM marked)
+SELECT event_id, CASE WHEN operation = 'update' THEN state ELSE own END AS k, lag(CASE WHEN operation <> 'delete' THEN state END) OVER (PARTITION BY collection, document_key ORDER BY event_id) AS k_before FROM seen WHERE document_key IS NOT NULL""")
+def q_stream_images(spark, sf_dir):
+    """Updates without documents get the last version, and all events the one before, from the stream's state."""
+    root = workspace(spark)
+    bare = changelog(spark, sf_dir).withColumn("full_document", F.when(F.col("operation") != "update", F.col("full_document"))).withColumn("update_description", F.lit(None).cast(schema.UPDATE))
+    publish(spark, sf_dir, f"{root}/log", log=bare)
+    config = _config(stream=StreamConfig(images="state", full_document_before_change=True))
+    events = Pipeline(config, _replay(spark, f"{root}/log"), FileDestination(f"{root}/unused"), MemoryStore(), f"{root}/checkpoint").events()
+    events.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    k = lambda c: F.get_json_object(c, "$.k").cast("long")
+    out = spark.read.schema("seq long, document_key string, full_document string, full_document_before_change string").parquet(f"{root}/out")
+    return out.where("document_key IS NOT NULL").select(F.col("seq").alias("event_id"), k("full_document").alias("k"), k("full_document_before_change").alias("k_before"))
+
+
+@query(CHG + COMPACT_SQL)
+def q_stream_workers(spark, sf_dir):
+    """A query, checkpoint, token and lease for each collection."""
+    root = workspace(spark)
+    publish(spark, sf_dir, f"{root}/log")
+    config = _config(watch_level=WatchLevel("collection", ("users", "orders", "products")), stream=StreamConfig(stop_on_invalidate=False), lock=LockConfig())
+    Workers(config, watch(spark, f"{root}/log"), lambda c: FileDestination(f"{root}/out/{c}", "parquet", layout="flat"), MemoryStore(), f"{root}/checkpoint").run_once()
+    return _flat(reduce(lambda a, b: a.unionByName(b), [spark.read.parquet(f"{root}/out/{c}") for c in ("users", "orders", "products")]))
+
+
+class FlakyStream(ReplayStream):
+    """Loses the connection the first time that it reads a file."""
+
+    def read(self, partition):
+        import os
+
+        seen = f"{partition.path}.seen"
+        if not os.path.exists(seen):
+            open(seen, "w").close()
+            raise SourceError("connection reset by peer", code=6)
+        return super().read(partition)
+
+
+class FlakySource(ReplaySource):
+    @classmethod
+    def name(cls):
+        return "changelake_flaky"
+
+    def streamReader(self, schema):
+        return FlakyStream(self.options)
+
+
+@query(CHG + COMPACT_SQL)
+def q_stream_reconnect(spark, sf_dir):
+    """A source that fails once for every file; the stream opens again from its checkpoint."""
+    root = workspace(spark)
+    publish(spark, sf_dir, f"{root}/log")
+    sink = FileDestination(f"{root}/out", "parquet", layout="collection")
+    config = _config(stream=StreamConfig(initial_backoff=0.01, max_reconnect_attempts=20))
+    Pipeline(config, _replay(spark, f"{root}/log", FlakySource), sink, MemoryStore(), f"{root}/checkpoint").run_once()
+    return _read(spark, f"{root}/out")
+
+
+@query(CHG + COMPACT_SQL)
+def q_stream_drain(spark, sf_dir):
+    """A running stream that is stopped writes what came in since its last micro-batch."""
+    root, log = workspace(spark), changelog(spark, sf_dir)
+    publish(spark, sf_dir, f"{root}/log/a", log=log.where("event_id % 2 = 0"))
+    sink = FileDestination(f"{root}/out", "parquet", layout="collection")
+    pipeline = Pipeline(_config(batch_timeout=3600), watch(spark, f"{root}/log/*"), sink, MemoryStore(), f"{root}/checkpoint").start()
+    for _ in range(600):  # the first micro-batch starts at once, the next an hour later
+        if pipeline.stats.batches_written or not pipeline.is_running():
+            break
+        time.sleep(0.1)
+    publish(spark, sf_dir, f"{root}/log/b", log=log.where("event_id % 2 = 1"))
+    pipeline.stop()
+    return _read(spark, f"{root}/out")
+
+
 # --- extensions: not operators of the change-data-capture engine, but what Spark adds -----------
 
 

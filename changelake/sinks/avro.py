@@ -7,6 +7,9 @@ import json
 import zlib
 from collections.abc import Iterable, Iterator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 MAGIC = b"Obj\x01"
 TEXT, OPTIONAL = "string", ["null", "string"]
 SCHEMA = {
@@ -38,8 +41,36 @@ def _value(kind, v: str | None) -> bytes:
     return _long(0) if v is None else _long(1) + _bytes(v.encode())
 
 
+def _varint(n: Column) -> Column:
+    """A length as a zig-zag variable-length integer; lengths are below 2 ** 34."""
+    z = n.cast("long") * 2
+    byte = lambda v: F.unhex(F.lpad(F.hex(v), 2, "0"))
+    piece = lambda i, last: byte(F.shiftright(z, 7 * i).bitwiseAND(127) if last else F.shiftright(z, 7 * i).bitwiseAND(127).bitwiseOR(128))
+    whole = lambda k: F.concat(*[piece(i, i == k - 1) for i in range(k)]) if k > 1 else piece(0, True)
+    out = whole(5)
+    for k in (4, 3, 2, 1):
+        out = F.when(z < (1 << 7 * k), whole(k)).otherwise(out)
+    return out
+
+
+def row(columns: dict[str, Column] | None = None) -> Column:
+    """A flat event as the bytes of one Avro record: all in expressions.  Optional texts are null where they are empty."""
+    parts = []
+    for f in SCHEMA["fields"]:
+        c = (columns or {}).get(f["name"], F.col(f["name"])).cast("binary")
+        text = F.concat(_varint(F.octet_length(c)), c)
+        parts.append(text if f["type"] == TEXT else F.when(c.isNull() | (F.octet_length(c) == 0), F.lit(b"\x00")).otherwise(F.concat(F.lit(b"\x02"), text)))
+    return F.concat(*parts)
+
+
 def encode(rows: Iterable[tuple], codec: str = "null", block: int = 4000) -> bytes:
     """Rows in the order of COLUMNS as one file."""
+    kinds = [f["type"] for f in SCHEMA["fields"]]
+    return assemble((b"".join(_value(k, v) for k, v in zip(kinds, row, strict=True)) for row in rows), codec, block)
+
+
+def assemble(records: Iterable[bytes], codec: str = "null", block: int = 4000) -> bytes:
+    """Encoded records as one file."""
     schema = json.dumps(SCHEMA, separators=(",", ":")).encode()
     sync = hashlib.md5(schema).digest()
     out = [MAGIC, _long(2), _bytes(b"avro.schema"), _bytes(schema), _bytes(b"avro.codec"), _bytes(codec.encode()), _long(0), sync]
@@ -52,9 +83,8 @@ def encode(rows: Iterable[tuple], codec: str = "null", block: int = 4000) -> byt
         out.extend((_long(len(held)), _bytes(data), sync))
         held.clear()
 
-    kinds = [f["type"] for f in SCHEMA["fields"]]
-    for row in rows:
-        held.append(b"".join(_value(k, v) for k, v in zip(kinds, row, strict=True)))
+    for record in records:
+        held.append(record)
         if len(held) == block:
             flush()
     if held:

@@ -75,7 +75,13 @@ class Metadata:
 
 
 class Destination(ABC):
-    """write_batch, flush, close.  Writing after close is an error; flush and close are not."""
+    """write_batch, flush, close.  Writing after close is an error; flush and close are not.
+
+    ``limit`` is the most events a file or object holds; a pipeline sets it to its
+    batch size where the destination has none of its own.
+    """
+
+    limit: int | None = None
 
     def __init__(self) -> None:
         self.closed = False
@@ -133,6 +139,19 @@ class BucketConfig:
         if self.prefix and (".." in self.prefix or self.prefix.startswith("/")):
             raise ConfigurationError("a prefix has no '..' and no leading '/'")
 
+    def client(self) -> dict:
+        """The options of pyarrow's S3 client."""
+        out = {"region": self.region, "force_virtual_addressing": not self.force_path_style and self.endpoint_url is not None, "max_attempts": self.max_retries + 1}
+        if self.endpoint_url:
+            scheme, found, host = self.endpoint_url.partition("://")
+            out |= {"endpoint_override": host if found else scheme, "scheme": scheme if found else "https"}
+        return out
+
+    def hadoop(self) -> dict[str, str]:
+        """The options of Hadoop's S3A client, for destinations that Spark writes."""
+        out = {"fs.s3a.endpoint.region": self.region, "fs.s3a.path.style.access": str(self.force_path_style).lower(), "fs.s3a.attempts.maximum": str(self.max_retries)}
+        return out | ({"fs.s3a.endpoint": self.endpoint_url} if self.endpoint_url else {})
+
     @property
     def path(self) -> str:
         return f"s3a://{self.bucket}/{self.prefix or ''}".rstrip("/")

@@ -12,9 +12,12 @@ formats and codecs Spark lacks (Avro, zstd lines) and for exact object names.
 from __future__ import annotations
 
 import gzip
+import io
+import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from changelake.sinks.base import ConfigurationError, Destination, Metadata, Ser
 
 FORMATS = ("json", "csv", "parquet", "avro")
 LAYOUTS = {"hive": ("collection", "year", "month", "day", "hour"), "date_hour": ("collection", "year", "month", "day", "hour"), "date": ("collection", "year", "month", "day"), "collection": ("collection",), "flat": ()}
+#: Documents may hold line ends, quotes, commas and spaces at either end.
+CSV = {"header": True, "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 _PARTS = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
 
 
@@ -47,8 +52,23 @@ def text_rows(events: DataFrame) -> DataFrame:
     return events.withColumn("operation", E.display_name()).withColumn("cluster_time", rfc3339(F.col("cluster_time"))).withColumn("document_key", F.coalesce("document_key", F.lit(""))).withColumn("full_document", F.coalesce("full_document", F.lit("")))
 
 
-def write(events: DataFrame, path: str, fmt: str = "json", compression: str = "none", layout: str = "hive", time: Column | None = None, epoch: int | None = None, include_update: bool = False) -> None:
-    """Write a batch below ``path``; with an epoch, replacing only that epoch's files."""
+def gathered(rows: DataFrame, columns: list[str], spread: int = 8) -> DataFrame:
+    """Rows of a layout's partitions brought together, so that each gets few files.
+
+    With adaptive execution the rebalance hint splits a large partition by its
+    bytes.  Micro-batches run without it: there a partition's rows go to ``spread``
+    tasks by a hash, so that one hot collection doesn't end in one task.
+    """
+    by = [c for c in columns if c != "epoch"]  # the same for all rows
+    if not by:
+        return rows
+    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return rows.hint("rebalance", *by)
+    return rows.withColumn("__lane", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in by]), F.lit(spread))).repartition(*by, "__lane").drop("__lane")
+
+
+def write(events: DataFrame, path: str, fmt: str = "json", compression: str = "none", layout: str = "hive", time: Column | None = None, epoch: int | None = None, include_update: bool = False, limit: int | None = None) -> None:
+    """Write a batch below ``path``, in files of at most ``limit`` rows; with an epoch, replacing only that epoch's files."""
     if fmt not in ("json", "csv", "parquet"):
         raise ConfigurationError(f"Spark cannot write {fmt}; use objects()")
     if compression == "zstd" and fmt != "parquet":
@@ -64,14 +84,15 @@ def write(events: DataFrame, path: str, fmt: str = "json", compression: str = "n
         update = [F.to_json("update_description").alias("update_description")] if include_update else []
         rows = rows.select(*columns, *flat, *update)
     codec = {"none": "uncompressed" if fmt == "parquet" else "none"}.get(compression, compression)
-    # One set of files for each partition of the layout, whatever the batch's own partitioning.
-    out = (rows.repartition(*columns) if columns else rows).write.option("compression", codec)
+    out = gathered(rows, columns).write.option("compression", codec)
+    if limit:
+        out = out.option("maxRecordsPerFile", limit)
     out = out.mode("overwrite" if epoch is not None else "append").option("partitionOverwriteMode", "dynamic")
     out = out.partitionBy(*columns) if columns else out
     if fmt == "json":
         out.text(path)
     elif fmt == "csv":
-        out.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+        out.options(**CSV, emptyValue="").csv(path)
     else:
         out.parquet(path)
 
@@ -81,14 +102,19 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "parquet":
         return spark.read.option("partitionOverwriteMode", "dynamic").parquet(path)
     if fmt == "json":
-        shape = "struct<operationType: string, ns: struct<database: string, collection: string>, documentKey: string, fullDocument: string, clusterTime: timestamp, _id: string>"
-        e = spark.read.text(path).select(F.from_json("value", shape).alias("e")).select("e.*")
-        return e.select(F.col("operationType").alias("operation"), "ns.database", "ns.collection", F.col("clusterTime").alias("cluster_time"), F.col("documentKey").alias("document_key"), F.col("fullDocument").alias("full_document"), F.col("_id").alias("resume_token"))
+        return from_lines(spark.read.text(path))
     if fmt == "csv":
-        return from_text(spark.read.option("header", True).option("escape", '"').csv(path))  # columns by the header's names, all text
+        return from_text(spark.read.options(**CSV, multiLine=True).csv(path))  # columns by the header's names, all text
     return from_text(read_avro(spark, path))
 
 
+def from_lines(lines: DataFrame) -> DataFrame:
+    """Flat events of a column ``value`` of JSON lines."""
+    shape = "struct<operationType: string, ns: struct<database: string, collection: string>, documentKey: string, fullDocument: string, clusterTime: timestamp, _id: string>"
+    e = lines.select(F.from_json("value", shape).alias("e")).select("e.*")
+    return e.select(F.col("operationType").alias("operation"), "ns.database", "ns.collection", F.col("clusterTime").alias("cluster_time"), F.col("documentKey").alias("document_key"), F.col("fullDocument").alias("full_document"), F.col("_id").alias("resume_token"))
+
+
 def from_text(rows: DataFrame) -> DataFrame:
     """Flat text rows as events: the reverse of ``text_rows``."""
     shown = F.col("operation")
@@ -100,19 +126,43 @@ def from_text(rows: DataFrame) -> DataFrame:
 def read_avro(spark: SparkSession, path: str) -> DataFrame:
     """Flat text rows of Avro objects; whole files are decoded in the executors."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                yield pd.DataFrame(list(avro.decode(content)), columns=avro.COLUMNS)
+    return decoded_avro(_whole(spark, path, ".avro"))
+
+
+def decoded_avro(contents: DataFrame) -> DataFrame:
+    """Flat text rows of a column ``content`` of whole Avro files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = list(avro.decode(content.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * len(avro.COLUMNS))], avro.COLUMNS)
+
+    return contents.select("content").mapInArrow(run, ", ".join(f"{c} string" for c in avro.COLUMNS))
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.avro").load(path).select("content")
-    return files.mapInPandas(run, ", ".join(f"{c} string" for c in avro.COLUMNS))
 
+def _whole(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path).select("content")
 
-def _encode(rows: list[tuple], fmt: str) -> bytes:
+
+def read_objects(spark: SparkSession, path: str, fmt: str, compression: str = "none") -> DataFrame:
+    """Flat events of a tree of objects, whatever their names."""
     if fmt == "avro":
-        return avro.encode(rows)
-    return ("\n".join(r[0] for r in rows) + "\n").encode()
+        return from_text(read_avro(spark, path))
+    if compression == "zstd" and fmt != "parquet":
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column("content"):
+                    yield pa.RecordBatch.from_arrays([pa.array(_decompress(content.as_py(), "zstd").decode().splitlines())], ["value"])
+
+        if fmt != "json":
+            raise ConfigurationError("zstd CSV is not read here")
+        return from_lines(_whole(spark, path, ".zst").mapInArrow(run, "value string"))
+    reader = spark.read.option("recursiveFileLookup", True)
+    if fmt == "json":
+        return from_lines(reader.text(path))
+    return from_text(reader.options(**CSV, multiLine=True).csv(path)) if fmt == "csv" else reader.parquet(path)
 
 
 def _compress(data: bytes, compression: str) -> bytes:
@@ -127,42 +177,108 @@ def _compress(data: bytes, compression: str) -> bytes:
     return data
 
 
+def _decompress(data: bytes, compression: str) -> bytes:
+    if compression == "gzip":
+        return gzip.decompress(data)
+    if compression == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    return data
+
+
+def encoded(events: DataFrame, fmt: str) -> list[Column]:
+    """The columns from which ``build`` makes an object: a whole row for lines and Avro, the flat ones for tables."""
+    if fmt == "json":
+        return [F.concat(E.json_line(), F.lit("\n")).cast("binary").alias("row")]
+    if fmt == "avro":
+        return [avro.row().alias("row")]
+    if fmt == "csv":
+        return [F.col(c).cast("string").alias(c) for c in schema.FLAT7]
+    return [F.col(c).alias(c) for c in schema.FLAT7]
+
+
+def build(rows: pa.Table, fmt: str, compression: str) -> bytes:
+    """One object of the rows that ``encoded`` gave; codecs go around lines and CSV, and inside Parquet and Avro."""
+    if fmt == "json":
+        return _compress(b"".join(rows["row"].to_pylist()), compression)
+    if fmt == "avro":
+        if compression == "zstd":
+            raise ConfigurationError("Avro objects take no codec but deflate")
+        return avro.assemble(rows["row"].to_pylist(), "deflate" if compression == "gzip" else "null")
+    out = io.BytesIO()
+    if fmt == "csv":
+        import csv
+
+        text = io.StringIO()
+        lines = csv.writer(text, lineterminator="\n")
+        lines.writerow(rows.column_names)
+        lines.writerows(zip(*(rows[c].to_pylist() for c in rows.column_names), strict=True))
+        return _compress(text.getvalue().encode(), compression)
+    import pyarrow.parquet as pq
+
+    pq.write_table(rows, out, compression=compression)
+    return out.getvalue()
+
+
 def objects(batches: DataFrame, keys: list[str], key: Column, fmt: str = "avro", compression: str = "none") -> DataFrame:
     """(object_key, n, content): one object for each flushed batch.
 
     ``keys`` identify a batch, which batching bounds; ``key`` names its object
     and must depend on ``keys`` alone.
     """
-    if fmt == "avro":
-        lines = text_rows(batches).select(*keys, key.alias("object_key"), F.array(*[F.when(F.col(c) == "", None).otherwise(F.col(c)) if c in ("document_key", "full_document") else F.col(c) for c in avro.COLUMNS]).alias("row"))
-    elif fmt == "json":
-        lines = batches.select(*keys, key.alias("object_key"), F.array(E.json_line()).alias("row"))
-    else:
+    if fmt not in ("json", "avro"):
         raise ConfigurationError(f"{fmt} objects are written by Spark")
+    texts = text_rows(batches) if fmt == "avro" else batches
+    lines = texts.select(*keys, key.alias("object_key"), *encoded(texts, fmt))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        content = _compress(_encode([tuple(r) for r in frame["row"]], fmt), compression)
-        return pd.DataFrame({"object_key": [frame["object_key"].iloc[0]], "n": [len(frame)], "content": [content]})
+    def run(table: pa.Table) -> pa.Table:
+        content = build(table, fmt, compression)
+        return pa.table({"object_key": table["object_key"].slice(0, 1), "n": pa.array([len(table)], pa.int64()), "content": pa.array([content], pa.binary())})
 
-    return lines.groupBy(*keys).applyInPandas(run, "object_key string, n long, content binary")
+    return lines.groupBy(*keys).applyInArrow(run, "object_key string, n long, content binary")
 
 
-def put(made: DataFrame, root: str) -> int:
-    """Write objects below a folder that all executors share; returns how many."""
+def put(made: DataFrame, root: str, options: dict | None = None) -> int:
+    """Write objects below ``root`` from the executors; returns how many.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        for frame in frames:
-            for name, content in zip(frame["object_key"], frame["content"], strict=True):
-                path = os.path.join(root, name)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(f"{path}.part", "wb") as f:
-                    f.write(content)
-                os.replace(f"{path}.part", path)
-            yield pd.DataFrame({"n": [len(frame)]})
+    ``root`` is a path or a URI that pyarrow's file systems know (file, s3, gs, hdfs).
+    """
 
-    return made.mapInPandas(run, "n long").groupBy().sum("n").first()[0] or 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("object_key").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                store(root, name, content, options)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return made.select("object_key", "content").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
+
+
+def filesystem(root: str, options: dict | None = None) -> tuple[pa_fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it; ``options`` are those of an S3 client."""
+    scheme, found, rest = root.partition("://")
+    if not found:
+        return pa_fs.LocalFileSystem(), root
+    if scheme in ("s3", "s3a", "s3n"):
+        options = dict(options or {})
+        if tries := options.pop("max_attempts", None):
+            options["retry_strategy"] = pa_fs.AwsStandardS3RetryStrategy(max_attempts=tries)
+        return pa_fs.S3FileSystem(**options), rest
+    return pa_fs.FileSystem.from_uri(root)
+
+
+def store(root: str, name: str, content: bytes, options: dict | None = None) -> None:
+    """Write one object whole: a local file appears by a rename, an object of a store when its upload ends."""
+    fs, base = filesystem(root, options)
+    path = f"{base.rstrip('/')}/{name}"
+    renames = not isinstance(fs, pa_fs.S3FileSystem)
+    if renames:
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part" if renames else path
+    with fs.open_output_stream(part, compression=None) as out:
+        out.write(content)
+    if renames:
+        fs.move(part, path)
 
 
 class FileDestination(Destination):
@@ -176,7 +292,7 @@ class FileDestination(Destination):
 
     def _write(self, batch: DataFrame, epoch: int) -> None:
         time = F.col(self.time_column) if self.time_column else None
-        write(batch, self.path, self.fmt, self.compression, self.layout, time, epoch)
+        write(batch, self.path, self.fmt, self.compression, self.layout, time, epoch, limit=self.limit)
 
     def metadata(self) -> Metadata:
         return Metadata("files", "files", False, None, True, {"path": self.path, "format": self.fmt})

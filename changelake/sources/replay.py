@@ -2,19 +2,23 @@
 
 ``spark.read.format("changelake_replay")`` and ``readStream`` take options
 
-- ``path``: a folder of ``*.jsonl`` files, in the order of their names (any path
+- ``path``: a folder of ``*.jsonl`` files (or of another ``suffix``), in the order of their names (any path
   of Hadoop's file systems is read by Spark's own text reader, see ``watch``;
   this source is for folders that executors can open);
 - ``level`` (collection, database or deployment), ``database``, ``collections``;
 - ``max_files``: how many files one micro-batch takes;
-- ``resume_after``: a token; the stream starts behind it.
+- ``resume_after``: a token; the stream starts at the line behind it, and a token
+  that no line has is an error;
+- ``broken``: what becomes of lines that are no event, ``skip`` or ``fail``.
 
-The offset is the number of files read.  Files are partitions, so executors read
-them in parallel, and a replayed epoch reads the same files.
+An offset is a file's number and a line in it.  Files are partitions, so executors
+read them in parallel, and a replayed epoch reads the same lines.  A read that
+fails for the file system's sake is a ``SourceError`` that allows a reconnect.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -29,13 +33,22 @@ clusterTime timestamp, _id string, seq bigint"""
 LEVELS = ("collection", "database", "deployment")
 
 
+class SourceError(RuntimeError):
+    """An error of a source.  Its text carries kind, code and labels, as it comes back from executors as text only."""
+
+    def __init__(self, message: str, kind: str = "connection", code: int | None = None, labels: tuple[str, ...] = ()):
+        super().__init__(f"[source error kind={kind} code={'' if code is None else code} labels={','.join(labels)}] {message}")
+
+
 class Files(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """The lines of a file from ``start`` on, and before ``end`` where it is set."""
+
+    def __init__(self, path: str, start: int = 0, end: int | None = None):
+        self.path, self.start, self.end = path, start, end
 
 
 def _document(value) -> str | None:
-    return None if value is None else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return value if value is None or isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
 def parse(line: str) -> tuple | None:
@@ -61,7 +74,7 @@ def wanted(row: tuple, level: str, database: str | None, collections: set[str])
 
 class _Reader:
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.path, self.suffix = options["path"].removeprefix("file://"), options.get("suffix", ".jsonl")
         self.level = options.get("level", "database")
         if self.level not in LEVELS:
             raise ValueError(f"level must be one of {LEVELS}")
@@ -71,16 +84,25 @@ class _Reader:
             raise ValueError("level collection needs collections")
         self.max_files = int(options.get("max_files", "1000"))
         self.resume = options.get("resume_after")
+        self.broken = options.get("broken", "skip")
+        if self.broken not in ("skip", "fail"):
+            raise ValueError("broken must be skip or fail")
 
     def files(self) -> list[str]:
-        return sorted(f"{self.path}/{f}" for f in os.listdir(self.path) if f.endswith(".jsonl"))
+        return sorted(f"{self.path}/{f}" for f in os.listdir(self.path) if f.endswith(self.suffix))
 
     def rows(self, partition: Files) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8") as lines:
-            for line in lines:
-                row = parse(line)
-                if row is not None and wanted(row, self.level, self.database, self.collections):
-                    yield row
+        try:
+            with open(partition.path, encoding="utf-8") as lines:
+                for n, line in enumerate(itertools.islice(lines, partition.start, partition.end), partition.start):
+                    row = parse(line)
+                    if row is None:
+                        if self.broken == "fail":
+                            raise SourceError(f"{partition.path}, line {n + 1}: no event", "conversion")
+                    elif wanted(row, self.level, self.database, self.collections):
+                        yield row
+        except OSError as e:
+            raise SourceError(f"{partition.path}: {e}", labels=("NetworkError",)) from e
 
 
 class ReplayBatch(_Reader, DataSourceReader):
@@ -94,23 +116,31 @@ class ReplayBatch(_Reader, DataSourceReader):
 class ReplayStream(_Reader, DataSourceStreamReader):
     def __init__(self, options):
         super().__init__(options)
-        self.reached = 0
+        self.reached: int | None = None  # files up to the last offset given out; unknown after a restart
 
     def initialOffset(self):
-        if self.resume:
-            for i, f in enumerate(self.files()):
-                with open(f, encoding="utf-8") as lines:
-                    if any((row := parse(x)) and row[6] == self.resume for x in lines):
-                        return {"file": i + 1}
-        return {"file": 0}
+        at = self._behind(self.resume) if self.resume else {"file": 0, "line": 0}
+        self.reached = at["file"]
+        return at
+
+    def _behind(self, token: str) -> dict:
+        for i, f in enumerate(self.files()):
+            with open(f, encoding="utf-8") as lines:
+                for n, x in enumerate(lines):
+                    if (row := parse(x)) and row[6] == token:
+                        return {"file": i, "line": n + 1}
+        raise SourceError(f"no event has the token {token}", "invalid_token", 286)
 
     def latestOffset(self):
-        self.reached = min(len(self.files()), self.reached + self.max_files)
-        return {"file": self.reached}
+        files = len(self.files())
+        # Behind a checkpoint's offset, which Spark does not tell here, the first micro-batch takes all there is.
+        self.reached = files if self.reached is None else min(files, self.reached + self.max_files)
+        return {"file": self.reached, "line": 0}
 
     def partitions(self, start, end):
-        self.reached = max(self.reached, end["file"])
-        return [Files(f) for f in self.files()[start["file"] : end["file"]]]
+        self.reached = max(self.reached or 0, end["file"])
+        files, first = self.files(), start["file"]
+        return [Files(files[i], start.get("line", 0) if i == first else 0) for i in range(first, min(end["file"], len(files)))]
 
     def read(self, partition):
         return self.rows(partition)

@@ -36,7 +36,14 @@ class WatchLevel:
 
 @dataclass(frozen=True)
 class StreamConfig:
-    """How a source reconnects; 0 attempts means without end."""
+    """How a source reconnects, and what it does to events; 0 attempts means without end.
+
+    full_document_on_update fills updates with the last version of the document,
+    and full_document_before_change adds the version before each event.  Where
+    ``images`` is "source", the source has done so already; where it is "state",
+    the stream keeps the last version of every document as its own state.
+    stop_on_invalidate ends a watched collection at its first invalidate.
+    """
 
     initial_backoff: float = 0.1
     max_backoff: float = 30.0
@@ -46,8 +53,14 @@ class StreamConfig:
     full_document_before_change: bool = False
     batch_size: int | None = None
     pipeline: tuple[dict, ...] = ()
+    images: str = "source"
+    stop_on_invalidate: bool = True
 
     def __post_init__(self) -> None:
+        if self.images not in ("source", "state"):
+            raise ConfigError("images must be source or state")
+        if self.batch_size is not None and self.batch_size < 1:
+            raise ConfigError("batch_size must be above 0")
         if self.initial_backoff <= 0:
             raise ConfigError("initial_backoff must be above 0")
         if self.initial_backoff > self.max_backoff:
@@ -72,7 +85,11 @@ class LockConfig:
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    """Zeros take the defaults; no retries unless asked for."""
+    """Zeros take the defaults; no retries unless asked for.
+
+    batch_size is the most events of a collection that a batch, and so an object,
+    holds; batch_timeout is the longest that an event waits for its batch.
+    """
 
     database: str
     watch_level: WatchLevel = WatchLevel()

@@ -205,10 +205,10 @@ class KeyValueStore(StateStore):
 
 
 class LeaseKeeper:
-    """Refreshes a lease from a thread; calls ``lost`` once when it is gone."""
+    """Refreshes a lease from a thread; calls ``lost`` once when it is gone, and ``refreshed_one`` after each refresh."""
 
-    def __init__(self, store: StateStore, key: str, owner: str, ttl: float, interval: float, lost: Callable[[], None]):
-        self.store, self.key, self.owner, self.ttl, self.interval, self.lost = store, key, owner, ttl, interval, lost
+    def __init__(self, store: StateStore, key: str, owner: str, ttl: float, interval: float, lost: Callable[[], None], refreshed_one: Callable[[], None] = lambda: None):
+        self.store, self.key, self.owner, self.ttl, self.interval, self.lost, self.refreshed_one = store, key, owner, ttl, interval, lost, refreshed_one
         self.done = threading.Event()
         self.refreshed = 0
         self.thread = threading.Thread(target=self._run, daemon=True)
@@ -218,13 +218,24 @@ class LeaseKeeper:
         return self
 
     def _run(self) -> None:
+        until = time.monotonic() + self.ttl
         while not self.done.wait(self.interval):
-            if not self.store.refresh(self.key, self.owner, self.ttl):
+            try:
+                kept = self.store.refresh(self.key, self.owner, self.ttl)
+            except Exception:  # the store is out of reach: the lease stands until its time is up
+                if time.monotonic() < until:
+                    continue
+                kept = False
+            if not kept:
                 self.lost()
                 return
+            until = time.monotonic() + self.ttl
             self.refreshed += 1
+            self.refreshed_one()
 
-    def stop(self) -> None:
+    def stop(self) -> bool:
+        """Stop refreshing and give the lease back; whether it was still held."""
         self.done.set()
-        self.thread.join(timeout=5)
-        self.store.release(self.key, self.owner)
+        if self.thread is not threading.current_thread():
+            self.thread.join(timeout=5)
+        return self.store.release(self.key, self.owner)
