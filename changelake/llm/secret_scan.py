@@ -1,18 +1,21 @@
 """Secret scans by a linear-chain conditional random field.
 
 Tokens of a line are tagged as begin, inside or outside of a secret.  Features
-are a token's shape, length, spread of characters and the same of its
-neighbours, keywords before it, and how much the whole text looks like code.
-Weights are fitted by maximum likelihood on lines that ``examples`` writes from
-templates (no data table is read), and tags are decoded by Viterbi.
-
-Every token of a line with a digit, a keyword or a URL may carry any tag,
-punctuation between two pieces included, so a secret may hold several tokens; a
-token after white space is never inside.
-A token whose scores favour outside by more than transitions could ever make up
-for is outside on the best path; there the chain falls into independent parts,
-and the decoding is the same as over the whole line.  Lines with none of these
-hold no span of the random field, and no span reaches over a line's end.
+are a token's shape, length, spread of characters and the shapes of its
+neighbours, the words next to it (of ``WORDS``), keywords before it, and how much
+the whole text looks like code.  Weights are fitted by maximum likelihood on lines
+that ``examples`` writes from templates (no data table is read), and tags are
+decoded by Viterbi.
+
+Every token of every line is scored, and any may carry any tag, punctuation
+between two pieces included, so a secret may hold several tokens; a token after
+white space is never inside.  A token whose scores favour outside by more than
+transitions could ever make up for is outside on the best path; there the chain
+falls into independent parts, and the decoding is the same as over the whole line.
+Lines without keywords, quotes and URLs are scored as arrays first: where no span
+could gain over all tokens outside, that is the best path, and nothing is left to
+decode; all other lines are decoded token by token.
+No span reaches over a line's end, so other lines matter only by the file feature.
 
 The base patterns (assigned values, access keys, long hex) always stay; spans of
 the random field are added where they reach beyond these.
@@ -25,9 +28,9 @@ table stays empty.  One pass, no shuffle.
 from __future__ import annotations
 
 import functools
-import hashlib
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.~-]+=*|[^\sA-Za-z0-9+/_.~-]")
 KEYWORD = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|bearer|api.?key|auth(?:orization)?|credential|private.?key|access.?key|client.?secret|signature", re.I | re.A)
-_STARTS = re.compile(r"[0-9]+|://")
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: Words whose neighbourhood tells what a token is.
+WORDS = frozenset("""blob branch build bundle cache card checksum chunk code color commit container correlation device digest document etag event expected fetched file fingerprint
+ guid hash head host id image in index install invoice issue item key layer line load login md5 merge model node object order pack page parent part path phone pid pod
+ process product rebase record ref release request rev revision row run sent serial session set sha sha1 sha256 sku span state step sum tag task thread ticket to trace
+ transaction tree type url use user uuid value version was with your""".split())
+_SPACED = re.compile(r"(\s*)([A-Za-z0-9+/_.~-]+=*|[^\sA-Za-z0-9+/_.~-])")
 _SEPARATORS = {"=", ":", '"', "'", ">", "(", ","}
 Span = tuple[int, int, str]
 
@@ -59,11 +68,15 @@ def base_spans(text: str) -> list[Span]:
 
 def shape(t: str) -> str:
     """A coarse class of a token."""
+    if t.isalpha():
+        return "lower" if t.islower() else "upper" if t.isupper() else "title" if t.istitle() else "mixed"
     if len(t) == 1 and not t.isalnum():
         return t if t in "=:\"'@/,;()<>{}[]" else "sym"
     alpha, digit = any(c.isalpha() for c in t), any(c.isdigit() for c in t)
     if not digit:
         return "lower" if t.islower() else "upper" if t.isupper() else "title" if t.istitle() else "mixed" if alpha else "punct"
+    if len(t) == 36 and UUID.fullmatch(t):
+        return "uuid"
     if not alpha:
         return "digits" if t.isdigit() else "number"
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", t):
@@ -76,18 +89,32 @@ def shape(t: str) -> str:
     return "mixedcase+digits" if both else "letters+digits"
 
 
-def _local(t: str) -> list[str]:
+def _own(t: str) -> tuple:
+    """What a token's own features are made of: shape, length, spread of characters, switches of class, digits, beginning."""
     n = len(t)
-    switches = sum((a.isdigit() != b.isdigit()) or (a.islower() != b.islower() and a.isalpha() and b.isalpha()) for a, b in zip(t, t[1:], strict=False))
-    return [f"s={shape(t)}", f"n={min(n, 60) // 6}", f"d={10 * len(set(t)) // max(1, min(n, 24))}", f"w={min(9, 10 * switches // n)}", f"num={5 * sum(c.isdigit() for c in t) // n}", f"p={t[:3] if n > 12 else ''}"]
+    if t.isalpha() and t.islower() and n > 1:
+        switches = digits = 0
+    else:
+        switches = sum((a.isdigit() != b.isdigit()) or (a.islower() != b.islower() and a.isalpha() and b.isalpha()) for a, b in zip(t, t[1:], strict=False))
+        digits = sum(map(str.isdigit, t))
+    return shape_of(t), min(n, 60) // 6, 10 * len(set(t)) // max(1, min(n, 24)), min(9, 10 * switches // n), 5 * digits // n, t[:3] if n > 12 else ""
+
+
+def _local(t: str) -> list[str]:
+    return _local_names(_own(t))
+
+
+def _local_names(own: tuple) -> list[str]:
+    s, n, d, w, num, p = own
+    return [f"s={s}", f"n={n}", f"d={d}", f"w={w}", f"num={num}", f"p={p}"]
 
 
 def contexts(toks: list[str], glued: list[bool]) -> list[tuple]:
-    """Of each token: shapes around it, distance of a keyword, place in quotes and in a URL.
+    """Of each token: shapes around it, distance of a keyword, place in quotes and in a URL, words next to it.
 
     A token is glued if no white space stands before it.
     """
-    shapes = [shape_of(t) for t in toks]
+    shapes, near_words = [shape_of(t) for t in toks], [word_of(t) for t in toks]
     keys, separators = _keywords(toks), [t in _SEPARATORS or t.lower() in ("is", "bearer") for t in toks]
     out, quote, url, run = [], "", 0, 0
     n = len(toks)
@@ -106,10 +133,31 @@ def contexts(toks: list[str], glued: list[bool]) -> list[tuple]:
             place, quote = "open", t
         before = ("" if glued[i] else " ") + shapes[i - 1] if i else "^"
         after = ("" if glued[i + 1] else " ") + shapes[i + 1] if i + 1 < n else "$"
-        out.append((shapes[i], before, shapes[i - 2] if i > 1 else "^", after, keyword_before(keys, separators, i), place, url, min(run, 3), next((k for k in (1, 2) if i >= k and keys[i - k]), 0)))
+        out.append((shapes[i], before, shapes[i - 2] if i > 1 else "^", after, keyword_before(keys, separators, i), place, url, min(run, 3), next((k for k in (1, 2) if i >= k and keys[i - k]), 0), _next_word(near_words, i, -1), _next_word(near_words, i, 1)))
     return out
 
 
+@functools.lru_cache(100_000)
+def word_of(t: str) -> str | None:
+    """A token's last part of letters if ``WORDS`` has it, empty if it is another word; None of other tokens."""
+    if len(t) < 2 or len(t) > 24:
+        return None
+    parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", t)
+    low = parts[-1].lower() if parts and t[-1].isalpha() else t.lower()
+    return low if low in WORDS else "" if t.isalpha() else None
+
+
+def _next_word(near_words: list[str | None], i: int, step: int) -> str:
+    """The next word before or after a token, at most three tokens away; empty if it is none of ``WORDS``."""
+    for k in range(1, 4):
+        at = i + step * k
+        if at < 0 or at >= len(near_words):
+            return ""
+        if near_words[at] is not None:
+            return near_words[at]
+    return ""
+
+
 @functools.lru_cache(100_000)
 def shape_of(t: str) -> str:
     return shape(t)
@@ -121,10 +169,11 @@ def features(token: str, context: tuple, code: int) -> list[str]:
 
 
 def _around(context: tuple, code: int) -> list[str]:
-    s, before, second, after, key, place, url, run, near = context
+    s, before, second, after, key, place, url, run, near, left, right = context
     return [
         "bias", f"code={code}", f"-1={before}", f"-2={second}", f"+1={after}", f"key={key}", f"key={key}|s={s}", f"code={code}|s={s}",
         f"-1={before}|s={s}", f"+1={after}|s={s}", f"q={place}|s={s}", f"q={place}|key={key}", f"url={url}|s={s}", f"url={url}|-1={before}", f"run={run}", f"near={near}|s={s}",
+        f"w-={left}", f"w-={left}|s={s}", f"w+={right}",
     ]
 
 
@@ -149,7 +198,7 @@ def code_like(text: str) -> int:
     return min(3, 4 * marks // n) if marks else 0
 
 
-def examples(n: int = 3000, seed: int = 7) -> list[tuple[list[str], list[bool], list[int], int]]:
+def examples(n: int = 4000, seed: int = 7) -> list[tuple[list[str], list[bool], list[int], int]]:
     """Tagged lines from templates: tokens, whether glued, tags (0 outside, 1 begin, 2 inside), code class."""
     r = random.Random(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -166,6 +215,23 @@ def examples(n: int = 3000, seed: int = 7) -> list[tuple[list[str], list[bool],
         lambda: f"{word()}{r.randint(1, 9)}.{word()}", lambda: f"{word().title()}{word().title()}{r.randint(1, 64)}", lambda: f"/{word()}/{word()}{r.randint(1, 9)}/{word()}.txt", lambda: "+" + pick(dig, 9, 12), lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), lambda: word() + "!", lambda: word() + ",", lambda: word().upper(), lambda: word() + "!!", lambda: (word() + r.choice(["!!", "??", "###", "...", "%%%", "$$$", "&&&"])).upper(), lambda: word().title() + r.choice(["!!", "###", "&&&", "%%%", "$$$"]), lambda: word() + r.choice("###&&&%%%$$$***@@@") * 3,
     ]
     keys = ["password", "passwd", "secret", "token", "api_key", "apikey", "auth_token", "client_secret", "DB_PASSWORD", "AWS_SECRET_ACCESS_KEY", "private_key", "credential", "Authorization: Bearer", "Authorization: Bearer", "Bearer", "bearer", "access_key", "Password", "pwd", "passphrase"]
+    hexed = lambda a, b: pick("0123456789abcdef", a, b)
+    uuid = lambda: "-".join(hexed(n, n) for n in (8, 4, 4, 4, 12))
+    #: Names of things that are known by a number or digest and are no secret.
+    named = ["request", "request_id", "request id", "requestId", "trace", "trace_id", "span", "session id", "user", "user_id", "id", "uuid", "guid", "event", "order", "transaction", "device", "container", "pod", "node", "task", "run", "job id", "correlation id", "X-Request-ID", "document", "record", "item"]
+    digested = ["commit", "rev", "revision", "sha", "sha1", "sha256", "md5", "checksum", "digest", "etag", "hash", "blob", "tree", "parent", "merge", "HEAD is now at", "object", "image", "layer", "build", "version", "fingerprint", "file", "cache key", "chunk", "pack", "tag", "index", "release", "bundle"]
+
+    def harmless() -> str:
+        """A number or digest that names a thing."""
+        sep = r.choice([" ", " ", "=", ": ", ":", " = ", " is ", " was "])
+        if r.random() < 0.55:
+            v, name = uuid(), r.choice(named)
+            v = v.upper() if r.random() < 0.1 else v
+        else:
+            v, name = hexed(*r.choice([(7, 7), (8, 12), (16, 23), (20, 20), (20, 20)])), r.choice(digested)
+        q = r.choice(["", "", "", '"', "'"])
+        return r.choice([f"{name}{sep}{q}{v}{q}", f"{name}{sep}{q}{v}{q}", f"{name}{sep}{v}", f'"{name}": "{v}"', f"[{v}]" if len(v) == 36 else f"{name} {v[:7]}..{v}", f"({name} {v})", f"{name}/{v}" if " " not in name else f"{name} <{v}>", f"{v} {word()}" if len(v) == 36 else f"{name}@{v}", f"/{word()}/{v}/{word()}" if len(v) == 36 else f"{name} {v}, {word()}"])
+
     symbols = "@!#$%^&*?"
 
     def pieces() -> str:
@@ -184,7 +250,7 @@ def examples(n: int = 3000, seed: int = 7) -> list[tuple[list[str], list[bool],
         if k % 2:
             style = r.random()
             keyed = style < 0.65
-            s = pieces() if keyed and r.random() < 0.4 else r.choice(secrets)()
+            s = pieces() if keyed and r.random() < 0.4 else uuid() if keyed and r.random() < 0.06 else r.choice(secrets)()
             q = r.choice(["", "", '"', "'"])
             if keyed:
                 key = r.choice(keys)
@@ -204,12 +270,14 @@ def examples(n: int = 3000, seed: int = 7) -> list[tuple[list[str], list[bool],
                     sep = r.choice(["=", " = ", ": ", ":", " is ", " is: ", " := "])
                     middle = f"{r.choice(['', '', '--', 'my ', 'the '])}{key}{sep}{q}{s}{q}" + r.choice(["", "", ";", ","] if q else [""])
             elif style < 0.8:
-                while len(s) < 16:
+                while len(s) < 16 or re.fullmatch("[0-9a-f]{,23}", s):  # a short hex number alone says nothing
                     s = r.choice(secrets)()
                 middle = r.choice([s, s, f'"{s}"', f"{junk()}{s}{junk()}"])
             else:
                 middle = f"{word()}://{word()}:{s}@{word()}.{r.choice(['net', 'com', 'example.com'])}{r.choice(['', ':5432'])}/{word()}"
             marks = [s]
+        elif k % 8 == 0:
+            middle = harmless()
         else:
             middle = r.choice([
                 filler(1, 3), f"{word()} = {r.choice(plain)()}", f"{r.choice(keys)} {word()} {word()}", f"{word()}: {filler(1, 2)}", f"{r.choice(keys)}{r.choice([': ', ' = ', ' is '])}{r.choice(nothing)}", f"{r.choice(plain)()}{junk()}",
@@ -232,7 +300,8 @@ def examples(n: int = 3000, seed: int = 7) -> list[tuple[list[str], list[bool],
 @functools.cache
 def model(steps: int = 150, rate: float = 0.08, ridge: float = 2e-3) -> tuple[dict[str, tuple[float, float, float]], list[list[float]]]:
     """Weights by feature name, and transition scores, by maximum likelihood (Adam, full batch)."""
-    data = [x for x in examples() if x[0]]
+    # The longest first, so that at each place the lines that reach it are the first ones.
+    data = sorted((x for x in examples() if x[0]), key=lambda x: -len(x[0]))
     names: dict[str, int] = {}
     n, longest = len(data), max(len(x[0]) for x in data)
     each = [[names.setdefault(f, len(names)) for f in features(t, x, c)] for toks, glued, _, c in data for t, x in zip(toks, contexts(toks, glued), strict=True)]
@@ -245,6 +314,7 @@ def model(steps: int = 150, rate: float = 0.08, ridge: float = 2e-3) -> tuple[di
     free = trans > -8
     truth = np.eye(3)[tags] * mask[..., None]
     pairs = np.einsum("nti,ntj->ij", truth[:, :-1], truth[:, 1:])
+    reach, flat = mask.sum(0), index.ravel()
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)]
     lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
     for step in range(1, steps + 1):
@@ -254,16 +324,22 @@ def model(steps: int = 150, rate: float = 0.08, ridge: float = 2e-3) -> tuple[di
         a, b = np.zeros((n, longest, 3)), np.zeros((n, longest, 3))
         a[:, 0] = e[:, 0]
         for t in range(1, longest):
-            a[:, t] = np.where(mask[:, t, None], lse(a[:, t - 1, :, None] + trans, 1) + e[:, t], a[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            b[:, t] = np.where(mask[:, t + 1, None], lse(trans + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), 0)
+            k = reach[t]
+            a[:k, t] = lse(a[:k, t - 1, :, None] + trans, 1) + e[:k, t]
+            a[k:, t] = a[k:, t - 1]
         z = lse(a[:, -1], 1)
+        gt = -pairs
+        for t in range(longest - 2, -1, -1):
+            k = reach[t + 1]
+            ahead = (e[:k, t + 1] + b[:k, t + 1])[:, None, :] + trans
+            b[:k, t] = lse(ahead, 2)
+            gt = gt + np.exp(a[:k, t, :, None] + ahead - z[:k, None, None]).sum(0)
         p = np.exp(a + b - z[:, None, None]) * mask[..., None]
         gap = (p - truth) / n
-        gw = np.stack([np.bincount(index.ravel(), np.repeat(gap[mask][:, y], wide), pad + 1) for y in range(3)], axis=1) + ridge * w / 10
+        each_gap = gap[mask]
+        gw = np.stack([np.bincount(flat, np.repeat(each_gap[:, y], wide), pad + 1) for y in range(3)], axis=1) + ridge * w / 10
         gw[pad] = 0
-        both = a[:, :-1, :, None] + trans + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        gt = ((np.exp(both) * mask[:, 1:, None, None]).sum((0, 1)) - pairs) / n * free
+        gt = gt / n * free
         for x, g, m, v in ((w, gw, moments[0], moments[1]), (trans, gt, moments[2], moments[3])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -299,13 +375,104 @@ def _sum(names: list[str], weights: dict[str, tuple[float, float, float]]) -> tu
     return tuple(map(sum, zip(*found, strict=True))) if found else (0.0, 0.0, 0.0)
 
 
+class _Known(dict):
+    """Numbers of tokens (or of white space), given out as they come; ``made`` says what a new one is, in ``rows``."""
+
+    def __init__(self, made, width: int):
+        self.made, self.rows = made, np.zeros((1024, width))
+
+    def __missing__(self, t):
+        n = len(self)
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[n] = self.made(t)
+        self[t] = n
+        return n
+
+
 class Scores:
-    """Scores of tokens and of contexts, each looked up once."""
+    """Scores of tokens and of contexts, each looked up once; and tables of them for whole texts."""
+
+    MOST, RUN = 400_000, 64
 
     def __init__(self, fitted):
         self.fitted, self.most = fitted, surplus(fitted[1])
-        self.local = functools.lru_cache(100_000)(lambda t: _sum(_local(t), fitted[0]))
+        own = functools.lru_cache(100_000)(lambda own: _sum(_local_names(own), fitted[0]))
+        self.local = lambda t: own(_own(t))
         self.around = functools.lru_cache(100_000)(lambda x, code: _sum(_around(x, code), fitted[0]))
+        self.shapes = sorted({"lower", "upper", "title", "mixed", "punct", "sym", "hex", "digits", "number", "dotted", "joined", "uuid", "mixedcase+digits", "letters+digits", *"=:\"'@/,;()<>{}[]"})
+        self.words = ["", *sorted(WORDS)]
+        place, word = {x: i for i, x in enumerate(self.shapes)}, {x: i for i, x in enumerate(self.words)}
+        total = lambda names: np.array(_sum(names, fitted[0]))
+        n = len(self.shapes)
+        # Neighbours go by 0 (none), 1 + shape behind white space, 1 + n + shape without.
+        around = ["", *(f" {x}" for x in self.shapes), *self.shapes]
+        self.before = np.array([[total([f"-1={a or '^'}", f"-1={a or '^'}|s={s}", f"url=0|-1={a or '^'}"]) for a in around] for s in self.shapes])
+        self.after = np.array([[total([f"+1={a or '$'}", f"+1={a or '$'}|s={s}"]) for a in around] for s in self.shapes])
+        self.second = np.array([total([f"-2={a}"]) for a in ["^", *self.shapes]])
+        self.rest = np.array([[[total(["bias", f"code={c}", "key=0", f"key=0|s={s}", f"code={c}|s={s}", f"q=|s={s}", "q=|key=0", f"url=0|s={s}", f"run={k}", f"near=0|s={s}"]) for k in (1, 2, 3)] for s in self.shapes] for c in range(4)])
+        self.left = np.array([[total([f"w-={w}", f"w-={w}|s={s}"]) for w in self.words] for s in self.shapes])
+        self.right = np.array([total([f"w+={w}"]) for w in self.words])
+        self.place, self.word, self.n = place, word, n
+        self.reset()
+
+    def reset(self):
+        def made(t):
+            w = word_of(t)
+            loud = t in ("'", '"') or t.startswith("//") or (len(t) > 2 and KEYWORD.search(t) is not None)
+            return (self.place[shape_of(t)], -1 if w is None else self.word[w], loud, *self.local(t))
+
+        self.known, self.space = _Known(made, 6), _Known(lambda s: (s == "", s.count("\n")), 2)
+
+    def lines(self, text: str, code: int) -> list[int]:
+        """The numbers of lines that hold a token which isn't certainly outside, or must be looked at token by token."""
+        pairs = _SPACED.findall(text)
+        if not pairs:
+            return []
+        if len(self.known) > self.MOST or len(self.space) > self.MOST:
+            self.reset()
+        gaps, toks = zip(*pairs, strict=True)
+        ids, spaces = np.fromiter(map(self.known.__getitem__, toks), np.int64, len(toks)), np.fromiter(map(self.space.__getitem__, gaps), np.int64, len(toks))
+        line = np.cumsum(self.space.rows[spaces, 1]).astype(np.int64)
+        glued = self.space.rows[spaces, 0] > 0
+        first = np.concatenate([[True], line[1:] != line[:-1]])
+        loud = self.known.rows[ids, 2] > 0
+        # Lines with a loud token are looked at anyway; the others are scored here.
+        at = np.flatnonzero(first)
+        noisy = np.logical_or.reduceat(loud, at)
+        quiet = ~np.repeat(noisy, np.diff(np.append(at, len(ids))))
+        out = set(line[at[noisy]].tolist())
+        if quiet.any():
+            ids, glued, first, line = ids[quiet], glued[quiet], first[quiet], line[quiet]
+            glued = glued & ~first
+            s, w, m = self.known.rows[ids, 0].astype(np.int64), self.known.rows[ids, 1].astype(np.int64), len(ids)
+            shift = lambda x, k, fill: np.concatenate([np.full(min(k, m), fill, x.dtype), x[: max(0, m - k)]])
+            pull = lambda x, k, fill: np.concatenate([x[min(k, m) :], np.full(min(k, m), fill, x.dtype)])
+            before = np.where(first, 0, 1 + shift(s, 1, 0) + np.where(glued, self.n, 0))
+            last = pull(first, 1, True)
+            after = np.where(last, 0, 1 + pull(s, 1, 0) + np.where(pull(glued, 1, False), self.n, 0))
+            second = np.where(first | shift(first, 1, True), 0, 1 + shift(s, 2, 0))
+            run = np.where(glued, np.where(shift(glued, 1, False), 3, 2), 1)
+            score = self.known.rows[ids, 3:] + self.before[s, before] + self.after[s, after] + self.second[second] + self.rest[code, s, run - 1]
+            for table, move, edge in ((lambda v: self.left[s, v], shift, first), (lambda v: self.right[v], pull, last)):
+                word, open_, ends = np.zeros(m, np.int64), np.ones(m, bool), edge
+                for k in (1, 2, 3):  # the next word in this direction, not over the line's end
+                    open_ = open_ & ~ends
+                    there = move(w, k, -1)
+                    word = np.where(open_ & (there >= 0), there, word)
+                    open_ = open_ & (there < 0)
+                    ends = move(edge, k, True)
+                score = score + table(word)
+            # The most that a span ending at each token gains over all tokens outside; spans lie within glued runs.
+            trans = np.array(self.fitted[1])
+            begin, more = score[:, 1] - score[:, 0] + np.where(first, 0, trans[0, 1] - trans[0, 0]), score[:, 2] - score[:, 0] + max(trans[1, 2], trans[2, 2]) - trans[0, 0]
+            gain, step = begin.copy(), np.arange(m) - np.maximum.accumulate(np.where(glued, 0, np.arange(m)))
+            for k in range(1, min(self.RUN, int(step.max())) + 1):
+                here = np.flatnonzero(step == k)
+                gain[here] = np.maximum(begin[here], gain[here - 1] + more[here])
+            leave = np.where(last, 0, max(trans[1, 0], trans[2, 0]) - trans[0, 0])
+            out.update(line[(gain + leave > -1e-6) | (step >= self.RUN)].tolist())
+        return sorted(out)
 
 
 _scores: list[Scores] = []
@@ -319,17 +486,14 @@ def _scores_of(fitted) -> Scores:
 
 def field_spans(text: str, fitted=None) -> list[Span]:
     """Spans that the random field tags."""
-    starts = sorted([m.start() for m in _STARTS.finditer(text)] + [m.start() for m in KEYWORD.finditer(text)])
-    if not starts:
-        return []
-    table = _scores_of(fitted or model())
-    trans, code = table.fitted[1], code_like(text)
-    out, done = [], -1
-    for at in starts:
-        if at < done:
-            continue
-        begin, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
-        done = end = len(text) if end < 0 else end
+    table, code = _scores_of(fitted or model()), code_like(text)
+    trans, out = table.fitted[1], []
+    numbers = table.lines(text, code)
+    if not numbers:
+        return out
+    ends = [m.start() for m in re.finditer("\n", text)] + [len(text)]
+    for number in numbers:
+        begin, end = ends[number - 1] + 1 if number else 0, ends[number]
         found = list(TOKEN.finditer(text, begin, end))
         toks = [m[0] for m in found]
         glued = [False, *(a.end() == b.start() for a, b in zip(found, found[1:], strict=False))]
@@ -368,17 +532,20 @@ def spans(text: str | None, fitted=None) -> list[Span]:
     if not text:
         return []
     base = base_spans(text)
-    added = [s for s in field_spans(text, fitted) if not _covered(s, base)]
-    return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return sorted(base + _beyond(field_spans(text, fitted), base), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def _covered(span: Span, base: list[Span]) -> bool:
-    """Whether base spans leave nothing of ``span``."""
-    at = span[0]
+def _beyond(found: list[Span], base: list[Span]) -> list[Span]:
+    """The spans of ``found`` of which base spans leave something."""
+    merged: list[list[int]] = []
     for start, end, _ in sorted(base):
-        if start <= at < end:
-            at = end
-    return at >= span[1]
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(end, merged[-1][1])
+        else:
+            merged.append([start, end])
+    starts = [m[0] for m in merged]
+    covered = lambda s: (k := bisect_right(starts, s[0]) - 1) >= 0 and merged[k][1] >= s[1]
+    return [s for s in found if not covered(s)]
 
 
 def redacted(text: str | None, fitted=None, mark: str = "[SECRET]") -> str | None:

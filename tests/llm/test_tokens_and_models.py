@@ -173,13 +173,59 @@ def test_held_out_templates_and_skipped_tokens():
             s[2] -= 0 if g else 50
         best = secret_scan.viterbi(scores, trans) if scores else []
         got = secret_scan.field_spans(line, fitted)
-        assert len(got) == best.count(1) or not re.search("[0-9]|://", line) and not secret_scan.KEYWORD.search(line)
+        assert len(got) == best.count(1)
         secrets += 1 in tags
         found += best == tags and 1 in tags
         wrong += 1 in best and 1 not in tags
     assert found > 0.85 * secrets and wrong < 8, (found, secrets, wrong)
 
 
+def held_out_lines(seed=5, n=60):
+    """Lines of forms, words and names that the training templates don't have: (line, secret or None, kind)."""
+    import uuid
+
+    r = random.Random(seed)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    mixed, hexed = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", "0123456789abcdef"
+    name = lambda: str(uuid.UUID(int=r.getrandbits(128)))
+    out = []
+    for _ in range(n):
+        s, k = pick(mixed, r.randint(18, 40)), pick(mixed, r.randint(10, 16)) + r.choice("!?#$") + pick(mixed, 4)
+        out += [(f"curl -H 'Authorization: Bearer {s}' https://api.example.org/v2/users", s, "header"), (f"redis://cache:{s}@10.1.2.3:6379/0", s, "url"), (f"  smtp_password = {k}  # set by ops", k, "setting"), (f"ENV GITHUB_TOKEN {s}", s, "docker"), (f'credentials: {{ user: "ann", secret: "{k}" }}', k, "yaml"), (f"my pwd is {k}, please keep it", k, "prose")]
+        out += [(f"2024-05-0{r.randint(1, 9)} 10:11:12,345 INFO worker-{r.randint(1, 9)} finished job {name()} in {r.randint(5, 999)} ms", None, "uuid log"), (f"GET /orders/{name()}/lines HTTP/1.1 200", None, "uuid path"), (f"commit {pick(hexed, 20)} (origin/main) Fix tests", None, "commit"), (f"Fast-forward {pick(hexed, 7)}..{pick(hexed, 7)} main", None, "commit range"), (f"docker pull registry.example.org/app:{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", None, "version")]
+        out += [(f"{pick('abcdefgh', 5).title()} wrote {r.randint(2, 99)} pages about token ring networks and the secret garden.", None, "prose"), (f"total = sum(prices[{r.randint(0, 9)}:{r.randint(10, 99)}]) * {r.randint(1, 9)}.{r.randint(10, 99)}", None, "code"), (f"call +49 170 {r.randint(1000000, 9999999)} or mail info{r.randint(1, 99)}@example.org", None, "contact")]
+    return out
+
+
+def test_precision_and_recall_on_lines_of_other_forms():
+    fitted = secret_scan.model()
+    hit = missed = flagged = 0
+    by_kind = {}
+    for line, secret, kind in held_out_lines():
+        covered = set().union(*[range(a, b) for a, b, _ in secret_scan.spans(line, fitted)])
+        wanted = set(range(line.index(secret), line.index(secret) + len(secret))) if secret else set()
+        good = len(wanted & covered) >= 0.8 * len(wanted) if secret else not covered
+        by_kind.setdefault(kind + (" +" if secret else ""), []).append(good)
+        hit += bool(secret and good)
+        missed += bool(secret and not good)
+        flagged += not secret and not good
+    assert hit / (hit + missed) >= 0.9 and hit / (hit + flagged) >= 0.95, (hit, missed, flagged, {k: sum(v) / len(v) for k, v in by_kind.items()})
+
+
+def test_spans_do_not_hang_on_other_lines_and_long_texts_pass():
+    import time
+
+    fitted = secret_scan.model()
+    lines = [x for x, _, _ in held_out_lines(6, 20)] + ["plain words of a line", "", "  ", "the DB_PASSWORD is abcdefgh"]
+    for x in lines:
+        alone = secret_scan.field_spans(x, fitted)
+        assert [(a - 9, b - 9, k) for a, b, k in secret_scan.field_spans("one: two\n" + x + "\nthree\nfour\nfive", fitted)] == alone or secret_scan.code_like(x) != secret_scan.code_like("one: two\n" + x + "\nthree\nfour\nfive")
+    long = "\n".join([f"password = abc{i}defgh" for i in range(20_000)]) + "\n" + "x" * 300_000 + " " + "a,!" * 50_000
+    started = time.time()
+    got = secret_scan.spans(long, fitted)
+    assert sum(k == "assign" for _, _, k in got) == 20_000 and time.time() - started < 60
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
