@@ -4,8 +4,9 @@ A text becomes a vector of hashed letter 1- to 3-gram frequencies.  A first
 level of one-versus-one linear SVMs picks the language family; a second level,
 trained within each family only, tells its closely related languages apart.
 
-Fitting uses at most ``per_language`` labelled rows of each language, chosen by
-a hash of the row's key, so a rerun fits the same model.  Prediction is one
+Fitting uses at most ``per_language`` labelled rows of each language, those whose
+key and text hash lowest, so a rerun fits the same model; each task cuts to that
+bound before anything is sent on, whatever keys repeat.  Prediction is one
 pass without a shuffle; the model's size depends on the number of languages
 only, never on the data.
 
@@ -22,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -135,25 +136,34 @@ def predict_rows(model: dict | None, values: list[str | None]) -> tuple[list[str
 def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", families: dict[str, str] = FAMILIES, per_language: int = 600) -> dict | None:
     """Fit on ``rows``: at most ``per_language`` of each label, those whose key hashes lowest."""
     known = rows.where(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}  # one row per language
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(1 << 30))
+    # One row a language; the bound on hashes spares most texts the work, and no row that could be among the lowest.
+    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     if not counts:
         return None
-    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
-    bound = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1 << 30, int((1 << 30) * per_language * 1.15 / n) + 1))])
-    sample = known.where(place < bound[F.col(label)]).select(place.alias("place"), F.col(label).alias("label"), F.col(text).alias("text"))
+    bound = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1 << 30, int((1 << 30) * per_language * 1.3 / n) + 1))])
+    sample = known.where(place < bound[F.col(label)]).select(place.alias("place"), F.xxhash64(text).alias("of"), F.col(label).alias("label"), F.col(text).alias("text"))
 
     def vectors(batches):
+        held: dict[str, tokens.Lowest] = {}
         for b in batches:
-            x, has = features([v or "" for v in b.column(2).to_pylist()])
+            heads = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            labels = b.column(2).to_pylist()
+            kept = [i for i, (h, y) in enumerate(zip(heads, labels, strict=True)) if held.setdefault(y, tokens.Lowest(per_language, 1 << 40)).takes(h)]
+            texts = b.column(3).take(pa.array(kept, pa.int64())).to_pylist()
+            x, has = features([v or "" for v in texts])
             half = x.astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(has)), b.column(1).filter(pa.array(has)), pa.array([half[i].tobytes() for i in np.flatnonzero(has)], pa.binary())], ["place", "label", "x"])
-
-    got = sorted(((r[1], r[0], bytes(r[2])) for r in sample.mapInArrow(vectors, "place long, label string, x binary").collect()))
-    taken: dict[str, int] = {}
-    kept = [r for r in got if (taken.update({r[0]: taken.get(r[0], 0) + 1}) or taken[r[0]] <= per_language)]
+            for j in np.flatnonzero(has):
+                held[labels[kept[j]]].add(heads[kept[j]], (half[j].tobytes(),))
+        rows = [(*head, y, x) for y, h in held.items() for head, (x,) in h.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["place", "of", "label", "x"])
+
+    found = sample.mapInArrow(vectors, "place long, of long, label string, x binary")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("place", "of"))
+    kept = sorted((r[0], r[1], r[2], bytes(r[3])) for r in found.withColumn("rank", rank).where(F.col("rank") <= per_language).select("label", "place", "of", "x").collect())
     if not kept:
         return None
-    return train(np.frombuffer(b"".join(r[2] for r in kept), np.float16).reshape(-1, DIMS).astype(np.float32), [r[0] for r in kept], families)
+    return train(np.frombuffer(b"".join(r[3] for r in kept), np.float16).reshape(-1, DIMS).astype(np.float32), [r[0] for r in kept], families)
 
 
 def identify(docs: DataFrame, model: dict | None, text: str = "text", keep: list[str | Column] = ("doc_id",)) -> DataFrame:

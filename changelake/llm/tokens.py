@@ -8,6 +8,7 @@ bytes (one text at least), which bounds memory whatever the batch size.
 
 from __future__ import annotations
 
+import heapq
 import io
 import pathlib
 import tempfile
@@ -154,6 +155,44 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, out_at
 
 
+class Lowest:
+    """Items by head, up to the first with which there would be more than ``rows``, or ``size`` bytes of parts; one at least.
+
+    ``barrier`` is the head of that first one: nothing from there on is held, whatever the order in which items come.
+    """
+
+    def __init__(self, rows: int, size: int):
+        self.rows, self.size, self.held, self.bytes, self.turn, self.barrier = rows, size, [], 0, 0, None
+
+    def takes(self, head: tuple) -> bool:
+        """Whether an item of this head may stay."""
+        return self.barrier is None or head < self.barrier
+
+    def add(self, head: tuple, parts: tuple[bytes, ...]) -> None:
+        if not self.takes(head):
+            return
+        self.turn += 1
+        heapq.heappush(self.held, _Held(head, self.turn, parts))
+        self.bytes += sum(map(len, parts))
+        while len(self.held) > 1 and (len(self.held) > self.rows or self.bytes > self.size):
+            last = heapq.heappop(self.held)
+            self.bytes -= sum(map(len, last.parts))
+            self.barrier = last.head if self.barrier is None else min(self.barrier, last.head)
+
+    def items(self) -> list[tuple[tuple, tuple]]:
+        return sorted((x.head, x.parts) for x in self.held)
+
+
+@dataclass
+class _Held:
+    head: tuple
+    turn: int
+    parts: tuple
+
+    def __lt__(self, other) -> bool:  # the highest head is the first of the heap
+        return (self.head, self.turn) > (other.head, other.turn)
+
+
 def free_name(columns: list[str], name: str = "__text") -> str:
     """``name``, with underscores added until none of ``columns`` has it in any case."""
     taken = {c.lower() for c in columns}

@@ -7,9 +7,10 @@ probabilities as unsure as they will be on new texts.
 
 Features: counts of marker words and word beginnings (4 and 5 bytes), picked by
 their association with any category, and a few measures of form.  Fitting uses
-at most ``rows`` labelled texts, those whose key hashes lowest; a rerun fits the
-same model.  Scoring is one pass over whole texts without a shuffle; the model
-has a fixed size.
+at most ``rows`` labelled texts with at most ``HELD`` bytes of features, those whose
+key and text hash lowest; a rerun fits the same model.  Tasks cut to these
+bounds before anything is sent on, whatever keys repeat.  Scoring is one pass over
+whole texts without a shuffle; the model has a fixed size.
 
 A category's threshold is the one with the best F1 on out-of-fold predictions,
 but not below its share of the labels: with very few positive labels that F1 says
@@ -17,13 +18,16 @@ little, and a text no likelier than the average must not be flagged.
 
 Edge cases: null or empty text has probability 0 in every category and is never
 flagged; labels that are null count as 0; labelled keys without a text, and
-texts without a label, don't train; with one class only in the labels nothing is
+texts without a label, don't train; a key with several labels is positive where any
+of them is; a null key has no label; with one class only in the labels nothing is
 flagged; repeated rows score alike; empty tables give an empty result; further
 columns of any name are passed through by ``clean`` and don't matter to ``fit``.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 from . import tokens
 
 ROWS, MARKERS, FOLDS = 4000, 400, 5
+#: Most bytes of features that fitting gathers.
+HELD = 64 << 20
 _SALTS = (0x51ED2701, 0x2545F491, 0x9E3779B9)
 
 
@@ -151,39 +157,56 @@ def probabilities(model: dict | None, values: list[bytes]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", rows: int = ROWS, markers: int = MARKERS) -> dict | None:
     """Fit on at most ``rows`` labelled texts.  categories: name to a boolean column of ``labels``, in chain order."""
-    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30))
-    n = labels.where(F.col(key).isNotNull()).count()
+    name = F.xxhash64(F.col(key).cast("string"))
+    k = len(categories)
+    known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(*[F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(f"y{j}") for j, c in enumerate(categories.values())])
+    n = known.count()
     if not n:
         return None
+    # Some more keys than are needed, as not all have a text; at most twice as many, those that hash lowest.
     bound = min(1 << 30, int((1 << 30) * rows * 1.1 / n) + 1)
-    few = labels.where(F.col(key).isNotNull() & (place < bound)).select(F.col(key).alias("__key"), place.alias("place"), *[F.coalesce(c, F.lit(False)).cast("int").alias(f"y{j}") for j, c in enumerate(categories.values())]).limit(rows * 2)
-    # At most 2 x rows keys and a few numbers each: small whatever the tables' size.
-    whole = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__doc"), F.col(text).cast("binary").alias("text"))
-    found = whole.join(F.broadcast(few), F.col("__doc") == F.col("__key")).select("place", *[f"y{j}" for j in range(len(categories))], "text")
-    k = len(categories)
+    low = F.pmod(F.xxhash64(F.col("__key").cast("string")), F.lit(1 << 30))
+    few = known.where(low < bound).orderBy(low, "__key").limit(rows * 2)
+    whole = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__doc"), F.pmod(name, F.lit(1 << 30)).alias("place"), F.col(text).cast("binary").alias("text"))
+    found = whole.join(F.broadcast(few), F.col("__doc") == F.col("__key")).select(F.xxhash64("text", "place").alias("of"), "place", *[f"y{j}" for j in range(k)], "text")
 
     def sets(batches):
+        held = tokens.Lowest(rows, HELD)
         for b in batches:
-            values = tokens.texts(b.column(k + 1))
-            packed, form = [], []
+            first = [c.to_pylist() for c in b.columns[: k + 2]]
+            values = tokens.texts(b.column(k + 2))
             for w in tokens.chunks(values, tokens.ALPHA, fold=True):
-                h = _hashes(w)
-                form += [f.tobytes() for f in _form(w, np.array([len(v) for v in values[w.first : w.first + len(w)]]))]
+                h, form = _hashes(w), _form(w, np.array([len(v) for v in values[w.first : w.first + len(w)]]))
                 for i in range(len(w)):
-                    u, c = np.unique(h[w.at[i] : w.at[i + 1]], return_counts=True)
-                    packed.append(u.tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[: k + 1], pa.array(packed, pa.binary()), pa.array(form, pa.binary())], [*b.schema.names[: k + 1], "packed", "form"])
-
-    schema = "place long, " + "".join(f"y{j} int, " for j in range(k)) + "packed binary, form binary"
-    got = sorted(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in found.mapInArrow(sets, schema).collect())[:rows]
+                    head = tuple(c[w.first + i] for c in first)
+                    if held.takes(head):
+                        u, c = np.unique(h[w.at[i] : w.at[i + 1]], return_counts=True)
+                        held.add(head, (u.tobytes() + zlib.compress(c.astype(np.uint32).tobytes(), 1), np.int64(len(u)).tobytes() + form[i].tobytes()))
+        rows_held = [(*head, *parts) for head, parts in held.items()]
+        if held.barrier is not None:  # where the sample ends at the latest
+            rows_held.append((*held.barrier, None, None))
+        types = [pa.int64(), pa.int64(), *[pa.int32()] * k, pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows_held], t) for j, t in enumerate(types)], [*names, "packed", "form"])
+
+    names = ["of", "place", *(f"y{j}" for j in range(k))]
+    schema = "of long, place long, " + "".join(f"y{j} int, " for j in range(k)) + "packed binary, form binary"
+    # Each task has cut its rows already; the tasks' rows are cut once more by rank before they come here.
+    ranked = found.mapInArrow(sets, schema).orderBy("of", "place").limit(rows)
+    got, size = [], 0
+    for r in ranked.toLocalIterator():
+        r = tuple(bytes(v) if isinstance(v, bytearray) else v for v in r)
+        if r[k + 2] is None or (got and size + len(r[k + 2]) + len(r[k + 3]) > HELD):
+            break
+        size += len(r[k + 2]) + len(r[k + 3])
+        got.append(r[1:])
     if not got:
         return None
     unpacked = []
     for r in got:
-        m = len(r[k + 1]) // 5
-        unpacked.append((np.frombuffer(r[k + 1], np.uint32, m), np.frombuffer(r[k + 1], np.uint8, m, 4 * m)))
+        m = int(np.frombuffer(r[k + 2], np.int64, 1)[0])
+        unpacked.append((np.frombuffer(r[k + 1], np.uint32, m), np.frombuffer(zlib.decompress(r[k + 1][4 * m :]), np.uint32)))
     y = np.array([r[1 : k + 1] for r in got], np.float32)
-    form = np.frombuffer(b"".join(r[k + 2] for r in got), np.float32).reshape(len(got), -1)
+    form = np.frombuffer(b"".join(r[k + 2][8:] for r in got), np.float32).reshape(len(got), -1)
     return train(unpacked, form, y, list(categories), np.array([r[0] % FOLDS for r in got]), markers)
 
 

@@ -125,6 +125,61 @@ def test_extraction_of_all_pages(spark):
         assert got[p["page_id"]]["text"] == want and got[p["page_id"]]["n_chars"] == len(want)
 
 
+def test_samples_are_bounded_at_the_executors(spark, monkeypatch):
+    """Many rows of one key, or of none, neither flood the driver nor crowd out other rows; reruns fit the same."""
+    tokens.small_batches(spark)
+    texts = ["the cat and the dog were there %d", "der hund und die katze %d nicht"]
+    rows = [(None if i % 3 else 7 if i % 2 else i, texts[i % 2] % i, ["en", "de"][i % 2]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    got, real = [], langid.train
+    monkeypatch.setattr(langid, "train", lambda x, lang, families: got.append((x.tobytes(), tuple(lang))) or real(x, lang, families))
+    for d in (df, df.repartition(3)):
+        assert langid.predict_rows(langid.fit(d, per_language=50), ["the dog", "die katze nicht"])[0] == ["en", "de"]
+    assert len(got[0][1]) == 100 and got[0] == got[1]
+    docs = spark.createDataFrame([(7 if i % 2 else i if i % 3 else None, f"{'awful' if i % 4 == 1 else 'nice'} word{i} text") for i in range(6000)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(0, 6000)] + [(7, 0)] * 500 + [(None, 1)] * 500, "doc_id long, toxic int")
+    seen, real_train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda sets, form, y, names, fold, markers: seen.append((len(sets), form.tobytes(), y.tobytes(), fold.tobytes())) or real_train(sets, form, y, names, fold, markers))
+    for d in (docs, docs.repartition(2)):
+        toxicity.fit(d, labels, {"toxic": F.expr("toxic = 1")}, rows=300)
+    assert 0 < seen[0][0] <= 300 and seen[0] == seen[1]
+    monkeypatch.setattr(toxicity, "HELD", 4000)
+    toxicity.fit(docs, labels, {"toxic": F.expr("toxic = 1")}, rows=300)
+    assert 0 < seen[2][0] < 100
+
+
+def test_lowest_keeps_the_lowest():
+    r = random.Random(8)
+    for rows, size in ((5, 1000), (100, 60), (1, 1)):
+        items = [((r.randint(0, 50), i), (bytes(r.randint(1, 20)),)) for i in range(80)]
+        held = tokens.Lowest(rows, size)
+        for head, parts in items:
+            if held.takes(head):
+                held.add(head, parts)
+        want, total = [], 0
+        for head, parts in sorted(items):
+            if want and (len(want) == rows or total + len(parts[0]) > size):
+                break
+            total += len(parts[0])
+            want.append((head, parts))
+        assert held.items() == want
+
+
+def test_counts_are_the_same_in_fitting_and_scoring(spark):
+    """A word that comes more than 255 times weighs in full in both."""
+    text = ("bad " * 900 + "good").encode()
+    w = next(tokens.chunks([text], tokens.ALPHA, fold=True))
+    u, c = np.unique(toxicity._hashes(w), return_counts=True)
+    sets = [(u, c.astype(np.uint32)), (u[:0], c[:0].astype(np.uint32))] * 8
+    form = np.repeat(np.vstack([toxicity._form(w, np.array([len(text)])), np.zeros((1, 4), np.float32)]), 8, axis=0).reshape(16, 4)[[0, 8] * 8]
+    model = toxicity.train(sets, form, np.array([[1.0], [0.0]] * 8, np.float32), ["t"], np.arange(16) // 2 % 5)
+    chosen = model["markers"]
+    x = np.zeros(len(chosen), np.float32)
+    x[np.isin(chosen, u)] = np.log1p(c[np.isin(u, chosen)])
+    z = np.hstack([x, form[0]]) @ model["weights"][0][:-1] + model["weights"][0][-1]
+    assert x.max() > np.log(800) and toxicity.probabilities(model, [text])[0, 0] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-5)
+
+
 # --- 6 ---------------------------------------------------------------------------------------
 
 
