@@ -126,8 +126,8 @@ def mix(docs: DataFrame, keep: list[str] = ("doc_id",), key: str = "doc_id", sou
     buckets = narrow.groupBy("skey", F.substring("place", 1, digits).alias("bucket")).agg(F.sum("size").alias("bucket_size"))
     weight = F.element_at(F.array(*[F.lit(float(c)) for c in cycle]), F.pmod(F.col("rank") - 1, F.lit(len(cycle))) + 1)
     turn = F.pmod(F.col("rank") - 1, F.lit(len(shapes)))
-    own = {F.col("skey") == F.lit("~" if name is None else f"={name}"): points for name, points in schedules.items()}
-    for this, points in own.items():
+    own = [(F.col("skey") == F.lit("~" if name is None else f"={name}"), points) for name, points in schedules.items()]
+    for this, points in own:
         weight = F.when(this, F.lit(_integral(points))).otherwise(weight)
 
     def time(at: Column) -> Column:
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, keep: list[str] = ("doc_id",), key: str = "doc_id", sou
         out = invert(at, shapes[-1])
         for i, points in enumerate(shapes[:-1]):
             out = F.when(turn == i, invert(at, points)).otherwise(out)
-        for this, points in own.items():
+        for this, points in own:
             out = F.when(this, invert(at, points)).otherwise(out)
         return out
 

@@ -17,20 +17,31 @@ be linked meet.
    bit.  The tree is traversed against itself; a pair of nodes is pruned when
    even their largest possible overlap is too small, or their sizes differ too
    much.  Members left without a partner go.
-4. For the rest the sets are compared exactly.  A breadth-first search that only
-   looks at members it has not reached yet gives a spanning forest of the links,
-   so a group of copies costs its size, not its square.
+4. For the rest the sets are compared, hash by hash.  A breadth-first search that
+   only looks at members it has not reached yet gives a spanning forest of the
+   links, so a group of copies costs its size, not its square.
 5. Links between classes make components, by minimum labels with jumps.
 
-Scale: no step emits pairs.  A cluster above ``BLOCK`` members is split into
-blocks of which every two meet in a task, and a shingle of more than ``SALT``
-classes makes its cluster directly, without meeting in one task.  Intermediate
-tables lie in the shared checkpoint folder.
+Hashes of shingles have 64 bits, and 48 where sets are compared, so a wrong link is
+a matter of chance for texts that nobody built to collide.
+
+Scale: no step emits pairs.  A cluster of more than ``SPLIT`` members is dealt into
+blocks of about ``BLOCK``, each member in one.  While looking for partners, members
+that find one in their block are settled; only the others, the open ones, meet all
+blocks.  While comparing, every block holds the same few pivots too; members that
+their block's links connect with the cluster's commonest pivot are in one
+component already and needn't meet each other, so again only the others are open.
+Open members and all members meet in blocks of ``MEET``.  A large group of near
+copies thus sends each set about once, and a large cluster without links as often as
+its members fill blocks of ``MEET``; all of it is exact.  A shingle of more
+than ``SALT`` classes makes its cluster directly, without meeting in one task.
+Intermediate tables lie in the shared checkpoint folder.
 
 Edge cases: a text of fewer than WORDS words has one shingle, all of it; null
 texts and texts without words have none, and stand alone; rows with the same key
 and text are alike; a null key never is a component's name unless it stands
-alone; empty tables give an empty result; further columns are ignored.
+alone; keys may be of any type that has an order; empty tables give an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,15 +53,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens
 from .scratch import Scratch
 
 WORDS, PERCENT = 5, 75
-BLOCK, LARGEST_BLOCK, SALT = 256, 8192, 200_000
+SPLIT, BLOCK, PIVOTS, MEET, SALT = 256, 128, 8, 512, 200_000
+SPREAD = 16
 #: Shingles pooled before counting, how often one must come there, and how many of the most frequent are moved last.
 POOL, OFTEN, HOT = 1 << 22, 2, 1 << 17
-GROUP_KEYS, CHUNK_KEYS, BLOOM = 3_000_000, 400_000, 1 << 23
+GROUP_KEYS, CHUNK_KEYS = 3_000_000, 400_000
+#: Bits of the filter of keys whose texts are read again: a power of two by their number, up to 8 MB.
+BLOOM = (1 << 16, 1 << 26)
 _U = np.uint64
 
 
@@ -233,32 +248,50 @@ def _clusters_of(table: pa.Table) -> pa.Table:
 # --- clusters in tasks ---------------------------------------------------------------------
 
 
-def _blocked(clusters: DataFrame, scratch: Scratch) -> DataFrame:
-    """Add i and j: the pair of blocks of a large cluster that meets; 0 and 0 of a small one."""
-    large = clusters.groupBy("centre").count().where(F.col("count") > BLOCK)
-    block = F.least(F.greatest(F.floor(F.col("count") / 128), F.lit(BLOCK)), F.lit(LARGEST_BLOCK))
-    # Few rows: written first, so that the join below knows their size and need not deal a large cluster to one task.
-    large = scratch.save(large.select("centre", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    mine = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    met = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine")), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    return clusters.join(large, "centre", "left").withColumn("mine", mine).withColumn("at", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(met))).select(*clusters.columns, "at.i", "at.j")
+def _large(clusters: DataFrame, scratch: Scratch) -> DataFrame:
+    """(centre, members) of clusters with more than SPLIT members: few rows, written so that joins know their size."""
+    return scratch.save(clusters.groupBy("centre").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > SPLIT))
 
 
-def _groups(batches, columns: int) -> Iterator[list[list]]:
-    """Columns of the rows of each (centre, i, j), from batches sorted by these."""
+def _dealt(clusters: DataFrame, large: DataFrame, pivots: int = 0) -> DataFrame:
+    """Add block, parted and own: one block for each member, and for pivots of a large cluster all of its blocks."""
+    all_ = clusters.join(large, "centre", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int"))
+    all_ = all_.withColumn("mine", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    parted = F.col("members").isNotNull()
+    if pivots:
+        pivot = parted & (F.pmod(F.xxhash64(F.lit("pivot"), "member"), F.greatest(F.lit(1), F.floor(F.col("members") / pivots))) == 0)
+        all_ = all_.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine")))).withColumn("pivot", pivot)
+    else:
+        all_ = all_.withColumn("block", F.col("mine")).withColumn("pivot", F.lit(False))
+    return all_.select(*clusters.columns, "block", parted.alias("parted"), (F.col("block") == F.col("mine")).alias("own"), "pivot")
+
+
+def _meeting(clusters: DataFrame, large: DataFrame, opened: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(centre, i, j, member, open): blocks of open members of large clusters, each with every block of all members."""
+    sizes = opened.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).join(large, "centre")
+    sizes = scratch.save(sizes.select("centre", F.ceil(F.col("n") / MEET).cast("int").alias("us"), F.ceil(F.col("members") / MEET).cast("int").alias("vs")))
+    if sizes.isEmpty():
+        return None
+    mine, to = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    us = opened.join(sizes, "centre").select("centre", mine("us").alias("i"), to("vs").alias("j"), "member", F.lit(True).alias("open"))
+    vs = clusters.join(sizes, "centre").select("centre", to("us").alias("i"), mine("vs").alias("j"), "member", F.lit(False).alias("open"))
+    return us.unionByName(vs)
+
+
+def _groups(batches, keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """Key and columns of each group of rows alike in the first ``keys`` columns, by which batches are sorted."""
     last, held = None, None
     for b in batches:
         values = [c.to_pylist() for c in b.columns]
         for row in zip(*values, strict=True):
-            if row[:3] != last:
+            if row[:keys] != last:
                 if held:
-                    yield held
-                last, held = row[:3], [[] for _ in range(columns)]
-            for h, v in zip(held, row[3:], strict=True):
+                    yield last, held
+                last, held = row[:keys], [[] for _ in row[keys:]]
+            for h, v in zip(held, row[keys:], strict=True):
                 h.append(v)
     if held:
-        yield held
+        yield last, held
 
 
 class Tree:
@@ -285,8 +318,8 @@ class Tree:
         fits = (100 * high[a] >= PERCENT * low[b]) & (100 * high[b] >= PERCENT * low[a])
         return fits & (most >= needed_overlap(low[a], low[b]))
 
-    def partnered(self, wanted: np.ndarray) -> np.ndarray:
-        """Members that have a possible partner; only pairs with a ``wanted`` member count."""
+    def partnered(self, wanted: np.ndarray, opened: np.ndarray) -> np.ndarray:
+        """Members that have a possible partner; only pairs with a ``wanted`` and an open member count."""
         n = len(wanted)
         found = np.zeros(n, bool)
         a = b = np.zeros(1, np.int64)
@@ -300,7 +333,7 @@ class Tree:
             if level == 0:
                 ok = a != b
                 a, b = a[ok], b[ok]
-                ok = (wanted[a] | wanted[b]) & ~(found[a] & found[b])
+                ok = (wanted[a] | wanted[b]) & (opened[a] | opened[b]) & ~(found[a] & found[b])
                 a, b = a[ok], b[ok]
                 ok = self.possible(0, a, b)
                 found[a[ok]] = found[b[ok]] = True
@@ -316,8 +349,9 @@ class Tree:
         return found
 
 
-def partners(sizes: np.ndarray, bits: list[bytes]) -> np.ndarray:
-    """Which members of a cluster may be linked to another: a tree for each bitmap length and the next longer."""
+def partners(sizes: np.ndarray, bits: list[bytes], opened: np.ndarray | None = None) -> np.ndarray:
+    """Which members of a cluster may be linked to another (an open one, or open themselves): a tree for each bitmap length and the next longer."""
+    opened = np.ones(len(bits), bool) if opened is None else opened
     length = np.array([len(x) for x in bits])
     found = np.zeros(len(bits), bool)
     for size in np.unique(length).tolist():
@@ -330,21 +364,36 @@ def partners(sizes: np.ndarray, bits: list[bytes]) -> np.ndarray:
             rows[r] = x if len(x) == size else x[:size] | x[size:]
         order = np.argsort(sizes[at], kind="stable")
         at = at[order]
-        found[at] |= Tree(sizes[at], rows[order].view(_U)).partnered(length[at] == size)
+        found[at] |= Tree(sizes[at], rows[order].view(_U)).partnered(length[at] == size, opened[at])
     return found
 
 
-def _survivors(batches):
-    centre, member = [], []
-    for c, d, n, bits in _groups(batches, 4):
+_FOUND = ["centre", "member", "found"]
+
+
+def _found(batches):
+    """(centre, member, found) of blocks: members with a possible partner in their block; of large clusters, the others too."""
+    rows: list[tuple] = []
+    for (centre, _), (members, n, bits, parted) in _groups(batches, 2):
         ok = partners(np.array(n, np.int64), bits)
-        for i in np.flatnonzero(ok):
-            centre.append(c[i])
-            member.append(d[i])
-        if len(member) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(centre, pa.binary()), pa.array(member, pa.binary())], ["centre", "member"])
-            centre, member = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(centre, pa.binary()), pa.array(member, pa.binary())], ["centre", "member"])
+        rows += [(centre, m, bool(o)) for m, o in zip(members, ok, strict=True) if o or parted[0]]
+        if len(rows) > 10_000:
+            yield _table(rows, _FOUND)
+            rows = []
+    yield _table(rows, _FOUND)
+
+
+def _found_open(batches):
+    """(centre, member, found) of open members and those that they may be linked to."""
+    for (centre, _, _), (members, n, bits, opened) in _groups(batches, 3):
+        one = {m: (a, b, o) for o in (False, True) for m, a, b, x in zip(members, n, bits, opened, strict=True) if x == o}
+        ok = partners(np.array([a for a, _, _ in one.values()], np.int64), [b for _, b, _ in one.values()], np.array([o for _, _, o in one.values()]))
+        yield _table([(centre, m, True) for m, o in zip(one, ok, strict=True) if o], _FOUND)
+
+
+def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"found": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(c, pa.binary())) for k, c in enumerate(names)], names)
 
 
 def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -396,29 +445,53 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(batches):
-    a, b = [], []
-    for d, sets in _groups(batches, 2):
-        one = {x: _from_six(s) for x, s in zip(d, sets, strict=True)}
-        names = sorted(one)
-        for x, y in spanning_links([one[k] for k in names]) if len(names) > 1 else ():
-            a.append(names[x])
-            b.append(names[y])
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+_LINKS = ["a", "b", "centre", "member", "label"]
 
 
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """A bit for each hash that occurs, of a fixed number of bits."""
+def _forest(names: list[bytes], sets: list[bytes]) -> list[tuple[bytes, bytes]]:
+    if len(names) < 2:
+        return []
+    return [(names[x], names[y]) for x, y in spanning_links([_from_six(s) for s in sets])]
 
-    def run(batches):
-        bits = np.zeros(BLOOM, np.uint8)
-        for b in batches:
-            bits[b.column(0).to_numpy(zero_copy_only=False)] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
-    out = np.zeros(BLOOM // 8, np.uint8)
-    for r in keys.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(bytes(r[0]), np.uint8)
+def _links(batches):
+    """Links (a, b) within blocks; of large clusters also (centre, member, label), the least pivot that a member is connected with."""
+    for (centre, _), (members, sets, parted, own, pivot) in _groups(batches, 2):
+        one = dict(sorted(zip(members, zip(sets, own, pivot, strict=True), strict=True)))
+        edges = _forest(list(one), [x[0] for x in one.values()])
+        rows: list[tuple] = [(a, b, None, None, None) for a, b in edges]
+        if parted[0]:
+            parent = {m: m for m in one}
+
+            def root(m, parent=parent):
+                while parent[m] != m:
+                    parent[m] = parent[parent[m]]
+                    m = parent[m]
+                return m
+
+            for a, b in edges:
+                parent[root(a)] = root(b)
+            label: dict[bytes, bytes] = {}
+            for m, (_, _, is_pivot) in one.items():  # in ascending order
+                if is_pivot:
+                    label.setdefault(root(m), m)
+            rows += [(None, None, centre, m, label.get(root(m))) for m, (_, mine, _) in one.items() if mine]
+        yield _table(rows, _LINKS)
+
+
+def _links_open(batches):
+    """Links (a, b) of open members with all members of a block."""
+    for _, (members, sets) in _groups(batches, 3):
+        one = dict(sorted(zip(members, sets, strict=True)))
+        yield _table(_forest(list(one), list(one.values())), _LINKS[:2])
+
+
+def _bloom(keys: DataFrame, size: int) -> np.ndarray:
+    """A bit for each place that occurs, put together by the executors."""
+    packed = keys.select(F.floor(F.col("place") / 64).cast("long").alias("at"), F.expr("shiftleft(1L, place % 64)").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(size // 64, np.int64)
+    for r in packed.mapInArrow(_as_bytes, "at binary, bits binary").toLocalIterator():
+        out[np.frombuffer(bytes(r[0]), np.int64)] = np.frombuffer(bytes(r[1]), np.int64)
     return out
 
 
@@ -429,8 +502,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "other").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = scratch.save(lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "was"))
+        # Labels that have moved on themselves; a label of very many nodes is joined in SPREAD parts.
+        heads = lower.select("label").distinct().join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").where(F.col("far") < F.col("label"))
+        jump = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        parted = lower.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
+        new = scratch.save(parted.join(jump, ["label", "part"], "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "was"))
         scratch.drop(labels)
         labels = new
         if not labels.where(F.col("label") != F.col("was")).limit(1).count():
@@ -447,8 +523,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    kind = source.schema["key"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    kind, arrow = source.schema["key"].dataType.simpleString(), to_arrow_type(source.schema["key"].dataType)
 
     told = scratch.save(source.mapInArrow(_summaries(arrow), f"key {kind}, n long, d binary, bits binary, hash long, seen long"))
     rows = told.where(F.col("n").isNotNull()).select("key", "n", "d", "bits")
@@ -471,20 +546,28 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     packed = source.select("text").mapInArrow(_packed_keys(groups, hot, rank, hot[seen >= SALT]), "p long, direct long, digests binary, counts binary, keys binary")
     clusters = scratch.save(packed.groupBy("p").applyInArrow(_clusters_of, "centre binary, member binary").distinct())
 
-    signed = _blocked(clusters, scratch).join(classes.select(F.col("d").alias("member"), "n", "bits"), "member")
-    signed = signed.select("centre", "i", "j", F.col("centre").alias("c"), "member", "n", "bits").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    kept = scratch.save(signed.mapInArrow(_survivors, "centre binary, member binary").distinct())
-    scratch.drop(clusters)
+    large, about = _large(clusters, scratch), classes.select(F.col("d").alias("member"), "n", "bits")
+    signed = _dealt(clusters, large).join(about, "member").select("centre", "block", "member", "n", "bits", "parted")
+    first = scratch.save(signed.repartition("centre", "block").sortWithinPartitions("centre", "block").mapInArrow(_found, "centre binary, member binary, found boolean"))
+    partnered = first.where("found").select("centre", "member")
+    meeting = _meeting(clusters, large, first.where("NOT found").select("centre", "member"), scratch)
+    if meeting is not None:
+        signed = meeting.join(about, "member").select("centre", "i", "j", "member", "n", "bits", "open")
+        more = signed.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(_found_open, "centre binary, member binary, found boolean")
+        partnered = partnered.unionByName(more.select("centre", "member")).distinct()
+    kept = scratch.save(partnered)
+    scratch.drop(clusters, first, large)
 
     needed = scratch.save(kept.select(F.col("member").alias("d")).distinct().join(classes.select("d", "rep"), "d"))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOOM)).cast("int")
-    bits = _bloom(needed.select(place("rep")))
+    size = min(BLOOM[1], max(BLOOM[0], 1 << int(8 * needed.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    bits = _bloom(needed.select(place("rep").alias("place")), size)
 
     def wanted_sets(batches):
         known: set[tuple] = set()
         for b in batches:
             h = b.column(1).to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array((bits[h >> 3] >> (7 - (h & 7))) & 1 == 1))
+            b = b.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
             out = []
             keys = b.column(0).to_pylist()
             for i, u, digest in _sets(tokens.texts(b.column(2))):
@@ -495,16 +578,28 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in out])), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], ["key", "d", "set"])
 
     found = source.select("key", place("key").alias("h"), "text").mapInArrow(wanted_sets, f"key {kind}, d binary, set binary")
-    sets = found.join(needed, ["d"]).where(F.col("key").eqNullSafe(F.col("rep"))).select(F.col("d").alias("member"), "set")
-    compared = _blocked(kept, scratch).join(sets, "member").select("centre", "i", "j", "member", "set").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    links = compared.mapInArrow(_links, "a binary, b binary")
-    labels = components(links, scratch)
+    sets = found.join(needed, ["d"]).where(F.col("key").eqNullSafe(F.col("rep"))).select(F.col("d").alias("member"), "set").dropDuplicates(["member"])
+    large = _large(kept, scratch)
+    if split := not large.isEmpty():
+        sets = scratch.save(sets)
+    compared = _dealt(kept, large, PIVOTS).join(sets, "member").select("centre", "block", "member", "set", "parted", "own", "pivot").repartition("centre", "block").sortWithinPartitions("centre", "block")
+    links = scratch.save(compared.mapInArrow(_links, ", ".join(f"{c} binary" for c in _LINKS)))
+    edges = links.where(F.col("a").isNotNull()).select("a", "b")
+    if split:
+        told_labels = links.where(F.col("member").isNotNull())
+        best = told_labels.where(F.col("label").isNotNull()).groupBy("centre", "label").count().groupBy("centre").agg(F.max_by("label", F.struct("count", "label")).alias("best"))
+        opened = told_labels.join(best, "centre", "left").where(F.coalesce(F.col("label") != F.col("best"), F.lit(True))).select("centre", "member")
+        meeting = _meeting(kept, large, opened, scratch)
+        if meeting is not None:
+            compared = meeting.join(sets, "member").select("centre", "i", "j", "member", "set").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+            edges = edges.unionByName(compared.mapInArrow(_links_open, "a binary, b binary"))
+    labels = components(edges, scratch)
 
     named = classes.select("d", "rep").join(labels.withColumnRenamed("node", "d"), "d")
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     named = named.join(least, "label").select("d", "least")
     names = scratch.save(classes.select("d", "rep").join(named, "d", "left").select("d", F.coalesce("least", "rep").alias("component_id")))
-    scratch.drop(needed, kept)
+    scratch.drop(needed, kept, links, *([sets] if split else []))
     out = rows.join(names, "d", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
     return out
 

@@ -184,6 +184,33 @@ def test_schedules_move_a_source_in_time(spark):
     assert positions == sorted(positions)
 
 
+def test_positions_of_all_passes_follow_the_integrated_schedules(spark):
+    """Against a numeric integration of the schedules, inverted by bisection; every pass has a position."""
+    docs = [(i, "w " * (1 + i % 7), ["a", "b", "c", None][i % 13 % 4]) for i in range(500)] + [(900, "", "a"), (901, None, "b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    shape = lambda k, t: [1.6 - 1.2 * t, 0.5 + 2 * t if t < 0.5 else 2.5 - 2 * t, 0.4 + 1.2 * t][k]
+    steps = 4000
+    integral = [np.concatenate([[0], np.cumsum([(shape(k, i / steps) + shape(k, (i + 1) / steps)) / 2 / steps for i in range(steps)])]) for k in range(3)]
+    assert all(abs(i[-1] - 1) < 1e-6 for i in integral)
+    mixed = mixing.mix(df, keep=["doc_id", "source"]).cache()
+    order = {s: k % 3 for k, s in enumerate(["a", "b", "c", None])}
+    by_source = defaultdict(list)
+    for r in mixed.collect():
+        passes = [r[n] for n in mixing.position_names()]
+        assert sum(p is not None for p in passes) == (-(-r["taken"] // r["size"]) if r["size"] else 0)
+        by_source[r["source"]] += [(p, min(r["size"], r["taken"] - k * r["size"])) for k, p in enumerate(passes) if p is not None]
+    for source, rows_ in by_source.items():
+        target = next(r["target"] for r in mixed.collect() if r["source"] == source)
+        before = 0
+        for position, words_ in sorted(rows_):
+            assert np.interp(position, np.linspace(0, 1, steps + 1), integral[order[source]]) == pytest.approx(before / target, abs=1e-5)
+            before += words_
+        assert abs(before - target) <= 1
+    turns = mixing.training_order(mixed).collect()
+    assert [t["position"] for t in turns] == sorted(t["position"] for t in turns) and sum(t["words"] for t in turns) == sum(r["taken"] for r in mixed.collect())
+    assert {(t["doc_id"], t["pass"]) for t in turns} == {(r["doc_id"], k + 1) for r in mixed.collect() for k in range(-(-r["taken"] // r["size"]) if r["size"] else 0)}
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
@@ -227,16 +254,58 @@ def varied(seed, n):
     return docs + [(len(docs), None), (len(docs) + 1, ""), (len(docs) + 2, "   "), (len(docs) + 3, docs[7][1].upper())]
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_components_against_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize("sizes", [(256, 128, 8, 512), (3, 2, 1, 2), (4, 3, 2, 5)])
+def test_components_against_brute_force(spark, sizes, monkeypatch):
     tokens.small_batches(spark)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
-    docs = varied(block, 400)
+    for name, value in zip(("SPLIT", "BLOCK", "PIVOTS", "MEET"), sizes, strict=True):
+        monkeypatch.setattr(ngram_join, name, value)
+    docs = varied(sizes[0], 400)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit("clash")).repartition(4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()}
     assert got == brute_components(docs)
 
 
+def test_query_against_brute_force_on_a_whole_table(spark):
+    docs = [(r[0], r[1]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.op7_ngram_join(spark, DATA).collect()}
+    assert got == brute_components(docs)
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_members_of_large_clusters_are_sent_a_few_times(spark, alike, monkeypatch):
+    """Near copies go to about one block each; a cluster without links to as many as it fills blocks, and no link is lost."""
+    tokens.small_batches(spark)
+    for name, value in (("SPLIT", 60), ("BLOCK", 30), ("PIVOTS", 4), ("MEET", 200)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    base = [r.choice(words) for _ in range(60)]
+    docs = []
+    for k in range(1500):
+        w = list(base)
+        for _ in range(1 if alike else 9):  # nine changes leave less than 75 % of the shingles to any two
+            w[r.randrange(60)] = f"x{r.randrange(10**9)}"
+        docs.append((k, " ".join(w)))
+    sent = {"dealt": [], "meeting": []}
+    real_dealt, real_meeting = ngram_join._dealt, ngram_join._meeting
+    monkeypatch.setattr(ngram_join, "_dealt", lambda *a: (out := real_dealt(*a)) and sent["dealt"].append(out.count() / max(1, a[0].count())) or out)
+    monkeypatch.setattr(ngram_join, "_meeting", lambda *a: (out := real_meeting(*a)) and sent["meeting"].append(out.count() / max(1, a[0].count())) or out)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_components(docs)
+    if alike:
+        assert max(sent["dealt"]) <= 1.3 and sum(sent["meeting"]) <= 2, sent  # times of each membership
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "date", "decimal(12,2)", "binary"])
+def test_keys_of_other_types(spark, kind):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(2, text), (1, text + " eight"), (3, None), (4, "other words than these are here")], "k int, text string")
+    cast = F.to_date(F.lit("2020-01-01")) + F.col("k") if kind == "date" else F.col("k").cast("string").cast(kind) if kind == "binary" else F.col("k").cast(kind)
+    got = ngram_join.join(df.withColumn("doc_id", cast)).collect()
+    names = [r["component_id"] for r in got]
+    assert len(got) == 4 and len({str(n) for n in names}) == 3 and sum(r["doc_id"] != r["component_id"] for r in got) == 1
+
+
 def test_hot_shingles_are_dealt_out(spark, monkeypatch):
     """Shingles of more than SALT classes skip the meeting in one task."""
     docs = varied(11, 400)
@@ -281,6 +350,13 @@ def test_join_edge_cases(spark):
     assert ngram_join.join(df.limit(0)).count() == 0 and ngram_join.join(df.where("doc_id = 9")).first()["component_id"] == 9
 
 
+def test_components_of_hubs(spark):
+    """A label of many nodes is joined in parts."""
+    hub = [(bytes([0, 0, 9]), bytes([1, i // 256, i % 256])) for i in range(600)] + [(bytes([0, 0, 1]), bytes([0, 0, 9])), (bytes([5]), bytes([6]))]
+    got = {bytes(r["node"]): bytes(r["label"]) for r in ngram_join.components(spark.createDataFrame(hub, "a binary, b binary"), Scratch(spark)).collect()}
+    assert len(got) == 604 and sum(v == bytes([0, 0, 1]) for v in got.values()) == 602 and got[bytes([6])] == bytes([5])
+
+
 def test_components_of_long_paths(spark):
     path = [(bytes([i // 256, i % 256]), bytes([(i + 1) // 256, (i + 1) % 256])) for i in range(30)]
     got = ngram_join.components(spark.createDataFrame(path, "a binary, b binary"), Scratch(spark)).collect()
@@ -362,6 +438,18 @@ def test_pipeline_stage_by_stage(spark):
     assert sum(r["taken"] for r in got) == pytest.approx(sum(sizes.values()), abs=25)
 
 
+def test_rows_that_share_a_doc_id_are_judged_by_their_texts(spark):
+    import corpus_pipeline
+
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta", "red green blue cyan pink teal grey")
+    rows_ = [(1, b, "x"), (5, a, "x"), (5, b, "x"), (7, c, "z"), (7, c, "y"), (7, c, "y"), (None, c, "n"), (None, "only this here with no id", "n"), (-3, a + " eight", "x"), (9, None, "x"), (9, None, "x"), (10, "", "x")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string").withColumn("tags", F.create_map(F.lit("k"), F.col("source")))
+    got = sorted(((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.keep_one_of_each_group(spark, df, DATA).collect()), key=str)
+    assert got == sorted([(1, b, "x"), (-3, a + " eight", "x"), (7, c, "y"), (None, "only this here with no id", "n"), (9, None, "x"), (9, None, "x"), (10, "", "x")], key=str)
+    alone = spark.createDataFrame([(1, b), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.keep_one_of_each_group(spark, alone, DATA).collect())) == [(1, b), (5, a)]
+
+
 def test_stages_carry_columns_of_clashing_names(spark):
     import corpus_pipeline
 
