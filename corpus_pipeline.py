@@ -2,10 +2,9 @@
 
 Every stage takes all rows its predecessor kept, and all but the last return the
 columns of ``documents``.  Nulls in any column pass; a null or empty text is kept
-by every stage but the last, which takes only documents with words.  Rows that
-share a doc_id are one document to the join stage: the smallest of them stays.
-Rows without a doc_id cannot be named as members of a group and always stay.
-Further columns of the input are carried along, whatever their names; only where
+by every stage but the last, which takes only documents with words.  The join
+stage tells rows apart by doc_id and text; of rows alike in both one stays, and a
+row without a doc_id stays only if none of its group has one.  Further columns of the input are carried along, whatever their names; only where
 the last stage has a result of that name, the result stands.
 """
 
@@ -27,17 +26,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingle similarity the one with the smallest doc_id stays."""
+    """Of documents linked by shingle similarity the one with the smallest doc_id stays.
+
+    Documents go by a name made of doc_id, in its order, and the text's digest; so
+    rows that share a doc_id are judged by their own texts.  Rows alike in both are
+    copies, of which the first in the order of their other columns stays.
+    """
     tokens.small_batches(spark)
-    groups = ngram_join.join(docs)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    name = tokens.free_name(docs.columns, "__name")
+    # The sign bit turned makes hexadecimal digits sort like the numbers; no doc_id sorts last.
+    key = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    named = docs.withColumn(name, F.concat(F.coalesce(key, F.lit("~")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))))
+    scratch = Scratch(spark)
+    groups = ngram_join.join(named.select(name, "text"), name).where("n_shingles > 0")
+    # A row for each name that goes, or that several rows have: those rows are counted here, without their texts.
+    marks = scratch.save(groups.groupBy(name).agg(F.min("component_id").alias("stays"), F.count(F.lit(1)).alias("rows")).select(name, (F.col(name) == F.col("stays")).alias("stays"), "rows").where("NOT stays OR rows > 1"))
+    kept = named.join(marks.select(name), name, "left_anti").select(*docs.columns)
+    again = marks.where("stays").select(name)
     if again.isEmpty():
         return kept
-    rest = [c for c in docs.columns if c != "doc_id"]
-    firsts = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("first")).select("doc_id", "first.*")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(firsts)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    firsts = named.join(again, name, "left_semi").groupBy(name).agg(F.min_by(row, F.to_json(row)).alias("first")).select("first.*")
+    return kept.unionByName(firsts)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
