@@ -2,14 +2,18 @@
 
 1. Markup is stripped into lines, one per block-level element.  Elements that
    hold no article text (scripts, menus, page headers and footers, side bars,
-   notices, adverts, forms, reader comments) leave one empty line.
-2. A line weighs the characters of its text; where the page marks an ``article``
-   or ``main`` element, lines outside it weigh nothing, and elsewhere lines that
-   are all link weigh nothing.
+   notices, adverts, forms, reader comments) leave one empty line.  A class, id or
+   role drops an element by its name alone only if all parts of the name say so;
+   where just a part does, the text decides: the element goes if it is mostly links.
+2. A line weighs the characters of its text; lines that are all link weigh nothing
+   outside of marked articles, and where the page marks ``article`` or ``main``
+   elements, lines outside of them weigh nothing.
 3. Weights are summed over windows of ``WINDOW`` lines.  A surge point is where
-   the sum rises above the threshold, a dive point where a window falls to zero.
-4. Text between a surge and its dive is kept; a page without a marked article
-   has a threshold of ``SURGE`` characters, which drops stray short lines.
+   the sum rises above ``SURGE`` characters, a dive point where a window falls to
+   zero, or where a marked article ends.
+4. Text between dive points is kept if there is a surge point in it, with the short
+   lines before and after it; so of several marked articles, teasers without a
+   surge go.  A page without any surge is short, and kept as it is.
 
 Character references are decoded, white space inside a block becomes one space,
 and blocks are joined by a newline.  Nothing else is cut: a region is kept whole.
@@ -38,7 +42,7 @@ WINDOW, SURGE = 3, 40
 
 # HTML element names by role.
 RAW = {"script", "style", "textarea", "title", "xmp", "noframes", "iframe", "noembed"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "head", "noscript", "template", "button", "select", "svg", "canvas", "object", "menu", "dialog", "math", "audio", "video"}
+DROPPED = {"nav", "header", "footer", "aside", "form", "head", "noscript", "template", "button", "select", "svg", "canvas", "object", "menu", "dialog", "audio", "video"}
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 HEADS = {"base", "bgsound", "basefont", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -47,34 +51,46 @@ TELLS = {"has", "no", "not", "with", "without"}
 # Words of class, id and role attributes that mark other parts of a page.
 MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "contentinfo", "cookie", "cookies", "consent", "disqus", "footer", "gdpr", "header", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup", "promo", "promoted", "promotion", "related", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
+# Words of names that say where or how big an element is, or that it has more of a kind.
+PLAIN = {"area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "cards", "center", "child", "col", "column", "container", "content", "depth", "desktop", "even", "first", "form", "global", "group", "icon", "icons", "inner", "item", "items", "large", "last", "layout", "left", "level", "line", "link", "links", "list", "local", "main", "media", "mobile", "module", "odd", "outer", "page", "panel", "parent", "post", "posts", "primary", "respond", "right", "row", "secondary", "section", "sections", "signup", "site", "small", "space", "sticky", "stories", "text", "thread", "title", "top", "unit", "units", "wrap", "wrapper", "zone"}
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*))>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _named(value: str, lead: bool) -> bool:
-    """Whether a name in ``value`` holds a mark, or begins with one; names like has-sidebar don't."""
+def _named(value: str, lead: bool) -> str:
+    """What the names in ``value`` say: "named" if all parts of one are marks or plain, "perhaps" if one holds a mark, or nothing.
+
+    With ``lead``, only names that begin with a mark count.  Names like has-sidebar don't.
+    """
+    out = ""
     for name in value.split():
         parts = [p.lower() for p in _PART.findall(name)]
         for k, p in enumerate(parts[:1] if lead else parts):
             if p in MARKS and not TELLS.intersection(parts[:k]):
-                return True
-    return False
+                if all(q in MARKS or q in PLAIN or q.isdigit() for q in parts):
+                    return "named"
+                out = "perhaps"
+    return out
 
 
 def _boilerplate(name: str, attributes: str) -> str:
-    """Why an element is dropped: its element name, "hidden" or "named"; empty if it isn't."""
+    """Why an element is dropped: its element name, "hidden" or "named"; "perhaps" if its text decides; empty if it isn't."""
     if name in DROPPED:
         return name
     if not attributes or name in ("html", "body", "main"):
         return ""
     if name != "article" and _HIDDEN.search(attributes):
         return "hidden"
+    out = ""
     for m in _ATTRIBUTE.finditer(attributes):
-        if _named(m[2] or m[3] or m[4] or "", name == "article"):
-            return "named"
-    return ""
+        says = _named(m[2] or m[3] or m[4] or "", name == "article")
+        if says == "named":
+            return says
+        out = out or says
+    return out
 
 
 def _tags(page: str):
@@ -105,11 +121,14 @@ def _closed(page: str) -> set[int]:
     return out
 
 
-def lines(page: str) -> tuple[list[str], list[int], bool]:
-    """Lines of text, the weight of each, and whether the page marks an article."""
+def lines(page: str) -> tuple[list[str], list[int], list[int]]:
+    """Lines of text, the weight of each, and which marked article it is in (from 1; all 0 on a page without)."""
     out: list[str] = []
     weights: list[int] = []
-    inner: list[bool] = []
+    inner: list[int] = []
+    articles = 0
+    doubtful: list[list] = []  # elements whose text decides: name, open ones of the name, first line, characters and linked ones before
+    every = links = 0
     text: list[str] = []
     size = linked = depth = 0  # depth: of article and main elements that are open
     marked = False  # whether there is such an element at all
@@ -123,17 +142,24 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
         if line or blank:
             out.append(line)
             weights.append(len(line) if size > linked else -len(line))
-            inner.append(depth > 0)
+            inner.append(articles if depth else 0)
         size = linked = 0
 
+    def decide(first: int, chars: int, of_links: int) -> None:
+        """Drop the lines from ``first`` on if they are mostly links."""
+        if every > chars and 2 * (links - of_links) >= every - chars:
+            out[first:], weights[first:], inner[first:] = [""], [0], [0]
+
     def add(piece: str) -> None:
-        nonlocal size, linked
+        nonlocal size, linked, every, links
         if dropped or not piece:
             return
         text.append(piece)
         n = len(piece) - piece.count(" ") if not piece.isspace() else 0
         size += n
         linked += n * link
+        every += n
+        links += n * link
 
     closed, since, why = None, 0, ""  # tags that are closed; where the dropped element starts, and why it is dropped
     for begin, start, _, name, closing, attributes in _tags(page):
@@ -158,12 +184,23 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
                 if since in closed:
                     continue
             dropped = ""
+        for d in doubtful:
+            if name == d[0]:
+                d[1] += -1 if closing else (not attributes.endswith("/"))
+        if doubtful and doubtful[-1][1] == 0:
+            end()
+            while doubtful and doubtful[-1][1] == 0:
+                decide(*doubtful.pop()[2:])
         if not closing and name not in VOID and (reason := _boilerplate(name, attributes)):
             end()
-            end(blank=True)
-            if not attributes.endswith("/"):
-                dropped, level, since, why = name, 1, start, reason
-            continue
+            if reason == "perhaps":
+                if not attributes.endswith("/"):
+                    doubtful.append([name, 1, len(out), every, links])
+            else:
+                end(blank=True)
+                if not attributes.endswith("/"):
+                    dropped, level, since, why = name, 1, start, reason
+                continue
         if name == "a":
             link = not closing
         elif name == "br":
@@ -171,37 +208,48 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
         elif name in BLOCKS:
             end()
             if name in ("article", "main"):
+                if not closing:
+                    articles += depth == 0
+                    marked = True
                 depth = max(0, depth - 1) if closing else depth + 1
-                marked |= not closing
     end()
     if marked:
         weights = [abs(w) if i else 0 for w, i in zip(weights, inner, strict=True)]
     else:
         weights = [max(0, w) for w in weights]
-    return out, weights, marked
+    return out, weights, inner
 
 
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Text between surge and dive points of a page's line-block distribution."""
     if not page:
         return ""
-    found, weights, marked = lines(page)
-    least = 0 if marked else surge
+    found, weights, inner = lines(page)
     n = len(found)
-    total = [0] * (n + window)
-    for i in range(n - 1, -1, -1):
-        total[i] = total[i + 1] + weights[i] - (weights[i + window] if i + window < n else 0)
-    kept, i = [], 0
-    while i < n:
-        if weights[i] and total[i] > least:  # surge: on from here
-            while i < n and total[i] > 0:  # dive: a window without text
-                if found[i] and weights[i]:
-                    kept.append(found[i])
-                i += 1
-        i += 1
-    if not kept and not marked:  # a short page: nothing rises above the threshold
-        kept = [t for t, w in zip(found, weights, strict=True) if w]
-    return "\n".join(kept)
+    # Regions between dive points: a window of empty lines, or the end of a marked article.
+    regions: list[list[int]] = []
+    empty = window
+    for i, w in enumerate(weights):
+        if not w:
+            empty += 1
+            continue
+        if (empty >= window if not inner[i] else not regions or inner[regions[-1][-1]] != inner[i]) or not regions:
+            regions.append([])
+        regions[-1].append(i)
+        empty = 0
+    kept = []
+    for region in regions:
+        at, last = 0, 0
+        for k, i in enumerate(region):  # the window that begins at each line
+            last = max(last, k)
+            while last < len(region) and region[last] < min(n, i + window):
+                at += weights[region[last]]
+                last += 1
+            if at > surge:
+                kept.append(region)
+                break
+            at -= weights[i]
+    return "\n".join(found[i] for region in kept or regions for i in region)
 
 
 def extract_pages(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -113,6 +113,66 @@ def test_unmarked_page_by_line_blocks():
     assert got.count("\n") == 3 and got.startswith("word") and "Home" not in got
 
 
+def built_page(r, marked):
+    """A page from known blocks, and its main text: what is read is known by construction, not by tags."""
+    import html
+
+    word = lambda: "".join(r.choice("abcdefgh&<>'\"é") for _ in range(r.randint(2, 9)))
+    said = lambda k: " ".join(word() for _ in range(k))
+    esc, pad = lambda t: html.escape(t, quote=r.random() < 0.5).replace("é", r.choice(["é", "&eacute;", "&#233;"])), lambda t: t.replace(" ", r.choice([" ", "\n ", "  "]))
+    link = lambda k: f'<a href="/{r.randint(1, 99)}">{esc(said(k))}</a>'
+    long = r.randint(1, 6)
+    blocks = ([said(r.randint(1, 3))] if r.random() < 0.6 else []) + [said(r.randint(20, 60)) for _ in range(long)] + ([said(1)] if r.random() < 0.6 else [])
+    noise = [lambda: f'<nav><ul>{"".join(f"<li>{link(2)}</li>" for _ in range(5))}</ul></nav>', lambda: f'<div class="{r.choice(["sidebar", "left-sidebar", "related-posts", "ad-box", "social share", "cookie-notice"])}"><p>{esc(said(30))}</p></div>', lambda: f"<script>var x = '<p>{'no ' * 30}</p>';</script>", lambda: f'<div class="social-{r.choice('abc')}x">{link(9)} {link(9)}</div>', lambda: f"<form><p>{esc(said(30))}</p><input></form>", lambda: f"<!-- {said(30)} -->"]
+    body = []
+    for i, b in enumerate(blocks):
+        name = r.choice(["p", "div", "blockquote", "h2"]) if i else r.choice(["h1", "p"])
+        kind = r.choice(["", "", " class='share-price'", " class=related-work", " class='intro has-sidebar'"])
+        k = r.randint(1, max(1, b.count(" ")))
+        words = b.split(" ")
+        inner = pad(esc(" ".join(words[:k]))) + (" <b>" + esc(" ".join(words[k:])) + "</b>" if words[k:] else "")
+        body.append(f"<{name}{kind}>{inner}</{name}>")
+        if r.random() < 0.3:
+            body.append(r.choice(noise)())
+    comments = f'<section id="comments">{"".join(f"<div><p>{esc(said(30))}</p></div>" for _ in range(3))}</section>'
+    inner = "".join(body)
+    main = r.choice([f"<article>{inner}</article>", f"<main>{inner}</main>", f"<article class='post tag-search'>{inner}{comments}</article>", f"<div class=widget><main>{inner}</main></div>"]) if marked else f"<div id=content>{inner}</div>"
+    teaser = f"<article><a href=x>{esc(said(2))}</a></article>" if marked and len(" ".join(blocks)) > 200 and r.random() < 0.4 else ""
+    page = f"<!DOCTYPE html><html><head><title>{esc(said(4))}</title></head><body><header><p>{esc(said(20))}</p></header>{noise[0]()}{main}{teaser}{comments}<footer>{esc(said(20))}</footer></body></html>"
+    return page, "\n".join(blocks)
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_pages_built_from_known_blocks(marked):
+    r = random.Random(22 + marked)
+    for _ in range(400):
+        page, text = built_page(r, marked)
+        assert html_extract.extract(page) == text, page
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p>Hi.</p><p>{LONG}</p><p>Bye.</p>", f"Hi.\n{LONG.strip()}\nBye."),
+        (f"<article><div class=share-price>It rose.</div><p class='related-work'>{LONG}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p></article>", f"It rose.\n{LONG.strip()}\nSo x=2."),
+        (f"<div><p>{LONG}</p></div><div class='related-reading'><a href=a>One more thing to read</a> <a href=b>And another</a></div>", LONG.strip()),
+        (f"<article><p>{LONG}</p></article><article><a href=x>Teaser</a></article>", LONG.strip()),
+        ("<article><p>Short.</p></article><article><p>Also.</p></article>", "Short.\nAlso."),
+        (f"<article><p>{LONG}</p><aside>1</aside><aside>2</aside><aside>3</aside><aside>4</aside><p>End.</p></article>", f"{LONG.strip()}\nEnd."),
+    ],
+)
+def test_short_blocks_and_names_of_which_a_part_is_a_mark(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_page_tables_empty_repeated_and_very_long(spark):
+    page = "<article>" + "".join(f"<p>{'word ' * 20}{i}</p>" for i in range(20_000)) + "</article>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None)], "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))
+    got = sorted((r["page_id"], len(r["text"].split("\n")), r["n_chars"]) for r in html_extract.extract_pages(df).collect())
+    assert [g[:2] for g in got] == [(1, 20_000), (1, 20_000), (2, 1)] and got[0] == got[1] and got[2][2] == 0
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
 def test_extraction_of_all_pages(spark):
     got = {r["page_id"]: r for r in html_extract.op2_html_extract(spark, DATA).collect()}
     pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
