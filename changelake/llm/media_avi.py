@@ -1,21 +1,24 @@
 """AVI motion-JPEG columns: parse RIFF indexes, decode intra frames, detect shots.
 
 A media value is an AVI file as bytes: ``RIFF/AVI`` with ``hdrl``, ``movi`` and
-``idx1``.  Each ``00dc`` chunk is one intra frame, a grey JPEG of the lossless
-process (SOF3, left predictor), so 8-bit samples come back exactly.  The reader
-finds frames through ``idx1``, and by walking ``movi`` where there is none.
+``idx1``.  Each ``00dc`` chunk that the writer makes is one intra frame, a grey JPEG
+of the lossless process (SOF3, left predictor), so 8-bit samples come back exactly.
+The reader finds frames through ``idx1``, and by walking ``movi`` where there is
+none; it reads these frames and baseline DCT ones (``dct``), grey or in colour.
 
 The writer's Huffman table gives difference category ``s`` a code of ``9 - s``
 bits; with its ``s`` extra bits each sample takes nine bits, so both directions
-are table lookups over whole arrays.  Frames with any other table are decoded
-bit by bit.  DCT frames (SOF0 and others) are refused with a ``ValueError``.
+are table lookups over whole arrays.  Lossless frames with any other table are
+decoded bit by bit.  Other JPEG processes (progressive, arithmetic) are refused.
 
 Shots: a cut stands where the histogram difference of neighbouring frames is
 above ``floor`` and above mean + ``factor`` x deviation of the differences
 within ``reach`` frames around it.  Each shot is a clip with its times.
 
 Edge cases: null or empty text stores one block of zeros; equal texts give equal
-files; a null media value has no clips; rows are independent, so ties, repeated
+files; a null media value has no clips; a file that is broken, cut off, without
+frames or of another kind gives one row without a clip, and its status says why;
+frames of length 0 repeat the one before; rows are independent, so ties, repeated
 rows and further columns change nothing, and an empty table stays empty.
 """
 
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import dct, tokens
 
 WIDTH, HEIGHT, RATE = 64, 64, 25
 
@@ -104,7 +107,30 @@ def _bitwise(data: bytes, n: int, lengths: bytes, symbols: bytes) -> np.ndarray:
 
 
 def decode_frame(jpeg: bytes) -> np.ndarray:
-    """Samples of a grey lossless JPEG with predictor 1."""
+    """Samples of a grey lossless JPEG with predictor 1, or of a baseline DCT JPEG; colours have a third axis.
+
+    Anything else, broken data included, is a ``ValueError``.
+    """
+    try:
+        return _lossless(jpeg) if _process(jpeg) == 0xC3 else dct.decode(jpeg)
+    except (ArithmeticError, LookupError, TypeError, StopIteration, RuntimeError, struct.error) as e:
+        raise ValueError("broken JPEG data") from e
+
+
+def _process(jpeg: bytes) -> int:
+    """The marker of a JPEG's frame header."""
+    if jpeg[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG")
+    at = 2
+    while at + 4 <= len(jpeg):
+        mark = jpeg[at + 1]
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            return mark
+        at += 2 + int.from_bytes(jpeg[at + 2 : at + 4]) if mark != 0xFF else 1
+    raise ValueError("no frame header")
+
+
+def _lossless(jpeg: bytes) -> np.ndarray:
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     at, shape, table = 2, None, None
@@ -128,6 +154,8 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
     end = jpeg.rindex(b"\xff\xd9")
     data = jpeg[at:end].replace(b"\xff\x00", b"\xff")
     n = shape[0] * shape[1]
+    if n > 8 * len(jpeg):  # a sample takes a bit at least
+        raise ValueError("JPEG data end early")
     if n % 8 == 0 and _DHT.endswith(table[0] + table[1]):
         d = _DIFF[_unpack(np.frombuffer(data, np.uint8, n // 8 * 9).reshape(-1, 9))].astype(np.int32)
     else:
@@ -176,7 +204,7 @@ def parse_avi(media: bytes) -> tuple[list[tuple[int, int]], float]:
                 if media[body : body + 4] == b"movi":
                     movie = body
                 stack.append((at, end))
-                at, end = body + 4, body + size
+                at, end = body + 4, min(end, body + size)
             elif name == b"avih":
                 seconds = int.from_bytes(media[body : body + 4], "little") / 1e6
             elif name == b"idx1":
@@ -190,13 +218,26 @@ def parse_avi(media: bytes) -> tuple[list[tuple[int, int]], float]:
 
 
 def read_frames(media: bytes) -> tuple[list[np.ndarray], float]:
-    frames, seconds = parse_avi(media)
-    return [decode_frame(media[o : o + n]) for o, n in frames], seconds
+    """All frames, and seconds a frame; a file without any, or with a broken one, is a ``ValueError``."""
+    try:
+        places, seconds = parse_avi(media)
+    except (IndexError, struct.error) as e:
+        raise ValueError("broken AVI file") from e
+    frames: list[np.ndarray] = []
+    for o, n in places:
+        if n == 0 and frames:
+            frames.append(frames[-1])
+        elif n:
+            frames.append(decode_frame(media[o : o + n]))
+    if not frames:
+        raise ValueError("no frames")
+    return frames, seconds
 
 
 def differences(frames: list[np.ndarray], bins: int = 16) -> np.ndarray:
     """Half the L1 distance of neighbouring frames' histograms, 0 to 1."""
-    h = np.array([np.bincount(f.ravel() // (256 // bins), minlength=bins) / max(1, f.size) for f in frames])
+    grey = [dct.luminance(f) for f in frames]
+    h = np.array([np.bincount(f.ravel() // (256 // bins), minlength=bins) / max(1, f.size) for f in grey])
     return np.abs(np.diff(h, axis=0)).sum(1) / 2 if len(frames) > 1 else np.zeros(0)
 
 
@@ -210,10 +251,24 @@ def cuts(d: np.ndarray, reach: int = 8, factor: float = 3.0, floor: float = 0.1)
     return out
 
 
-def clips(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each shot: ``keep``, clip, first_frame, last_frame, start_s, end_s."""
+def shots(media: bytes) -> tuple[list[tuple], str]:
+    """(clip, first frame, last frame, start, end) of each shot, and "ok" or why there are none."""
+    try:
+        frames, seconds = read_frames(media)
+    except ValueError as e:
+        return [(None,) * 5], str(e) or "broken"
+    edges = [0, *cuts(differences(frames)), len(frames)]
+    return [(k, x, y - 1, x * seconds, y * seconds) for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False))], "ok"
+
+
+def clips(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",), status: str | None = None) -> DataFrame:
+    """A row for each shot: ``keep``, clip, first_frame, last_frame, start_s, end_s, and a column named ``status``, if asked for.
+
+    A value that cannot be read has one row, whose clip is null.
+    """
     chosen = media.select(*keep, F.col(column).alias("__media"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", clip int, first_frame long, last_frame long, start_s double, end_s double"
+    names = ["clip", "first_frame", "last_frame", "start_s", "end_s", *([status] if status else [])]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", clip int, first_frame long, last_frame long, start_s double, end_s double" + (f", `{status}` string" if status else "")
 
     def run(batches):
         for b in batches:
@@ -221,14 +276,12 @@ def clips(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc
             for i, m in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 if m is None:
                     continue
-                frames, seconds = read_frames(m)
-                edges = [0, *cuts(differences(frames)), len(frames)]
-                for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
-                    at.append(i)
-                    rows.append((k, x, y - 1, x * seconds, y * seconds))
+                found, says = shots(m)
+                at += [i] * len(found)
+                rows += [(*r, says) for r in found]
             taken = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
-            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])]
-            yield pa.RecordBatch.from_arrays([*taken, *made], [*b.schema.names[:-1], "clip", "first_frame", "last_frame", "start_s", "end_s"])
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()][: len(names)])]
+            yield pa.RecordBatch.from_arrays([*taken, *made], [*b.schema.names[:-1], *names])
 
     return chosen.mapInArrow(run, schema)
 
@@ -280,5 +333,11 @@ def op9_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-QUERIES = {"op9_media_avi": op9_media_avi}
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clips of all documents, stored as media."""
+    tokens.small_batches(spark)
+    return clips(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), status="status")
+
+
+QUERIES = {"op9_media_avi": op9_media_avi, "media_clips": media_clips}
 ORACLES: dict[str, str] = {}

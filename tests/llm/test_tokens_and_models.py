@@ -400,6 +400,132 @@ def test_shots_become_clips(spark):
     assert got == [(1, 0, 0, 4, 0.0, 0.2), (1, 1, 5, 8, 0.2, pytest.approx(0.36))]
 
 
+def baseline(planes, sampling, quantiser=2, restart=0, tables=True, scans=False):
+    """A JPEG of planes (whole blocks each) by a plain encoder of the standard's formulas: for tests."""
+    import struct
+
+    from changelake.llm import dct
+
+    seg = lambda mark, body: b"\xff" + bytes([mark]) + struct.pack(">H", len(body) + 2) + body
+    across, down = max(h for h, _ in sampling), max(v for _, v in sampling)
+    high, wide = planes[0].shape[0] * down // sampling[0][1], planes[0].shape[1] * across // sampling[0][0]
+    out = b"\xff\xd8" + seg(0xDB, b"\0" + bytes([quantiser] * 64))
+    out += seg(0xC0, struct.pack(">BHHB", 8, high, wide, len(planes)) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling)))
+    if tables:
+        out += b"".join(seg(0xC4, bytes([c << 4 | n]) + lengths + symbols) for (c, n), (lengths, symbols) in dct.STANDARD.items())
+    if restart:
+        out += seg(0xDD, struct.pack(">H", restart))
+
+    def coded(plane, y, x, before, n):
+        block = dct.COSINES @ (plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8].astype(float) - 128) @ dct.COSINES.T
+        c = np.rint(block.ravel()[dct.ZIGZAG] / quantiser).astype(int).tolist()
+        dc, ac = (dct.codes(*dct.STANDARD[k, n]) for k in (0, 1))
+        number = lambda v: (s := abs(v).bit_length(), format(v if v >= 0 else v + (1 << s) - 1, f"0{s}b") if s else "")
+        s, tail = number(c[0] - before)
+        bits, run = format(dc[s][0], f"0{dc[s][1]}b") + tail, 0
+        for v in c[1:]:
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                bits, run = bits + format(ac[0xF0][0], f"0{ac[0xF0][1]}b"), run - 16
+            s, tail = number(v)
+            bits, run = bits + format(ac[run << 4 | s][0], f"0{ac[run << 4 | s][1]}b") + tail, 0
+        return bits + (format(ac[0][0], f"0{ac[0][1]}b") if run else ""), c[0]
+
+    rows, columns = high // 8 // down, wide // 8 // across
+    for group in [[i] for i in range(len(planes))] if scans or len(planes) == 1 else [list(range(len(planes)))]:
+        out += seg(0xDA, bytes([len(group)]) + b"".join(bytes([i + 1, 0x11 * (i > 0)]) for i in group) + b"\0\x3f\0")
+        if len(group) == 1:
+            i = group[0]
+            units = [[(i, y, x)] for y in range(planes[i].shape[0] // 8) for x in range(planes[i].shape[1] // 8)]
+        else:
+            units = [[(i, y * sampling[i][1] + b, x * sampling[i][0] + a) for i in group for b in range(sampling[i][1]) for a in range(sampling[i][0])] for y in range(rows) for x in range(columns)]
+        for k, first in enumerate(range(0, len(units), restart or len(units))):
+            bits, before = "", dict.fromkeys(group, 0)
+            for unit in units[first : first + (restart or len(units))]:
+                for i, y, x in unit:
+                    more, before[i] = coded(planes[i], y, x, before[i], int(i > 0))
+                    bits += more
+            bits += "1" * (-len(bits) % 8)
+            out += (b"\xff" + bytes([0xD0 + (k - 1) % 8]) if k else b"") + int(bits, 2).to_bytes(len(bits) // 8).replace(b"\xff", b"\xff\0")
+    return out + b"\xff\xd9"
+
+
+def in_avi(frames, index=True):
+    media = media_avi.write_avi(bytes(64))
+    movie = b"movi" + b"".join(media_avi._chunk(b"00dc", f) for f in frames)
+    head = media[12 : media.index(b"LIST", media.index(b"strf"))]
+    entries, at = b"", 4
+    for f in frames:
+        entries += __import__("struct").pack("<4sIII", b"00dc", 16, at, len(f))
+        at += 8 + len(f) + len(f) % 2
+    body = b"AVI " + head + media_avi._chunk(b"LIST", movie) + (media_avi._chunk(b"idx1", entries) if index else b"")
+    return media_avi._chunk(b"RIFF", body)
+
+
+def smooth(high, wide, seed):
+    y, x = np.mgrid[:high, :wide]
+    return np.clip(128 + 60 * np.sin((x + seed) / 7) + 50 * np.cos((y - seed) / 5) + (x * y + seed) % 7, 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(1, 1)] * 3, [(2, 1), (1, 1), (1, 1)], [(2, 2), (1, 1), (1, 1)]])
+@pytest.mark.parametrize("options", [{}, {"restart": 2}, {"tables": False}, {"scans": True, "restart": 3}])
+def test_baseline_frames(sampling, options):
+    from changelake.llm import dct
+
+    across, down = sampling[0]
+    planes = [smooth(32 * v // down, 48 * h // across, 3 * i) for i, (h, v) in enumerate(sampling)]
+    got = media_avi.decode_frame(baseline(planes, sampling, **options))
+    if len(planes) == 1:
+        assert got.shape == (32, 48) and np.abs(got.astype(int) - planes[0]).max() <= 4
+        return
+    y, cb, cr = (np.repeat(np.repeat(p, down // v, 0), across // h, 1).astype(float) for p, (h, v) in zip(planes, sampling, strict=True))
+    want = np.clip(np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], 2), 0, 255)
+    assert got.shape == (32, 48, 3) and np.abs(got - want).max() <= 12 and np.abs(got - want).mean() < 2
+    assert all(sum(lengths) == len(symbols) == len(set(symbols)) for lengths, symbols in dct.STANDARD.values())
+
+
+def test_broken_and_foreign_files_are_rows(spark):
+    frames = [baseline([smooth(16, 16, 0)], [(1, 1)])] * 5 + [baseline([np.full((16, 16), 250, np.uint8)], [(1, 1)])] * 4
+    good = in_avi(frames)
+    own = media_avi.write_avi(bytes(range(256)) * 64)
+    r = random.Random(1)
+    cases = [good, in_avi(frames, index=False), good[: len(good) // 2], own[: len(own) // 2], own[:40], b"", b"RIFF1234WAVE", own.replace(b"\xff\xc3", b"\xff\xc2"), in_avi([]), in_avi([frames[0], b"", frames[-1]]), in_avi([b"\xff\xd8\xff\xd9"])]
+    cases += [bytes(b if r.random() > 0.02 else r.randrange(256) for b in x) for x in (good, own) for _ in range(20)]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)] + [(1000, None)], "doc_id long, media binary").withColumn("clip", F.lit("clash"))
+    got = {}
+    for row in media_avi.clips(df, status="status").collect():
+        got.setdefault(row["doc_id"], []).append(row)
+    assert set(got) == set(range(len(cases)))
+    assert [(x["first_frame"], x["last_frame"], x["status"]) for x in got[0]] == [(0, 4, "ok"), (5, 8, "ok")] == [(x["first_frame"], x["last_frame"], x["status"]) for x in got[1]]
+    assert all(len(got[i]) == 1 and got[i][0]["clip"] is None and got[i][0]["status"] != "ok" for i in (4, 5, 6, 7, 8, 10))
+    assert got[9][-1]["last_frame"] == 2
+    assert media_avi.clips(df.limit(0)).count() == 0 and media_avi.store(df.select("doc_id", F.lit("a").alias("text")).limit(0)).count() == 0
+
+
+def test_clips_of_all_documents(spark):
+    """Against cuts found from the texts' own bytes."""
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {}
+    for r in media_avi.media_clips(spark, DATA).collect():
+        assert r["status"] == "ok"
+        got.setdefault(r["doc_id"], []).append((r["clip"], r["first_frame"], r["last_frame"]))
+    assert set(got) == set(docs)
+    for d, text in docs.items():
+        payload = media_avi.padded(text)
+        pictures = [np.frombuffer(payload[i : i + 4096], np.uint8) for i in range(0, len(payload), 4096)]
+        h = [np.histogram(p, bins=16, range=(0, 256))[0] / len(p) for p in pictures]
+        change = [np.abs(a - b).sum() / 2 for a, b in zip(h, h[1:], strict=False)]
+        edges = [0]
+        for t, x in enumerate(change):
+            near = change[max(0, t - 8) : t] + change[t + 1 : t + 9]
+            if x > 0.1 and (not near or x > np.mean(near) + 3 * np.std(near)):
+                edges.append(t + 1)
+        edges.append(len(pictures))
+        assert sorted(got[d]) == [(k, a, b - 1) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+
+
 def test_media_query(spark):
     import hashlib
     import zlib
@@ -407,6 +533,9 @@ def test_media_query(spark):
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in media_avi.op9_media_avi(spark, DATA).collect():
         payload = media_avi.padded(docs[r["doc_id"]])
+        media = media_avi.write_avi(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest()) and r["feature"].startswith(f"frames={-(-len(payload) // 4096)};")
+        assert r["feature"].split(";mean=")[1].split(";")[0] == f"{sum(payload) / len(payload):.3f}"
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(docs[r["doc_id"]]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     stored = media_avi.store(spark.createDataFrame([(1, None), (2, ""), (3, "é")], "doc_id long, text string")).collect()
     assert stored[0]["media"] == stored[1]["media"] and media_avi.describe(bytes(stored[2]["media"]))[0][:2] == "é".encode()
