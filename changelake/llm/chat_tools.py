@@ -7,9 +7,13 @@ code point order, no white space, numbers in their shortest form.
 
 Every join is on conversation *and* call, so a conversation with a third of all
 rows is spread like any other; nothing gathers a conversation in one task.  The
-place of a call is (level, seq), which needs no ranking.  Where each call waits
-for one other at most, levels come from pointer doubling, in as many rounds as
-the logarithm of the longest chain; else calls are peeled off, a round a level.
+place of a call is (level, seq), which needs no ranking.  Calls that wait for one
+other at most find the nearest call before them that waits for several, or for
+none, by pointer doubling, in as many rounds as the logarithm of the longest chain;
+among calls that wait for several, levels are then settled a round for each such
+call on a path.  So a fork costs rounds for its own paths only, and not for every
+chain of the table.  Joins of calls with results, levels and pointers are shuffled
+hash joins on unique keys.
 
 Edge cases: a call without a result has status ``open``; a result without a call
 ``orphan``; of several calls, or several results, with one identifier the one of
@@ -29,7 +33,8 @@ from .scratch import Scratch
 
 #: Name of a JSON schema type to a pattern of the variant types that it takes.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
-Schema = dict[str, tuple[str, bool]]  # parameter: type, required
+#: Parameter: its type, or the schema of an object; and whether it is required.
+Schema = dict[str, tuple]
 
 
 def quoted(text: Column) -> Column:
@@ -37,21 +42,32 @@ def quoted(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
 
 
+def _problems(json: Column, parsed: Column, schema: Schema, prefix: str = "") -> Column:
+    """What is wrong with an object, as an array of texts: parameters in order, then unknown ones."""
+    keys = F.json_object_keys(json)
+    known = F.array(*[F.lit(p) for p in sorted(schema)]) if schema else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    out = []
+    for parameter, (kind, required) in sorted(schema.items()):
+        has, quote = F.array_contains(keys, parameter), '"' if "'" in parameter else "'"
+        value = F.try_variant_get(parsed, f"$[{quote}{parameter}{quote}]", "variant")
+        nested = isinstance(kind, dict)
+        name = "object" if nested else kind
+        right = F.coalesce(F.schema_of_variant(value), F.lit("VOID")).rlike(f"^({TYPES[name]})$")
+        missing = F.array(F.lit(f"missing {prefix}{parameter}")) if required else none
+        inside = _problems(F.to_json(value), value, kind, f"{prefix}{parameter}.") if nested else none
+        out.append(F.when(~has, missing).when(~right, F.array(F.lit(f"{prefix}{parameter} is not {name}"))).otherwise(inside))
+    extra = F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(F.lit(f"unknown {prefix}"), k))
+    return F.concat(*out, extra)
+
+
 def errors(name: Column, arguments: Column, schemas: dict[str, Schema]) -> Column:
     """What is wrong with a call's arguments, as text; empty if they are valid."""
     parsed = F.try_parse_json(arguments)
     out = F.lit("unknown tool")
     for tool, schema in schemas.items():
-        known = F.array(*[F.lit(p) for p in sorted(schema)]) if schema else F.array().cast("array<string>")
-        found = []
-        for parameter, (kind, required) in sorted(schema.items()):
-            has = F.array_contains(F.json_object_keys(arguments), parameter)
-            is_a = F.schema_of_variant(F.try_variant_get(parsed, f"$.{parameter}", "variant"))
-            missing = F.when(~has, F.lit(f"missing {parameter}")) if required else F.lit(None).cast("string")
-            found.append(F.coalesce(missing, F.when(has & ~F.coalesce(is_a, F.lit("VOID")).rlike(f"^({TYPES[kind]})$"), F.lit(f"{parameter} is not {kind}"))))
-        extra = F.transform(F.array_sort(F.array_except(F.json_object_keys(arguments), known)), lambda k: F.concat(F.lit("unknown "), k))
-        every = F.concat(F.array_compact(F.array(*found)) if found else F.array().cast("array<string>"), extra)
-        bad = F.when(arguments.isNull() | parsed.isNull() | F.json_object_keys(arguments).isNull(), F.lit("arguments are not an object")).otherwise(F.array_join(every, "; "))
+        no_object = arguments.isNull() | parsed.isNull() | F.json_object_keys(arguments).isNull()
+        bad = F.when(no_object, F.lit("arguments are not an object")).otherwise(F.array_join(_problems(arguments, parsed, schema), "; "))
         out = F.when(name == tool, bad).otherwise(out)
     return out
 
@@ -70,41 +86,65 @@ def levels(calls: DataFrame, waits: DataFrame, scratch: Scratch) -> DataFrame:
     keys = ["conv_id", "call_id"]
     known = calls.select(*keys)
     edges = scratch.save(waits.join(known, keys).join(known.withColumnRenamed("call_id", "on"), ["conv_id", "on"]).select(*keys, "on").distinct())
-    several = edges.groupBy(*keys).count().where("count > 1").limit(1).count()
-    out = _peeled(known, edges, scratch) if several else _doubled(known, edges, scratch)
+    counted = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("on").alias("on"))
+    state = scratch.save(known.join(counted.hint("shuffle_hash"), keys, "left").withColumn("fork", F.coalesce(F.col("n") > 1, F.lit(False))).select(*keys, "fork", F.when(F.col("n") == 1, F.col("on")).alias("on")))
+    forks = scratch.save(state.where("fork").select(*keys))
+    anchored = _anchored(state.select(*keys, "on"), scratch)
+    scratch.drop(state)
+    if forks.isEmpty():
+        settled = None
+    else:
+        # Edges of forks, each to the anchor of the call waited for; one in or behind a cycle has none, and never gets met.
+        ahead = anchored.select("conv_id", F.col("call_id").alias("on"), "anchor", (F.col("far") + 1).alias("far"))
+        condensed = edges.join(forks, keys, "left_semi").join(ahead, ["conv_id", "on"]).groupBy(*keys, F.coalesce("anchor", F.concat(F.lit("no anchor "), "call_id")).alias("anchor")).agg(F.max("far").alias("far"))
+        settled = _settled(forks, scratch.save(condensed), anchored, scratch)
     scratch.drop(edges)
-    return out
+    if settled is None:
+        return anchored.select(*keys, F.when(F.col("anchor").isNotNull(), F.col("far")).alias("level"))
+    of = settled.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("start"))
+    return anchored.join(of.hint("shuffle_hash"), ["conv_id", "anchor"], "left").select(*keys, (F.col("start") + F.col("far")).alias("level"))
+
 
+def _anchored(state: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, call_id, anchor, far): the nearest call that ``on`` leads to and that has none itself, and how far it is.
 
-def _doubled(known: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Levels where a call waits for one other at most: each round looks twice as far back."""
+    Each round looks twice as far; calls in a cycle, and those that wait for them, have no anchor.
+    """
     keys = ["conv_id", "call_id"]
-    state = scratch.save(known.join(edges, keys, "left").withColumn("level", F.when(F.col("on").isNull(), 0).otherwise(1).cast("long")))
-    waiting = state.where(F.col("on").isNotNull()).count()
+    state = scratch.save(state.select(*keys, F.coalesce("on", "call_id").alias("anchor"), F.when(F.col("on").isNull(), 0).otherwise(1).cast("long").alias("far"), F.col("on").isNotNull().alias("open")))
+    waiting = state.where("open").count()
     reach, longest = 1, waiting
     while waiting and reach <= longest:  # no chain is longer than there are waiting calls; what waits then is in or behind a cycle
-        far = state.select("conv_id", F.col("call_id").alias("on"), F.col("on").alias("next"), F.col("level").alias("more"))
-        jumped = state.where(F.col("on").isNotNull()).join(far, ["conv_id", "on"]).select(*keys, F.col("next").alias("on"), (F.col("level") + F.col("more")).alias("level"))
-        new = scratch.save(state.where(F.col("on").isNull()).select(*keys, "on", "level").unionByName(jumped))
+        ahead = state.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("far").alias("more"), F.col("open").alias("on"))
+        jumped = state.where("open").join(ahead.hint("shuffle_hash"), ["conv_id", "anchor"]).select(*keys, F.col("next").alias("anchor"), (F.col("far") + F.col("more")).alias("far"), F.col("on").alias("open"))
+        new = scratch.save(state.where("NOT open").unionByName(jumped))
         scratch.drop(state)
         state, reach = new, reach * 2
-        waiting = state.where(F.col("on").isNotNull()).count()
-    return state.select(*keys, F.when(F.col("on").isNull(), F.col("level")).alias("level"))
+        waiting = state.where("open").count()
+    return state.select(*keys, F.when(~F.col("open"), F.col("anchor")).alias("anchor"), "far")
+
 
+def _settled(forks: DataFrame, live: DataFrame, anchored: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, call_id, level) of forks and of calls that wait for nothing; forks in or behind a cycle are left out.
 
-def _peeled(known: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Levels of any graph, one round for each level."""
+    live: (conv_id, call_id, anchor, far), what each fork waits for.  A fork is settled in the round after the last of these.
+    """
     keys = ["conv_id", "call_id"]
-    parts = [scratch.save(known.join(edges, keys, "left_anti").withColumn("level", F.lit(0).cast("long")))]
+    roots = anchored.where("far = 0 AND anchor = call_id").select(*keys).join(forks, keys, "left_anti")
+    parts = [scratch.save(roots.withColumn("level", F.lit(0).cast("long")))]
+    best = None  # the furthest that forks with live edges are known to be
     while True:
-        # An edge is met once the call waited for has a level; what has no edge left comes next.
-        left = scratch.save(edges.join(parts[-1].select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti").select(*keys, "on"))
-        ready = scratch.save(edges.select(*keys).distinct().join(left, keys, "left_anti").withColumn("level", F.lit(len(parts)).cast("long")))
-        if len(parts) > 1:
-            scratch.drop(edges)
-        edges = left
+        on = ["conv_id", "anchor"]
+        last = parts[-1].select("conv_id", F.col("call_id").alias("anchor"), "level")
+        met = live.join(last.hint("shuffle_hash"), on).select(*keys, (F.col("far") + F.col("level")).alias("level"))
+        met = scratch.save((met if best is None else met.unionByName(best)).groupBy(*keys).agg(F.max("level").alias("level")))
+        left = scratch.save(live.join(last.hint("shuffle_hash"), on, "left_anti").select(live.columns))
+        blocked = left.select(*keys).distinct()
+        ready = scratch.save(met.join(blocked.hint("shuffle_hash"), keys, "left_anti"))
+        held = scratch.save(met.join(blocked.hint("shuffle_hash"), keys, "left_semi"))
+        scratch.drop(live, met, *([best] if best is not None else []))
+        live, best = left, held
         if ready.isEmpty():
-            scratch.drop(ready, edges)
             break
         parts.append(ready)
     out = parts[0]
@@ -124,8 +164,8 @@ def link(calls: DataFrame, results: DataFrame, waits: DataFrame, schemas: dict[s
     some = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     asked = scratch.save(first_of(calls.where(some).select(*keys, "seq", "name", "arguments"), keys))
     given = first_of(results.where(some).select(*keys, F.col("seq").alias("result_seq"), "content"), keys)
-    placed = asked.join(levels(asked, waits.where(some & F.col("on").isNotNull()), scratch), keys, "left")
-    both = placed.join(given, keys, "full")
+    placed = asked.join(levels(asked, waits.where(some & F.col("on").isNotNull()), scratch).hint("shuffle_hash"), keys, "left")
+    both = placed.join(given.hint("shuffle_hash"), keys, "full")
     status = F.when(F.col("seq").isNull(), "orphan").when(F.col("result_seq").isNull(), "open").otherwise("linked")
     wrong = F.when(F.col("seq").isNull(), F.lit("no call")).otherwise(errors(F.col("name"), F.col("arguments"), schemas))
     arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null"))

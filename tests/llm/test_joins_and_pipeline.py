@@ -68,6 +68,61 @@ def test_levels_of_chains_graphs_and_cycles(spark):
     assert [got[1, str(i)]["level"] for i in range(6)] == [0, 1, 2, 1, 3, 0] and got[2, "c"]["level"] is None
 
 
+def test_a_fork_costs_no_rounds_for_long_chains(spark, monkeypatch):
+    """A forked conversation beside a chain of 10,000 calls: rounds are logarithmic in the chain."""
+    n, saves = 10_000, []
+    calls = [(1, str(i), i, "now", "{}") for i in range(n)] + [(2, c, k, "now", "{}") for k, c in enumerate("abcdefgh")]
+    waits = [(1, str(i), str(i - 1)) for i in range(1, n)] + [(2, "b", "a"), (2, "c", "b"), (2, "d", "c"), (2, "d", "a"), (2, "e", "d"), (2, "f", "e"), (2, "f", "b"), (2, "g", "f"), (2, "g", "h"), (2, "h", "g")]
+    frames = spark.createDataFrame(calls, CALLS), spark.createDataFrame(waits, WAITS)
+    real = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df: saves.append(1) or real(self, df))
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in chat_tools.levels(*frames, Scratch(spark)).collect()}
+    assert all(got[1, str(i)] == i for i in range(n)) and [got[2, c] for c in "abcdefgh"] == [0, 1, 2, 3, 4, 5, None, None]
+    assert len(saves) < 50
+
+
+def test_levels_of_random_graphs(spark):
+    """Against a plain search for the longest path; some graphs have cycles."""
+    r = random.Random(9)
+    calls, waits, want = [], [], {}
+    for conv in range(30):
+        n, on = r.randint(1, 14), defaultdict(set)
+        for i in range(n):
+            calls.append((conv, str(i), i, "now", "{}"))
+            for _ in range(r.choice([0, 1, 1, 1, 2, 3])):
+                j = r.randrange(n) if conv % 5 == 0 else r.randrange(i) if i else 99
+                if j != i:
+                    on[i].add(j)
+                    waits.append((conv, str(i), str(j)))
+
+        def level(i, path=(), on=on, n=n):
+            if i in path:
+                return None
+            below = [level(j, (*path, i)) for j in on[i] if j < n]
+            return None if None in below else 1 + max(below) if below else 0
+
+        want |= {(conv, str(i)): level(i) for i in range(n)}
+    got = {(x["conv_id"], x["call_id"]): x["level"] for x in chat_tools.levels(spark.createDataFrame(calls, CALLS), spark.createDataFrame(waits, WAITS), Scratch(spark)).collect()}
+    assert got == want
+
+
+def test_nested_schemas_and_names_with_dots(spark):
+    schemas = {"put": {"a.b": ("integer", True), "at": ({"x": ("number", True), "in": ({"y": ("string", False)}, False)}, True), "tags": ("array", False)}}
+    cases = ['{"a.b":1,"at":{"x":2}}', '{"a.b":"1","at":{"x":2,"in":{"y":3}}}', '{"at":{"z":1},"tags":{}}', '{"a.b":1,"at":[1]}', '{"a.b":1,"at":{"x":1.5,"in":{"y":"ok"}},"tags":[1]}', '{"a":{"b":1},"at":{"x":1}}']
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, arguments string")
+    got = {r["i"]: r["e"] for r in df.select("i", chat_tools.errors(F.lit("put"), F.col("arguments"), schemas).alias("e")).collect()}
+    assert got == {0: "", 1: "a.b is not integer; at.in.y is not string", 2: "missing a.b; missing at.x; unknown at.z; tags is not array", 3: "at is not object", 4: "", 5: "missing a.b; unknown a"}
+
+
+def test_chat_tools_joins_by_hash_and_takes_long_texts(spark):
+    long = "x" * 2_000_000
+    frames = spark.createDataFrame([(1, "a", 1, "now", "{}")] * 3, CALLS), spark.createDataFrame([(1, "a", 2, long)] * 2, RESULTS), spark.createDataFrame([], WAITS)
+    out = chat_tools.link(*frames, SCHEMAS)
+    got = out.collect()
+    assert len(got) == 1 and got[0]["status"] == "linked" and len(got[0]["message"]) > 2_000_000
+    assert "ShuffledHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chat_tools_runs_no_python(spark):
     plan = chat_tools.op3_chat_tools(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
