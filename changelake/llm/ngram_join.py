@@ -64,8 +64,8 @@ SPREAD = 16
 #: Shingles pooled before counting, how often one must come there, and how many of the most frequent are moved last.
 POOL, OFTEN, HOT = 1 << 22, 2, 1 << 17
 GROUP_KEYS, CHUNK_KEYS = 3_000_000, 400_000
-#: Bits of the filter of keys whose texts are read again: a power of two by their number, up to 8 MB.
-BLOOM = (1 << 16, 1 << 26)
+#: Bits of the filter of keys whose texts are read again: a power of two by their number, up to 16 MB.
+BLOOM = (1 << 16, 1 << 27)
 _U = np.uint64
 
 
@@ -248,6 +248,18 @@ def _clusters_of(table: pa.Table) -> pa.Table:
 # --- clusters in tasks ---------------------------------------------------------------------
 
 
+def _without_parts(clusters: DataFrame, scratch: Scratch) -> DataFrame:
+    """``clusters`` without those that lie whole within another: all of their members have that one as their largest.
+
+    The other one stays, as these members are its own too.
+    """
+    sizes = clusters.groupBy("centre").agg(F.count(F.lit(1)).alias("size"))
+    sized = clusters.join(sizes, "centre").select("member", "centre", "size")
+    largest = sized.groupBy("member").agg(F.max(F.struct("size", "centre"))["centre"].alias("largest"))
+    whole = clusters.join(largest, "member").groupBy("centre").agg(F.min("largest").alias("a"), F.max("largest").alias("b")).where("a <> b OR a = centre").select("centre")
+    return scratch.save(clusters.join(whole, "centre", "left_semi").select(*clusters.columns))
+
+
 def _large(clusters: DataFrame, scratch: Scratch) -> DataFrame:
     """(centre, members) of clusters with more than SPLIT members: few rows, written so that joins know their size."""
     return scratch.save(clusters.groupBy("centre").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > SPLIT))
@@ -275,7 +287,7 @@ def _meeting(clusters: DataFrame, large: DataFrame, opened: DataFrame, scratch:
     mine, to = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     us = opened.join(sizes, "centre").select("centre", mine("us").alias("i"), to("vs").alias("j"), "member", F.lit(True).alias("open"))
     vs = clusters.join(sizes, "centre").select("centre", to("us").alias("i"), mine("vs").alias("j"), "member", F.lit(False).alias("open"))
-    return us.unionByName(vs)
+    return scratch.save(us.unionByName(vs))  # mostly few narrow rows: written, so that joins know their size
 
 
 def _groups(batches, keys: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -544,7 +556,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     groups = max(8, -(-int(total) // GROUP_KEYS))
 
     packed = source.select("text").mapInArrow(_packed_keys(groups, hot, rank, hot[seen >= SALT]), "p long, direct long, digests binary, counts binary, keys binary")
-    clusters = scratch.save(packed.groupBy("p").applyInArrow(_clusters_of, "centre binary, member binary").distinct())
+    met = scratch.save(packed.groupBy("p").applyInArrow(_clusters_of, "centre binary, member binary").distinct())
+    clusters = _without_parts(met, scratch)
+    scratch.drop(met)
 
     large, about = _large(clusters, scratch), classes.select(F.col("d").alias("member"), "n", "bits")
     signed = _dealt(clusters, large).join(about, "member").select("centre", "block", "member", "n", "bits", "parted")
@@ -559,7 +573,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     scratch.drop(clusters, first, large)
 
     needed = scratch.save(kept.select(F.col("member").alias("d")).distinct().join(classes.select("d", "rep"), "d"))
-    size = min(BLOOM[1], max(BLOOM[0], 1 << int(8 * needed.count()).bit_length()))
+    size = min(BLOOM[1], max(BLOOM[0], 1 << int(64 * needed.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
     bits = _bloom(needed.select(place("rep").alias("place")), size)
 
@@ -578,20 +592,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in out])), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], ["key", "d", "set"])
 
     found = source.select("key", place("key").alias("h"), "text").mapInArrow(wanted_sets, f"key {kind}, d binary, set binary")
-    sets = found.join(needed, ["d"]).where(F.col("key").eqNullSafe(F.col("rep"))).select(F.col("d").alias("member"), "set").dropDuplicates(["member"])
+    # The sets as read: some that nobody asked for pass the filter, and a repeated row gives its set again; both don't matter.
+    sets = scratch.save(found.select(F.col("d").alias("member"), "key", "set"))
+    asked = needed.select(F.col("d").alias("member"), F.col("rep").alias("key"))
     large = _large(kept, scratch)
-    if split := not large.isEmpty():
-        sets = scratch.save(sets)
-    compared = _dealt(kept, large, PIVOTS).join(sets, "member").select("centre", "block", "member", "set", "parted", "own", "pivot").repartition("centre", "block").sortWithinPartitions("centre", "block")
+    kept_of = kept.join(asked, "member")
+    on = lambda rows: rows.join(sets.withColumnRenamed("key", "of"), "member").where(F.col("key").eqNullSafe(F.col("of")))
+    compared = on(_dealt(kept_of, large, PIVOTS)).select("centre", "block", "member", "set", "parted", "own", "pivot").repartition("centre", "block").sortWithinPartitions("centre", "block")
     links = scratch.save(compared.mapInArrow(_links, ", ".join(f"{c} binary" for c in _LINKS)))
     edges = links.where(F.col("a").isNotNull()).select("a", "b")
-    if split:
+    if not large.isEmpty():
         told_labels = links.where(F.col("member").isNotNull())
         best = told_labels.where(F.col("label").isNotNull()).groupBy("centre", "label").count().groupBy("centre").agg(F.max_by("label", F.struct("count", "label")).alias("best"))
         opened = told_labels.join(best, "centre", "left").where(F.coalesce(F.col("label") != F.col("best"), F.lit(True))).select("centre", "member")
         meeting = _meeting(kept, large, opened, scratch)
         if meeting is not None:
-            compared = meeting.join(sets, "member").select("centre", "i", "j", "member", "set").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+            compared = on(scratch.save(meeting.join(asked, "member"))).select("centre", "i", "j", "member", "set").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
             edges = edges.unionByName(compared.mapInArrow(_links_open, "a binary, b binary"))
     labels = components(edges, scratch)
 
@@ -599,7 +615,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     named = named.join(least, "label").select("d", "least")
     names = scratch.save(classes.select("d", "rep").join(named, "d", "left").select("d", F.coalesce("least", "rep").alias("component_id")))
-    scratch.drop(needed, kept, links, *([sets] if split else []))
+    scratch.drop(needed, kept, links, sets)
     out = rows.join(names, "d", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
     return out
 
