@@ -396,7 +396,7 @@ class Scores:
     MOST, RUN = 400_000, 64
 
     def __init__(self, fitted):
-        self.fitted, self.most = fitted, surplus(fitted[1])
+        self.fitted, self.also, self.most = fitted, fitted, surplus(fitted[1])
         own = functools.lru_cache(100_000)(lambda own: _sum(_local_names(own), fitted[0]))
         self.local = lambda t: own(_own(t))
         self.around = functools.lru_cache(100_000)(lambda x, code: _sum(_around(x, code), fitted[0]))
@@ -479,8 +479,12 @@ _scores: list[Scores] = []
 
 
 def _scores_of(fitted) -> Scores:
-    if not _scores or _scores[0].fitted is not fitted:
-        _scores[:] = [Scores(fitted)]
+    """The tables of a model; a worker that gets an equal one with its next task goes on with them."""
+    if not _scores or (_scores[0].fitted is not fitted and _scores[0].also is not fitted):
+        if _scores and _scores[0].fitted == fitted:
+            _scores[0].also = fitted
+        else:
+            _scores[:] = [Scores(fitted)]
     return _scores[0]
 
 
