@@ -137,7 +137,7 @@ def contexts(toks: list[str], glued: list[bool]) -> list[tuple]:
     return out
 
 
-@functools.lru_cache(100_000)
+@functools.lru_cache(20_000)
 def word_of(t: str) -> str | None:
     """A token's last part of letters if ``WORDS`` has it, empty if it is another word; None of other tokens."""
     if len(t) < 2 or len(t) > 24:
@@ -158,7 +158,7 @@ def _next_word(near_words: list[str | None], i: int, step: int) -> str:
     return ""
 
 
-@functools.lru_cache(100_000)
+@functools.lru_cache(20_000)
 def shape_of(t: str) -> str:
     return shape(t)
 
@@ -393,13 +393,13 @@ class _Known(dict):
 class Scores:
     """Scores of tokens and of contexts, each looked up once; and tables of them for whole texts."""
 
-    MOST, RUN = 400_000, 64
+    MOST, RUN = 120_000, 64
 
     def __init__(self, fitted):
         self.fitted, self.also, self.most = fitted, fitted, surplus(fitted[1])
-        own = functools.lru_cache(100_000)(lambda own: _sum(_local_names(own), fitted[0]))
+        own = functools.lru_cache(20_000)(lambda own: _sum(_local_names(own), fitted[0]))
         self.local = lambda t: own(_own(t))
-        self.around = functools.lru_cache(100_000)(lambda x, code: _sum(_around(x, code), fitted[0]))
+        self.around = functools.lru_cache(20_000)(lambda x, code: _sum(_around(x, code), fitted[0]))
         self.shapes = sorted({"lower", "upper", "title", "mixed", "punct", "sym", "hex", "digits", "number", "dotted", "joined", "uuid", "mixedcase+digits", "letters+digits", *"=:\"'@/,;()<>{}[]"})
         self.words = ["", *sorted(WORDS)]
         place, word = {x: i for i, x in enumerate(self.shapes)}, {x: i for i, x in enumerate(self.words)}
