@@ -305,7 +305,7 @@ def model(steps: int = 150, rate: float = 0.08, ridge: float = 2e-3) -> tuple[di
     names: dict[str, int] = {}
     n, longest = len(data), max(len(x[0]) for x in data)
     each = [[names.setdefault(f, len(names)) for f in features(t, x, c)] for toks, glued, _, c in data for t, x in zip(toks, contexts(toks, glued), strict=True)]
-    index, pad = np.array(each), len(names)
+    index, pad = np.array(each, np.int32), len(names)
     wide = index.shape[1]
     tags, mask, joined = np.zeros((n, longest), int), np.zeros((n, longest), bool), np.zeros((n, longest), bool)
     for k, (t, g, y, _) in enumerate(data):
@@ -319,7 +319,7 @@ def model(steps: int = 150, rate: float = 0.08, ridge: float = 2e-3) -> tuple[di
     lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
     for step in range(1, steps + 1):
         e = np.zeros((n, longest, 3))
-        e[mask] = w[index].sum(1)
+        e[mask] = sum(w[index[:, k]] for k in range(wide))
         e[~joined, 2] -= 50  # white space ends a secret
         a, b = np.zeros((n, longest, 3)), np.zeros((n, longest, 3))
         a[:, 0] = e[:, 0]
