@@ -42,8 +42,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = ngram_join.join(named.select(name, "text"), name).where("n_shingles > 0")
     # A row for each name that goes, or that several rows have: those rows are counted here, without their texts.
     marks = scratch.save(groups.groupBy(name).agg(F.min("component_id").alias("stays"), F.count(F.lit(1)).alias("rows")).select(name, (F.col(name) == F.col("stays")).alias("stays"), "rows").where("NOT stays OR rows > 1"))
-    # Most rows are ruled out by a table of places that marked names hash to (at most 16 MB), and are not shuffled.
-    slots = min(1 << 24, max(1 << 12, 1 << int(16 * marks.count()).bit_length()))
+    # Most rows are ruled out by a table of places that marked names hash to (at most 4 MB), and are not shuffled.
+    slots = min(1 << 22, max(1 << 12, 1 << int(4 * marks.count()).bit_length()))
     place = F.pmod(F.xxhash64(name), F.lit(slots)).cast("int")
     table = np.unpackbits(ngram_join._bloom(marks.select(place.alias("place")), slots).view(np.uint8), bitorder="little").tobytes()
     marked = F.substring(F.lit(table), place + 1, F.lit(1)) == F.lit(b"\x01")
