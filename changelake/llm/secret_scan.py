@@ -14,7 +14,9 @@ transitions could ever make up for is outside on the best path; there the chain
 falls into independent parts, and the decoding is the same as over the whole line.
 Lines without keywords, quotes and URLs are scored as arrays first: where no span
 could gain over all tokens outside, that is the best path, and nothing is left to
-decode; all other lines are decoded token by token.
+decode; all other lines are decoded token by token.  The arrays hold the characters
+of many texts, and what tokens are like is counted there for all of them together, so
+words that were never met cost no more than known ones, and no table of words grows.
 No span reaches over a line's end, so other lines matter only by the file feature.
 
 The base patterns (assigned values, access keys, long hex) always stay; spans of
@@ -375,104 +377,294 @@ def _sum(names: list[str], weights: dict[str, tuple[float, float, float]]) -> tu
     return tuple(map(sum, zip(*found, strict=True))) if found else (0.0, 0.0, 0.0)
 
 
-class _Known(dict):
-    """Numbers of tokens (or of white space), given out as they come; ``made`` says what a new one is, in ``rows``."""
+_LOWER, _UPPER, _DIGIT, _DOT, _JOIN, _OTHER = 3, 12, 16, 32, 64, 128
+_BARE = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-."
+#: What a keyword holds in lower case; "key" only behind one of three words.
+_PARTS, _KEY = (b"pass", b"pwd", b"secret", b"token", b"bearer", b"auth", b"credential", b"signature", b"key"), re.compile(rb"(?:api|private|access).?key")
 
-    def __init__(self, made, width: int):
-        self.made, self.rows = made, np.zeros((1024, width))
 
-    def __missing__(self, t):
-        n = len(self)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = self.made(t)
-        self[t] = n
-        return n
+def _by_byte(value, dtype) -> np.ndarray:
+    """A table of ``value`` over ASCII, 0 beyond."""
+    return np.array([value(chr(k)) for k in range(128)] + [0] * 128, dtype)
+
+
+def _class(c: str) -> int:
+    return 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 0
+
+
+def _kind(c: str) -> int:
+    """Bits of a character of a token: a to f, other lower case, A to F, other upper case, digit, and punctuation."""
+    if c.isalpha():
+        return (1 if c in "abcdef" else 2) if c.islower() else 4 if c in "ABCDEF" else 8
+    return _DIGIT if c.isdigit() else _DOT if c == "." else _JOIN if c in "/-_" else _OTHER if c in "+~=" else 0
+
+
+def _shape_of_kinds(kinds: int) -> str:
+    """The shape of a token of several characters by the bits it has; "mixed" may be "title", and "joined" a UUID."""
+    lower, upper = kinds & _LOWER, kinds & _UPPER
+    if not kinds & _DIGIT:
+        return "mixed" if lower and upper else "lower" if lower else "upper" if upper else "punct"
+    if not lower and not upper:
+        return "digits" if kinds == _DIGIT else "number"
+    if kinds in (_DIGIT | 1, _DIGIT | 4):
+        return "hex"
+    return "dotted" if kinds & _DOT else "joined" if kinds & _JOIN else "mixedcase+digits" if lower and upper else "letters+digits"
+
+
+def _pieces(text: str, size: int):
+    """Whole lines of about ``size`` characters together, with the number of their first line."""
+    at = line = 0
+    while len(text) - at > size:
+        end = text.rfind("\n", at, at + size)
+        end = end if end >= 0 else text.find("\n", at + size)
+        if end < 0:
+            break
+        yield line, text[at:end]
+        line, at = line + text.count("\n", at, end) + 1, end + 1
+    yield line, text[at:]
 
 
 class Scores:
-    """Scores of tokens and of contexts, each looked up once; and tables of them for whole texts."""
+    """Scores of tokens and of contexts, each looked up once; and tables by which whole texts are scored as arrays of characters."""
 
-    MOST, RUN = 120_000, 64
+    PIECE, RUN = 1 << 17, 64
+    CLASS, KINDS_OF, ALNUM = _by_byte(_class, np.uint8), _by_byte(_kind, np.uint8), _by_byte(lambda c: " abcdefghijklmnopqrstuvwxyz0123456789".find(c.lower()) * c.isalnum(), np.int64)
+    BITS, MORE_BITS = _by_byte(lambda c: 1 << _BARE.index(c) if c in _BARE else 0, np.uint64), _by_byte(lambda c: 1 << "+/_~=".index(c) if c in "+/_~=" else 0, np.uint8)
+    SHAPES = sorted({"lower", "upper", "title", "mixed", "punct", "sym", "hex", "digits", "number", "dotted", "joined", "uuid", "mixedcase+digits", "letters+digits", *"=:\"'@/,;()<>{}[]"})
+    #: Whether the class changes in a way that ``_own`` counts, by both classes.
+    SWITCH = np.array([(a == 3) != (b == 3) or {a, b} == {1, 2} for a in range(4) for b in range(4)])
 
     def __init__(self, fitted):
         self.fitted, self.also, self.most = fitted, fitted, surplus(fitted[1])
         own = functools.lru_cache(20_000)(lambda own: _sum(_local_names(own), fitted[0]))
         self.local = lambda t: own(_own(t))
         self.around = functools.lru_cache(20_000)(lambda x, code: _sum(_around(x, code), fitted[0]))
-        self.shapes = sorted({"lower", "upper", "title", "mixed", "punct", "sym", "hex", "digits", "number", "dotted", "joined", "uuid", "mixedcase+digits", "letters+digits", *"=:\"'@/,;()<>{}[]"})
-        self.words = ["", *sorted(WORDS)]
-        place, word = {x: i for i, x in enumerate(self.shapes)}, {x: i for i, x in enumerate(self.words)}
-        total = lambda names: np.array(_sum(names, fitted[0]))
-        n = len(self.shapes)
+        shapes, self.words = self.SHAPES, ["", *sorted(WORDS)]
+        self.place, n = {x: i for i, x in enumerate(shapes)}, len(shapes)
+
+        def table(names, *axes):
+            """How far begin and inside lie above outside, by the flat number along ``axes``."""
+            each = [()]
+            for axis in axes:
+                each = [(*x, y) for x in each for y in axis]
+            found = np.array([_sum(names(*x), fitted[0]) for x in each])
+            return found[:, 1] - found[:, 0], found[:, 2] - found[:, 0]
+
         # Neighbours go by 0 (none), 1 + shape behind white space, 1 + n + shape without.
-        around = ["", *(f" {x}" for x in self.shapes), *self.shapes]
-        self.before = np.array([[total([f"-1={a or '^'}", f"-1={a or '^'}|s={s}", f"url=0|-1={a or '^'}"]) for a in around] for s in self.shapes])
-        self.after = np.array([[total([f"+1={a or '$'}", f"+1={a or '$'}|s={s}"]) for a in around] for s in self.shapes])
-        self.second = np.array([total([f"-2={a}"]) for a in ["^", *self.shapes]])
-        self.rest = np.array([[[total(["bias", f"code={c}", "key=0", f"key=0|s={s}", f"code={c}|s={s}", f"q=|s={s}", "q=|key=0", f"url=0|s={s}", f"run={k}", f"near=0|s={s}"]) for k in (1, 2, 3)] for s in self.shapes] for c in range(4)])
-        self.left = np.array([[total([f"w-={w}", f"w-={w}|s={s}"]) for w in self.words] for s in self.shapes])
-        self.right = np.array([total([f"w+={w}"]) for w in self.words])
-        self.place, self.word, self.n = place, word, n
-        self.reset()
-
-    def reset(self):
-        def made(t):
-            w = word_of(t)
-            loud = t in ("'", '"') or t.startswith("//") or (len(t) > 2 and KEYWORD.search(t) is not None)
-            return (self.place[shape_of(t)], -1 if w is None else self.word[w], loud, *self.local(t))
-
-        self.known, self.space = _Known(made, 6), _Known(lambda s: (s == "", s.count("\n")), 2)
-
-    def lines(self, text: str, code: int) -> list[int]:
-        """The numbers of lines that hold a token which isn't certainly outside, or must be looked at token by token."""
-        pairs = _SPACED.findall(text)
-        if not pairs:
-            return []
-        if len(self.known) > self.MOST or len(self.space) > self.MOST:
-            self.reset()
-        gaps, toks = zip(*pairs, strict=True)
-        ids, spaces = np.fromiter(map(self.known.__getitem__, toks), np.int64, len(toks)), np.fromiter(map(self.space.__getitem__, gaps), np.int64, len(toks))
-        line = np.cumsum(self.space.rows[spaces, 1]).astype(np.int64)
-        glued = self.space.rows[spaces, 0] > 0
-        first = np.concatenate([[True], line[1:] != line[:-1]])
-        loud = self.known.rows[ids, 2] > 0
-        # Lines with a loud token are looked at anyway; the others are scored here.
-        at = np.flatnonzero(first)
-        noisy = np.logical_or.reduceat(loud, at)
-        quiet = ~np.repeat(noisy, np.diff(np.append(at, len(ids))))
-        out = set(line[at[noisy]].tolist())
-        if quiet.any():
-            ids, glued, first, line = ids[quiet], glued[quiet], first[quiet], line[quiet]
-            glued = glued & ~first
-            s, w, m = self.known.rows[ids, 0].astype(np.int64), self.known.rows[ids, 1].astype(np.int64), len(ids)
-            shift = lambda x, k, fill: np.concatenate([np.full(min(k, m), fill, x.dtype), x[: max(0, m - k)]])
-            pull = lambda x, k, fill: np.concatenate([x[min(k, m) :], np.full(min(k, m), fill, x.dtype)])
-            before = np.where(first, 0, 1 + shift(s, 1, 0) + np.where(glued, self.n, 0))
-            last = pull(first, 1, True)
-            after = np.where(last, 0, 1 + pull(s, 1, 0) + np.where(pull(glued, 1, False), self.n, 0))
-            second = np.where(first | shift(first, 1, True), 0, 1 + shift(s, 2, 0))
-            run = np.where(glued, np.where(shift(glued, 1, False), 3, 2), 1)
-            score = self.known.rows[ids, 3:] + self.before[s, before] + self.after[s, after] + self.second[second] + self.rest[code, s, run - 1]
-            for table, move, edge in ((lambda v: self.left[s, v], shift, first), (lambda v: self.right[v], pull, last)):
-                word, open_, ends = np.zeros(m, np.int64), np.ones(m, bool), edge
-                for k in (1, 2, 3):  # the next word in this direction, not over the line's end
-                    open_ = open_ & ~ends
-                    there = move(w, k, -1)
-                    word = np.where(open_ & (there >= 0), there, word)
-                    open_ = open_ & (there < 0)
-                    ends = move(edge, k, True)
-                score = score + table(word)
-            # The most that a span ending at each token gains over all tokens outside; spans lie within glued runs.
-            trans = np.array(self.fitted[1])
-            begin, more = score[:, 1] - score[:, 0] + np.where(first, 0, trans[0, 1] - trans[0, 0]), score[:, 2] - score[:, 0] + max(trans[1, 2], trans[2, 2]) - trans[0, 0]
-            gain, step = begin.copy(), np.arange(m) - np.maximum.accumulate(np.where(glued, 0, np.arange(m)))
-            for k in range(1, min(self.RUN, int(step.max())) + 1):
-                here = np.flatnonzero(step == k)
+        around = ["", *(f" {x}" for x in shapes), *shapes]
+        self.before = table(lambda s, a: [f"-1={a or '^'}", f"-1={a or '^'}|s={s}", f"url=0|-1={a or '^'}"], shapes, around)
+        self.after = table(lambda s, a: [f"+1={a or '$'}", f"+1={a or '$'}|s={s}"], shapes, around)
+        self.second = table(lambda a: [f"-2={a}"], ["^", *shapes])
+        self.rest = table(lambda c, s, k: [f"s={s}", "bias", f"code={c}", "key=0", f"key=0|s={s}", f"code={c}|s={s}", f"q=|s={s}", "q=|key=0", f"url=0|s={s}", f"run={k}", f"near=0|s={s}"], range(4), shapes, (1, 2, 3))
+        self.left = table(lambda s, w: [f"w-={w}", f"w-={w}|s={s}"], shapes, self.words)
+        self.right = table(lambda w: [f"w+={w}"], self.words)
+        self.spread = table(lambda n, d: [f"n={n}", f"d={d}"], range(11), range(30))
+        self.turns = table(lambda w, k: [f"w={w}", f"num={k}"], range(10), range(6))
+        starts = sorted((x[2:] for x in fitted[0] if x.startswith("p=") and len(x) == 5), key=lambda p: p.encode())
+        self.starts = np.array([int.from_bytes(p.encode(), "big") for p in starts] + [1 << 24])
+        self.start = table(lambda p: [f"p={p}"], [*starts, None])
+        self.no_start = table(lambda: ["p="])
+        self.shape_by_kinds = np.array([self.place[_shape_of_kinds(k)] for k in range(256)])
+        codes = {w: functools.reduce(lambda k, c: 37 * k + int(self.ALNUM[ord(c)]), w, 0) for w in WORDS}
+        self.longest = max(map(len, WORDS))
+        assert self.longest <= 12, "codes of words must fit 63 bits"
+        ordered = sorted(WORDS, key=codes.get)
+        self.codes, self.word_at, self.lengths = np.array([codes[w] for w in ordered]), np.array([self.words.index(w) for w in ordered]), np.array([len(w) for w in ordered])
+        self.edges = np.zeros((37, 37, self.longest + 1), bool)
+        for w in WORDS:
+            self.edges[self.ALNUM[ord(w[0])], self.ALNUM[ord(w[-1])], len(w)] = True
+        # Characters go by one byte: ASCII by itself, others by what they are like (255: not met yet).
+        self.byte_of = np.full(0x110000, 255, np.uint8)
+        self.byte_of[:128] = range(128)
+        self.space, self.word_char, self.single, self.single_digit = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, np.int64), np.zeros(256, bool)
+        self.kinds_met: dict[tuple, int] = {}
+        for k in range(128):
+            self._describe(k, chr(k))
+
+    def _describe(self, k: int, c: str) -> None:
+        self.space[k], self.word_char[k] = re.match(r"\s", c) is not None, re.match(r"[A-Za-z0-9+/_.~-]", c) is not None
+        self.single[k], self.single_digit[k] = self.place[shape(c)], c.isdigit()
+
+    def bytes_of(self, text: str) -> np.ndarray:
+        """A byte for each character."""
+        if text.isascii():
+            return np.frombuffer(text.encode(), np.uint8)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = self.byte_of[points]
+        new = np.unique(points[out == 255])
+        for p in new.tolist():
+            c = chr(p)
+            like = (c.isspace(), shape(c), c.isdigit())
+            if like not in self.kinds_met:
+                self.kinds_met[like] = 128 + len(self.kinds_met)
+                self._describe(self.kinds_met[like], c)
+            self.byte_of[p] = self.kinds_met[like]
+        return self.byte_of[points] if len(new) else out
+
+    def lines_of(self, texts: list[str], codes: list[int]) -> list[list[int]]:
+        """Of each text the numbers of lines that hold a token which isn't certainly outside, or must be looked at token by token."""
+        out, part, size = [[] for _ in texts], [], 0
+
+        def finish():
+            counts = np.array([x.count("\n") + 1 for _, _, x in part])
+            at = np.cumsum(counts) - counts
+            found = self._lines("\n".join(x for _, _, x in part), np.repeat([codes[k] for k, _, _ in part], counts))
+            for line, p in zip(found.tolist(), (np.searchsorted(at, found, "right") - 1).tolist(), strict=True):
+                k, first, _ = part[p]
+                out[k].append(line - int(at[p]) + first)
+
+        for k, text in enumerate(texts):
+            for first, piece in _pieces(text, self.PIECE) if text else ():
+                if part and size + len(piece) > self.PIECE:
+                    finish()
+                    part, size = [], 0
+                part.append((k, first, piece))
+                size += len(piece)
+        if part:
+            finish()
+        return out
+
+    def _loud(self, c: np.ndarray) -> np.ndarray:
+        """Places with quotes, and one in each line that may hold a keyword."""
+        low, at = c.tobytes().lower(), []
+        for x in _PARTS:
+            k = low.find(x)
+            while k >= 0:
+                if x != b"key" or _KEY.search(low, max(0, k - 8), k + 3):
+                    at.append(k)
+                    k = low.find(b"\n", k)
+                    k = low.find(x, k) if k >= 0 else -1
+                else:
+                    k = low.find(x, k + 1)
+        return np.concatenate([np.flatnonzero((c == 34) | (c == 39)), np.array(at, np.int64)])
+
+    def _tokens(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins and ends of the matches of ``TOKEN``, and which characters are white space."""
+        space, word = self.space[c], self.word_char[c]
+        start = ~space
+        start[1:] &= ~(word[1:] & word[:-1])
+        equal = np.flatnonzero(c == 61)
+        if len(equal):  # those that follow a word belong to it
+            head = np.flatnonzero(np.append(True, np.diff(equal) > 1))
+            head = np.repeat(equal[head], np.diff(np.append(head, len(equal))))
+            start[equal[(head > 0) & word[head - 1]]] = False
+        stop = ~space
+        stop[:-1] &= start[1:] | space[1:]
+        return np.flatnonzero(start), np.flatnonzero(stop) + 1, space
+
+    def _describe_tokens(self, c: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What ``_own`` and ``word_of`` say of each token: shape, flat numbers in ``spread`` and ``turns``, number of the word or -1."""
+        n, head = ends - begins, c[begins]
+        one = n == 1
+        # Between tokens is nothing but white space, which has no bits.
+        kinds, bits = np.bitwise_or.reduceat(self.KINDS_OF[c], begins), np.bitwise_or.reduceat(self.BITS[c], begins)
+        s, distinct = np.where(one, self.single[head], self.shape_by_kinds[kinds]), np.bitwise_count(bits).astype(np.int64)
+        turns = np.where(one & self.single_digit[head], 5, 0)
+        word_begin = begins.copy()
+        odd = np.flatnonzero(~one & (kinds > _LOWER))
+        if len(odd):
+            sizes = n[odd]
+            at = np.cumsum(sizes) - sizes
+            places = np.arange(int(sizes.sum()))
+            x = c[places + np.repeat(begins[odd] - at, sizes)]
+            kind, first = self.CLASS[x], np.zeros(len(x), bool)
+            first[at] = True
+            earlier = np.append(np.uint8(0), kind[:-1])
+            earlier[first] = 0
+            switch = self.SWITCH[4 * earlier + kind] & ~first
+            switches, digits = np.add.reduceat(switch.astype(np.int64), at), np.add.reduceat((kind == 3).astype(np.int64), at)
+            turns[odd] = 6 * np.minimum(9, 10 * switches // sizes) + 5 * digits // sizes
+            distinct[odd] += np.bitwise_count(np.bitwise_or.reduceat(self.MORE_BITS[x], at))
+            cased = (earlier == 1) | (earlier == 2)
+            title = ~np.logical_or.reduceat(((kind == 2) & cased) | ((kind == 1) & ~cased), at)
+            s[odd[title & (s[odd] == self.place["mixed"])]] = self.place["title"]
+            for k in odd[(sizes == 36) & (kinds[odd] & _DIGIT > 0)].tolist():
+                if UUID.fullmatch(c[begins[k] : ends[k]].tobytes().decode()):
+                    s[k] = self.place["uuid"]
+            # The last part of letters: capitals, or small letters and one capital before them that follows no other.
+            tail, final = at + sizes - 1, kind[at + sizes - 1]
+            for letters in (1, 2):
+                of = np.flatnonzero(final == letters)
+                other = np.maximum.accumulate(np.where((kind != letters) | first, places, -1))[tail[of]]
+                # ``other`` is the last place that differs, or the token's first place.
+                begin = other + (kind[other] != letters)
+                if letters == 1:
+                    capital = (begin > at[of]) & (kind[begin - 1] == 2) & ((begin - 1 == at[of]) | (kind[begin - 2] != 2))
+                    begin = begin - capital
+                word_begin[odd[of]] += begin - at[of]
+        spread = 30 * (np.minimum(n, 60) // 6) + np.where(one, 10, 10 * distinct // np.minimum(n, 24))
+        word = np.where((n <= 24) & ~one & (kinds & 0xF0 == 0), 0, -1)
+        size = ends - word_begin
+        maybe = np.flatnonzero(~one & (n <= 24) & (size <= self.longest))
+        maybe = maybe[self.edges[self.ALNUM[c[word_begin[maybe]]], self.ALNUM[c[ends[maybe] - 1]], size[maybe]]]
+        if len(maybe):
+            begin, size, code = word_begin[maybe], size[maybe], np.zeros(len(maybe), np.int64)
+            for k in range(int(size.max())):
+                code = np.where(k < size, 37 * code + self.ALNUM[c[np.minimum(begin + k, len(c) - 1)]], code)
+            found = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            right = (self.codes[found] == code) & (self.lengths[found] == size)
+            word[maybe[right]] = self.word_at[found[right]]
+        return s, spread, turns, word
+
+    def _lines(self, text: str, codes: np.ndarray) -> np.ndarray:
+        """Numbers of lines of ``text``, whose lines have the code classes ``codes``."""
+        c = self.bytes_of(text)
+        breaks = np.flatnonzero(c == 10)
+        begins, ends, space = self._tokens(c)
+        if not len(begins):
+            return begins
+        out = [np.searchsorted(breaks, self._loud(c))]
+        s, spread, turns, w = self._describe_tokens(c, begins, ends)
+        m, line = len(begins), np.searchsorted(breaks, begins)
+        out.append(line[(ends - begins > 1) & (c[begins] == 47) & (c[np.minimum(begins + 1, len(c) - 1)] == 47)])
+        glued = np.append(False, ~space[begins[1:] - 1])
+        first = np.append(True, line[1:] != line[:-1])
+        last, n, wide = np.append(first[1:], True), len(self.SHAPES), 2 * len(self.SHAPES) + 1
+        near = 1 + np.append(0, s[:-1]) + n * glued
+        before = wide * s + np.where(first, 0, near)
+        after = wide * s + np.where(last, 0, np.append(1 + s[1:] + n * glued[1:], 0))
+        second = np.where(first | np.append(True, first[:-1]), 0, 1 + np.append([0, 0], s[:-2])[:m])
+        rest = 3 * (n * codes[line] + s) + np.where(glued, 1 + np.append(False, glued[:-1]), 0)
+        # The next word on either side, at most three tokens away and on the same line.
+        place = np.arange(m)
+        known = np.maximum.accumulate(np.where(w >= 0, place, -4))
+        known = np.append(-4, known[:-1])
+        safe = np.maximum(known, 0)
+        left = np.where((place - known <= 3) & (line[safe] == line), w[safe], 0)
+        known = np.minimum.accumulate(np.where(w >= 0, place, m + 3)[::-1])[::-1]
+        known = np.append(known[1:], m + 3)
+        safe = np.minimum(known, m - 1)
+        right = np.where((known - place <= 3) & (line[safe] == line), w[safe], 0)
+        left = len(self.words) * s + left
+        long = np.flatnonzero(ends - begins > 12)
+        key = (c[begins[long]].astype(np.int64) << 16) | (c[begins[long] + 1].astype(np.int64) << 8) | c[begins[long] + 2]
+        named = np.searchsorted(self.starts, key)
+        named = np.where(self.starts[named] == key, named, len(self.starts) - 1)
+
+        def above(y):
+            """How far a tag lies above outside."""
+            x = self.before[y][before] + self.after[y][after]
+            for t, k in ((self.second, second), (self.rest, rest), (self.left, left), (self.right, right), (self.spread, spread), (self.turns, turns)):
+                x += t[y][k]
+            x += self.no_start[y][0]
+            x[long] += self.start[y][named] - self.no_start[y][0]
+            return x
+
+        # The most that a span ending at each token gains over all tokens outside; spans lie within glued runs.
+        trans = np.array(self.fitted[1])
+        gain = above(0) + np.where(first, 0, trans[0, 1] - trans[0, 0])
+        step = place - np.maximum.accumulate(np.where(glued, 0, place))
+        at = np.flatnonzero(glued)
+        if len(at):
+            begin, more = gain.copy(), above(1) + max(trans[1, 2], trans[2, 2]) - trans[0, 0]
+            for k in range(1, self.RUN + 1):
+                here, at = at[step[at] == k], at[step[at] > k]
                 gain[here] = np.maximum(begin[here], gain[here - 1] + more[here])
-            leave = np.where(last, 0, max(trans[1, 0], trans[2, 0]) - trans[0, 0])
-            out.update(line[(gain + leave > -1e-6) | (step >= self.RUN)].tolist())
-        return sorted(out)
+                if not len(at):
+                    break
+        leave = np.where(last, 0, max(trans[1, 0], trans[2, 0]) - trans[0, 0])
+        out.append(line[(gain + leave > -1e-6) | (step >= self.RUN)])
+        return np.unique(np.concatenate(out))
 
 
 _scores: list[Scores] = []
@@ -490,11 +682,18 @@ def _scores_of(fitted) -> Scores:
 
 def field_spans(text: str, fitted=None) -> list[Span]:
     """Spans that the random field tags."""
-    table, code = _scores_of(fitted or model()), code_like(text)
+    return field_spans_of([text], fitted)[0]
+
+
+def field_spans_of(texts: list[str], fitted=None) -> list[list[Span]]:
+    """The same of many texts, whose lines are sorted out together."""
+    table, codes = _scores_of(fitted or model()), [code_like(t) for t in texts]
+    return [_decoded(t, code, numbers, table) if numbers else [] for t, code, numbers in zip(texts, codes, table.lines_of(texts, codes), strict=True)]
+
+
+def _decoded(text: str, code: int, numbers: list[int], table: Scores) -> list[Span]:
+    """Spans of the best path over the lines of these numbers."""
     trans, out = table.fitted[1], []
-    numbers = table.lines(text, code)
-    if not numbers:
-        return out
     ends = [m.start() for m in re.finditer("\n", text)] + [len(text)]
     for number in numbers:
         begin, end = ends[number - 1] + 1 if number else 0, ends[number]
@@ -533,10 +732,14 @@ def field_spans(text: str, fitted=None) -> list[Span]:
 
 def spans(text: str | None, fitted=None) -> list[Span]:
     """All spans, by start and then by kind."""
-    if not text:
-        return []
-    base = base_spans(text)
-    return sorted(base + _beyond(field_spans(text, fitted), base), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return spans_of([text], fitted)[0]
+
+
+def spans_of(texts: list[str | None], fitted=None) -> list[list[Span]]:
+    """The same of many texts."""
+    texts = [t or "" for t in texts]
+    bases = [base_spans(t) for t in texts]
+    return [sorted(base + _beyond(found, base), key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for base, found in zip(bases, field_spans_of(texts, fitted), strict=True)]
 
 
 def _beyond(found: list[Span], base: list[Span]) -> list[Span]:
@@ -554,10 +757,12 @@ def _beyond(found: list[Span], base: list[Span]) -> list[Span]:
 
 def redacted(text: str | None, fitted=None, mark: str = "[SECRET]") -> str | None:
     """The text with each run of overlapping spans replaced by ``mark``; of assignments, the value only."""
-    if not text:
-        return text
+    return _replaced(text, spans(text, fitted), mark)
+
+
+def _replaced(text: str | None, found: list[Span], mark: str = "[SECRET]") -> str | None:
     out, at = [], 0
-    for start, end, kind in spans(text, fitted):
+    for start, end, kind in found:
         if kind == "assign":
             start = ASSIGN.match(text, start).start(2)
         if end <= at:
@@ -577,7 +782,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str | Column] = ("doc_i
 
     def run(batches):
         for b in batches:
-            found = [[{"start": x, "end": y, "kind": k} for x, y, k in spans(t, fitted)] for t in b.column(b.num_columns - 1).to_pylist()]
+            found = [[{"start": x, "end": y, "kind": k} for x, y, k in each] for each in spans_of(b.column(b.num_columns - 1).to_pylist(), fitted)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, kind)], [*b.schema.names[:-1], "found"])
 
     return chosen.mapInArrow(run, schema)
@@ -590,7 +795,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            made = pa.array([redacted(t, fitted) for t in b.column(at).to_pylist()], b.schema.field(at).type)
+            texts = b.column(at).to_pylist()
+            made = pa.array([_replaced(t, found) for t, found in zip(texts, spans_of(texts, fitted), strict=True)], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], made, *b.columns[at + 1 :]], b.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

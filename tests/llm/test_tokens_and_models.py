@@ -352,6 +352,79 @@ def test_viterbi_is_the_best_path():
         assert tuple(secret_scan.viterbi(scores, trans)) == max((p for p in product(range(3), repeat=n) if p[0] != 2), key=cost)
 
 
+def odd_text(r, lines):
+    """Lines of words, digests, symbols, UUIDs and characters beyond ASCII, with odd white space."""
+    import uuid
+
+    sets = ["abcdef", "xyz", "ABCDEF", "XYZ", "0123456789", "+/_.~-", "=", "'\"@:;,(){}<>!#$", " \t\r\x0b\x1c\x85 \xa0", "éßÇǅ漢²½ⓐⅷÀ٣ªʼİſ\U0001f600", "\x00\x7f"]
+    words = [*sorted(secret_scan.WORDS), "password", "apiKey", "the", "Tokens"]
+
+    def token():
+        kind = r.random()
+        if kind < 0.4:
+            return r.choice([str.lower, str.upper, str.title])(r.choice(words)) + r.choice(["", "", "=", "s", "_id", "1"])
+        if kind < 0.45:
+            name = str(uuid.UUID(int=r.getrandbits(128)))
+            return r.choice([name, name.upper(), name[:-1] + "g"])
+        chars = "".join(r.sample(sets, r.randint(1, 4)))
+        return "".join(r.choice(chars) for _ in range(r.choice([1, 2, 3, 5, 8, 13, 26, 70])))
+
+    return "\n".join(r.choice([" ", " ", ""]).join(token() for _ in range(r.randint(0, 12))) for _ in range(lines))
+
+
+def test_arrays_of_characters_agree_with_the_description_of_tokens():
+    r = random.Random(11)
+    table = secret_scan._scores_of(secret_scan.model())
+    for _ in range(400):
+        text = odd_text(r, 4)
+        c = table.bytes_of(text)
+        begins, ends, _ = table._tokens(c)
+        assert list(zip(begins.tolist(), ends.tolist(), strict=True)) == [m.span() for m in secret_scan.TOKEN.finditer(text)]
+        if len(begins):
+            for a, b, s, spread, turns, word in zip(begins, ends, *table._describe_tokens(c, begins, ends), strict=True):
+                shape, n, d, w, digits, _ = secret_scan._own(text[a:b])
+                near = secret_scan.word_of(text[a:b])
+                assert (table.SHAPES[s], spread, turns, word) == (shape, 30 * n + d, 6 * w + digits, -1 if near is None else table.words.index(near)), text[a:b]
+
+
+def test_many_texts_at_once_have_the_best_path_of_each_line(monkeypatch):
+    fitted = secret_scan.model()
+    weights, trans = fitted
+    r = random.Random(12)
+    forms = [x for x, _, _ in held_out_lines(8, 4)]
+    texts = [None, "", "\n", " \n\n", "é", *("\n".join(r.choice([r.choice(forms), odd_text(r, 1), "plain words of a line"]) for _ in range(r.randint(1, 9))) for _ in range(60)), *forms]
+
+    def best(text):
+        out, at, code = [], 0, secret_scan.code_like(text)
+        for line in text.split("\n"):
+            found = list(secret_scan.TOKEN.finditer(line))
+            toks, glued = [m[0] for m in found], [False, *(a.end() == b.start() for a, b in zip(found, found[1:], strict=False))][: len(found)]
+            scores = [secret_scan._sum(secret_scan.features(t, x, code), weights) for t, x in zip(toks, secret_scan.contexts(toks, glued), strict=True)]
+            tags = secret_scan.viterbi([(a, b, c - (0 if g else 50)) for (a, b, c), g in zip(scores, glued, strict=True)], trans) if toks else []
+            for k, tag in enumerate(tags):
+                if tag == 1:
+                    out.append([at + found[k].start(), at + found[k].end(), "crf"])
+                elif tag == 2 and k and tags[k - 1] and out and out[-1][1] == at + found[k - 1].end():
+                    out[-1][1] = at + found[k].end()
+            at += len(line) + 1
+        return [tuple(x) for x in out]
+
+    want = [best(t or "") for t in texts]
+    assert sum(map(len, want)) > 50
+    for size in (1, 300, 1 << 17):
+        monkeypatch.setattr(secret_scan.Scores, "PIECE", size)
+        assert secret_scan.field_spans_of([t or "" for t in texts], fitted) == want
+    assert secret_scan.spans_of(texts, fitted) == [secret_scan.spans(t, fitted) for t in texts]
+
+
+def test_words_never_met_are_not_looked_at_one_by_one(monkeypatch):
+    fitted, r, seen, own = secret_scan.model(), random.Random(13), [], secret_scan._own
+    secret_scan.spans("plain words", fitted)
+    monkeypatch.setattr(secret_scan, "_own", lambda t: seen.append(t) or own(t))
+    text = "\n".join(" ".join("".join(r.choice("abdegilmnorstu") for _ in range(r.randint(3, 9))) + r.choice(["", "", ",", "."]) for _ in range(12)) for _ in range(2000))
+    assert secret_scan.spans(text, fitted) == [] and len(seen) < 1000, len(seen)
+
+
 def test_secret_query_and_redaction(spark):
     import hashlib
 
