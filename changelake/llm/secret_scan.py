@@ -53,7 +53,6 @@ WORDS = frozenset("""blob branch build bundle cache card checksum chunk code col
  guid hash head host id image in index install invoice issue item key layer line load login md5 merge model node object order pack page parent part path phone pid pod
  process product rebase record ref release request rev revision row run sent serial session set sha sha1 sha256 sku span state step sum tag task thread ticket to trace
  transaction tree type url use user uuid value version was with your""".split())
-_SPACED = re.compile(r"(\s*)([A-Za-z0-9+/_.~-]+=*|[^\sA-Za-z0-9+/_.~-])")
 _SEPARATORS = {"=", ":", '"', "'", ">", "(", ","}
 Span = tuple[int, int, str]
 
