@@ -31,6 +31,8 @@ FORMATS = ("json", "csv", "parquet", "avro")
 LAYOUTS = {"hive": ("collection", "year", "month", "day", "hour"), "date_hour": ("collection", "year", "month", "day", "hour"), "date": ("collection", "year", "month", "day"), "collection": ("collection",), "flat": ()}
 #: Documents may hold line ends, quotes, commas and spaces at either end.
 CSV = {"header": True, "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: Rows of a file that can't be split, gzip or CSV over lines, as one task reads it whole; the rebalancing bounds its bytes.
+WHOLE = 100_000
 _PARTS = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
 
 
@@ -55,20 +57,20 @@ def text_rows(events: DataFrame) -> DataFrame:
 def gathered(rows: DataFrame, columns: list[str], spread: int = 8) -> DataFrame:
     """Rows of a layout's partitions brought together, so that each gets few files.
 
-    With adaptive execution the rebalance hint splits a large partition by its
-    bytes.  Micro-batches run without it: there a partition's rows go to ``spread``
-    tasks by a hash, so that one hot collection doesn't end in one task.
+    A partition's rows go to ``spread`` lanes by a hash, so that one hot collection
+    doesn't end in one task.  With adaptive execution the rebalance hint joins small
+    lanes and splits a large one by its bytes, which it can't within one task's rows.
     """
     by = [c for c in columns if c != "epoch"]  # the same for all rows
     if not by:
         return rows
-    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-        return rows.hint("rebalance", *by)
-    return rows.withColumn("__lane", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in by]), F.lit(spread))).repartition(*by, "__lane").drop("__lane")
+    laned = rows.withColumn("__lane", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in by]), F.lit(spread)))
+    adaptive = rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    return (laned.hint("rebalance", *by, "__lane") if adaptive else laned.repartition(*by, "__lane")).drop("__lane")
 
 
 def write(events: DataFrame, path: str, fmt: str = "json", compression: str = "none", layout: str = "hive", time: Column | None = None, epoch: int | None = None, include_update: bool = False, limit: int | None = None) -> None:
-    """Write a batch below ``path``, in files of at most ``limit`` rows; with an epoch, replacing only that epoch's files."""
+    """Write a batch below ``path``, in files of at most ``limit`` rows (``WHOLE`` by default where a file can't be split); with an epoch, replacing only that epoch's files."""
     if fmt not in ("json", "csv", "parquet"):
         raise ConfigurationError(f"Spark cannot write {fmt}; use objects()")
     if compression == "zstd" and fmt != "parquet":
@@ -85,6 +87,8 @@ def write(events: DataFrame, path: str, fmt: str = "json", compression: str = "n
         rows = rows.select(*columns, *flat, *update)
     codec = {"none": "uncompressed" if fmt == "parquet" else "none"}.get(compression, compression)
     out = gathered(rows, columns).write.option("compression", codec)
+    if limit is None and (fmt == "csv" or (fmt == "json" and compression == "gzip")):
+        limit = WHOLE
     if limit:
         out = out.option("maxRecordsPerFile", limit)
     out = out.mode("overwrite" if epoch is not None else "append").option("partitionOverwriteMode", "dynamic")

@@ -490,6 +490,19 @@ def test_a_constant_layout_is_not_one_task(spark, tmp_path):
     assert len(list((tmp_path / "one").rglob("*.parquet"))) > 1
 
 
+@pytest.mark.parametrize(("fmt", "compression"), [("csv", "none"), ("csv", "gzip"), ("json", "gzip")])
+def test_files_that_cannot_be_split_are_bounded(spark, tmp_path, fmt, compression):
+    n = 210_000
+    text = F.concat(F.lit('{\n"k": '), F.col("id"), F.lit("\n}"))
+    events = spark.range(n, numPartitions=2).select(F.lit("insert").alias("operation"), F.lit("db").alias("database"), F.lit("users").alias("collection"), F.col("id").cast("string").alias("document_key"), text.alias("full_document"), F.lit(None).cast(schema.UPDATE).alias("update_description"), F.lit(datetime(2025, 1, 1)).alias("cluster_time"), F.col("id").cast("string").alias("resume_token"))
+    path = str(tmp_path / "o")
+    files.write(events, path, fmt, compression, layout="collection")
+    back = files.read(spark, path, fmt)
+    sizes = [r["count"] for r in back.groupBy(F.input_file_name().alias("file")).count().collect()]
+    assert max(sizes) <= 100_000 and sum(sizes) == n
+    assert back.select("resume_token", F.get_json_object("full_document", "$.k").alias("k")).where("k = resume_token").distinct().count() == n
+
+
 def test_avro_rows_by_expressions(spark):
     long = "é" * 5000
     rows = [("insert", "", "c", "t", None, long, "x"), ("a" * 63, "b" * 64, "c" * 8191, "d" * 8192, "k", None, "")]
