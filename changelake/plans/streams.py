@@ -22,11 +22,17 @@ from changelake.streaming.pipeline import Pipeline, Workers
 from changelake.streaming.stores import MemoryStore
 
 
+#: Events of a published file at most, about, which bounds the task that sorts and writes it.
+FILE = 250_000
+
+
 def publish(spark, sf_dir, path, files=4, log=None):
-    """The change log as JSON lines, in some files ordered by sequence."""
+    """The change log as JSON lines, in files ordered by sequence: ``files``, or a multiple of it for a large log, which is returned."""
     log = changelog(spark, sf_dir) if log is None else log
+    times = max(1, -(-log.count() // (files * FILE)))
     line = F.concat(F.regexp_replace(E.json_line(), r"\}$", ""), F.lit(',"seq":'), F.col("event_id").cast("string"), F.lit("}"))
-    log.repartitionByRange(files, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    log.repartitionByRange(files * times, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    return times
 
 
 def _config(**options):
@@ -41,18 +47,18 @@ def _read(spark, path):
     return _flat(read(spark, path, "parquet"))
 
 
-def _replay(spark, path, source=ReplaySource, **options):
-    """The published log by the replay source: files in the order of their names, one a micro-batch."""
+def _replay(spark, path, source=ReplaySource, max_files=1, **options):
+    """The published log by the replay source: files in the order of their names, ``max_files`` a micro-batch."""
     spark.dataSource.register(source)
-    return spark.readStream.format(source.name()).options(path=path, suffix=".txt", level="deployment", max_files=1, **options).load()
+    return spark.readStream.format(source.name()).options(path=path, suffix=".txt", level="deployment", max_files=max_files, **options).load()
 
 
 @query(CHG + COMPACT_SQL)
 def q_stream_replay_pipeline(spark, sf_dir):
     root = workspace(spark)
-    publish(spark, sf_dir, f"{root}/log")
+    times = publish(spark, sf_dir, f"{root}/log")
     sink = FileDestination(f"{root}/out", "parquet", layout="collection")
-    Pipeline(_config(), watch(spark, f"{root}/log", max_files=1), sink, MemoryStore(), f"{root}/checkpoint").run_once()
+    Pipeline(_config(), watch(spark, f"{root}/log", max_files=times), sink, MemoryStore(), f"{root}/checkpoint").run_once()
     return _read(spark, f"{root}/out")
 
 
@@ -68,15 +74,15 @@ class FailsOnce(FileDestination):
 @query(CHG + COMPACT_SQL)
 def q_stream_restart(spark, sf_dir):
     root = workspace(spark)
-    publish(spark, sf_dir, f"{root}/log")
+    times = publish(spark, sf_dir, f"{root}/log")
     store = MemoryStore()
     try:
-        Pipeline(_config(), watch(spark, f"{root}/log", max_files=1), FailsOnce(f"{root}/out", "parquet", layout="collection"), store, f"{root}/checkpoint").run_once()
+        Pipeline(_config(), watch(spark, f"{root}/log", max_files=times), FailsOnce(f"{root}/out", "parquet", layout="collection"), store, f"{root}/checkpoint").run_once()
     except Exception as e:
         if "connection lost" not in str(e):
             raise
     sink = FileDestination(f"{root}/out", "parquet", layout="collection")
-    Pipeline(_config(), watch(spark, f"{root}/log", max_files=1), sink, store, f"{root}/checkpoint").run_once()
+    Pipeline(_config(), watch(spark, f"{root}/log", max_files=times), sink, store, f"{root}/checkpoint").run_once()
     return _read(spark, f"{root}/out")
 
 
@@ -105,11 +111,11 @@ _objects("json", "gzip", "flat", COMPACT_SQL)
 def q_stream_resume(spark, sf_dir):
     """The replay source from a token in the middle of a file on."""
     root, log = workspace(spark), changelog(spark, sf_dir)
-    publish(spark, sf_dir, f"{root}/log", log=log)
+    times = publish(spark, sf_dir, f"{root}/log", log=log)
     third = log.count() // 3
     token = log.where(F.col("event_id") == third).first()["resume_token"]
     sink = FileDestination(f"{root}/out", "parquet", layout="collection")
-    Pipeline(_config(), _replay(spark, f"{root}/log", resume_after=token), sink, MemoryStore(), f"{root}/checkpoint").run_once()
+    Pipeline(_config(), _replay(spark, f"{root}/log", max_files=times, resume_after=token), sink, MemoryStore(), f"{root}/checkpoint").run_once()
     return read(spark, f"{root}/out").select(token_sequence(F.col("resume_token")).alias("event_id"), "collection")
 
 
@@ -117,10 +123,10 @@ def q_stream_resume(spark, sf_dir):
 def q_stream_invalidate(spark, sf_dir):
     """Watched collections end at their first invalidate, over several micro-batches."""
     root = workspace(spark)
-    publish(spark, sf_dir, f"{root}/log")
+    times = publish(spark, sf_dir, f"{root}/log")
     sink = FileDestination(f"{root}/out", "parquet", layout="collection")
     config = _config(watch_level=WatchLevel("collection", ("users", "orders")))
-    Pipeline(config, _replay(spark, f"{root}/log"), sink, MemoryStore(), f"{root}/checkpoint").run_once()
+    Pipeline(config, _replay(spark, f"{root}/log", max_files=times), sink, MemoryStore(), f"{root}/checkpoint").run_once()
     return read(spark, f"{root}/out").select(token_sequence(F.col("resume_token")).alias("event_id"), "collection")
 
 
@@ -135,9 +141,9 @@ def q_stream_images(spark, sf_dir):
     """Updates without documents get the last version, and all events the one before, from the stream's state."""
     root = workspace(spark)
     bare = changelog(spark, sf_dir).withColumn("full_document", F.when(F.col("operation") != "update", F.col("full_document"))).withColumn("update_description", F.lit(None).cast(schema.UPDATE))
-    publish(spark, sf_dir, f"{root}/log", log=bare)
+    times = publish(spark, sf_dir, f"{root}/log", log=bare)
     config = _config(stream=StreamConfig(images="state", full_document_before_change=True))
-    events = Pipeline(config, _replay(spark, f"{root}/log"), FileDestination(f"{root}/unused"), MemoryStore(), f"{root}/checkpoint").events()
+    events = Pipeline(config, _replay(spark, f"{root}/log", max_files=times), FileDestination(f"{root}/unused"), MemoryStore(), f"{root}/checkpoint").events()
     events.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     k = lambda c: F.get_json_object(c, "$.k").cast("long")
     out = spark.read.schema("seq long, document_key string, full_document string, full_document_before_change string").parquet(f"{root}/out")
@@ -180,10 +186,10 @@ class FlakySource(ReplaySource):
 def q_stream_reconnect(spark, sf_dir):
     """A source that fails once for every file; the stream opens again from its checkpoint."""
     root = workspace(spark)
-    publish(spark, sf_dir, f"{root}/log")
+    times = publish(spark, sf_dir, f"{root}/log")
     sink = FileDestination(f"{root}/out", "parquet", layout="collection")
     config = _config(stream=StreamConfig(initial_backoff=0.01, max_reconnect_attempts=20))
-    Pipeline(config, _replay(spark, f"{root}/log", FlakySource), sink, MemoryStore(), f"{root}/checkpoint").run_once()
+    Pipeline(config, _replay(spark, f"{root}/log", FlakySource, max_files=times), sink, MemoryStore(), f"{root}/checkpoint").run_once()
     return _read(spark, f"{root}/out")
 
 
@@ -234,9 +240,9 @@ def q_x_session(spark, sf_dir):
 def q_x_dedup_watermark(spark, sf_dir):
     """The log published twice, deduplicated by token within a watermark, as a stream."""
     root = workspace(spark)
-    publish(spark, sf_dir, f"{root}/log/a", 2)
+    times = publish(spark, sf_dir, f"{root}/log/a", 2)
     publish(spark, sf_dir, f"{root}/log/b", 2)
-    raw = watch(spark, f"{root}/log/*", max_files=8).select("_id", "ns", "clusterTime")
+    raw = watch(spark, f"{root}/log/*", max_files=8 * times).select("_id", "ns", "clusterTime")
     once = raw.withWatermark("clusterTime", "400 days").dropDuplicatesWithinWatermark(["_id"])
     out = once.select(F.col("_id").alias("resume_token"), F.col("ns.collection").alias("collection"))
     out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -534,3 +534,23 @@ def test_drained_stop_and_workers_wait_for_a_lease(spark, tmp_path):
     workers.stop()
     assert not workers.errors and {c: len(s.rows) for c, s in sinks.items()} == {"users": 6, "orders": 6} and store.keys() == ["resume_token:db:orders", "resume_token:db:users"]
     assert not store.is_locked("changelake:lock:db:users")
+
+
+def test_a_larger_log_is_published_in_more_files(spark, tmp_path, monkeypatch):
+    from changelake.plans import streams
+    from tests.compare import DATA
+
+    monkeypatch.setattr(streams, "FILE", 100, raising=False)
+    times = streams.publish(spark, DATA, str(tmp_path / "log"), 2)
+    parts = [[json.loads(line)["seq"] for line in p.read_text().splitlines()] for p in sorted((tmp_path / "log").glob("*.txt"))]
+    assert max(map(len, parts)) <= 200 and times == 5 and sum(parts, []) == list(range(1000))
+
+
+@pytest.mark.parametrize("name", ["q_x_dedup_watermark", "q_stream_images", "q_stream_restart", "q_stream_resume", "q_stream_reconnect"])
+def test_streams_over_a_log_in_more_files(spark, monkeypatch, name):
+    from changelake.plans import streams
+    from changelake.plans.catalogue import ORACLES, QUERIES
+    from tests.compare import DATA, oracle, rows
+
+    monkeypatch.setattr(streams, "FILE", 100, raising=False)
+    assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(oracle(ORACLES[name]))
