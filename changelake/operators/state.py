@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from changelake import schema
 
+#: Groups in which events without a document key pass by.
+LANES = 256
+
 
 def dedup_by_key(events: DataFrame, key: str = "document_key", order: str = "event_id") -> DataFrame:
     """The first event of each key; all events without a key.
@@ -47,16 +50,22 @@ def images(events: DataFrame, lookup: bool = True, before: bool = False, order:
     ``before`` adds full_document_before_change.  The last version of each document
     is the query's state, in Spark's state store; a delete clears it.  Events of a
     document in one micro-batch meet in one task, so the source's admission limit
-    bounds them.  Events without a document key pass as they are.
+    bounds them.  Events without a document key pass as they are, many in a group.
     """
     shape = T.StructType([f for f in events.schema.fields if f.name != "update_description"])
     if before:
         shape = T.StructType([*shape.fields, T.StructField("full_document_before_change", T.StringType())])
     wire = T.StructType([*shape.fields, T.StructField("update_description", T.StringType())])
-    by = {f"__{c}": F.coalesce(c, F.lit("")) for c in keys} | {"__alone": F.when(F.col("document_key").isNull(), F.col("resume_token")).otherwise("")}
-
-    def run(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+    by = {f"__{c}": F.coalesce(c, F.lit("")) for c in keys} | {"__alone": F.when(F.col("document_key").isNull(), F.pmod(F.xxhash64("resume_token"), F.lit(LANES)).cast("string")).otherwise("")}
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if key[-1]:
+            for rows in frames:
+                yield (rows.assign(full_document_before_change=None) if before else rows)[wire.names]
+            return
+        rows = pd.concat(list(frames))
+        if not rows[order].is_monotonic_increasing:
+            rows = rows.sort_values(order, kind="stable")
         last = state.get[0] if state.exists else None
         filled, earlier = [], []
         for operation, document in zip(rows["operation"], rows["full_document"], strict=True):
@@ -67,12 +76,11 @@ def images(events: DataFrame, lookup: bool = True, before: bool = False, order:
             elif document is not None:
                 last = document
             filled.append(last if lookup and operation == "update" and document is None else document)
-        if rows["document_key"].notna().any():
-            if last is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((last,))
+        if last is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last,))
         rows = rows.assign(full_document=filled, **({"full_document_before_change": earlier} if before else {}))
         yield rows[wire.names]
 

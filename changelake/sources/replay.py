@@ -11,13 +11,14 @@
   that no line has is an error;
 - ``broken``: what becomes of lines that are no event, ``skip`` or ``fail``.
 
-An offset is a file's number and a line in it.  Files are partitions, so executors
-read them in parallel, and a replayed epoch reads the same lines.  A read that
+An offset is a file's number and a line in it.  Parts of files are partitions, so
+executors read them in parallel, and a replayed epoch reads the same lines.  A read that
 fails for the file system's sake is a ``SourceError`` that allows a reconnect.
 """
 
 from __future__ import annotations
 
+import io
 import itertools
 import json
 import os
@@ -31,6 +32,8 @@ RAW = """operationType string, ns struct<database: string, collection: string>,
 updateDescription struct<updatedFields: string, removedFields: array<string>, truncatedArrays: array<struct<field: string, newSize: bigint>>>,
 clusterTime timestamp, _id string, seq bigint"""
 LEVELS = ("collection", "database", "deployment")
+#: Bytes of a file's part that one task reads.
+PART = 16 << 20
 
 
 class SourceError(RuntimeError):
@@ -41,10 +44,28 @@ class SourceError(RuntimeError):
 
 
 class Files(InputPartition):
-    """The lines of a file from ``start`` on, and before ``end`` where it is set."""
+    """The lines of a file from ``start`` on, of those that begin in the bytes from ``first`` on and before ``last`` where it is set."""
 
-    def __init__(self, path: str, start: int = 0, end: int | None = None):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int = 0, first: int = 0, last: int | None = None):
+        self.path, self.start, self.first, self.last = path, start, first, last
+
+
+def parts(path: str, start: int = 0) -> list[Files]:
+    """A file in parts of ``PART`` bytes; whole where lines are passed over, as their bytes aren't known."""
+    try:
+        size = os.path.getsize(path)
+    except OSError:  # told by the task that reads it
+        size = 0
+    cuts = [] if start else range(PART, size, PART)
+    return [Files(path, start, first, last) for first, last in zip([0, *cuts], [*cuts, None], strict=True)]
+
+
+def _begin(file: io.BufferedReader, at: int) -> int:
+    """Where the first line begins that does so at a byte or behind it."""
+    if at:
+        file.seek(at - 1)
+        file.readline()
+    return file.tell() if at else 0
 
 
 def _document(value) -> str | None:
@@ -93,21 +114,35 @@ class _Reader:
 
     def rows(self, partition: Files) -> Iterator[tuple]:
         try:
-            with open(partition.path, encoding="utf-8") as lines:
-                for n, line in enumerate(itertools.islice(lines, partition.start, partition.end), partition.start):
+            with open(partition.path, "rb") as file:
+                first = _begin(file, partition.first)
+                if partition.last is None:
+                    file.seek(first)
+                    lines = io.TextIOWrapper(file, encoding="utf-8")
+                else:
+                    size = _begin(file, partition.last) - first
+                    file.seek(first)
+                    lines = io.TextIOWrapper(io.BytesIO(file.read(size)), encoding="utf-8")
+                for n, line in enumerate(itertools.islice(lines, partition.start, None), partition.start):
                     row = parse(line)
                     if row is None:
                         if self.broken == "fail":
-                            raise SourceError(f"{partition.path}, line {n + 1}: no event", "conversion")
+                            raise SourceError(f"{partition.path}, line {self._lines(partition.path, first) + n + 1}: no event", "conversion")
                     elif wanted(row, self.level, self.database, self.collections):
                         yield row
         except OSError as e:
             raise SourceError(f"{partition.path}: {e}", labels=("NetworkError",)) from e
 
+    @staticmethod
+    def _lines(path: str, end: int) -> int:
+        """The lines of a file before a byte."""
+        with open(path, "rb") as file:
+            return sum(1 for _ in io.TextIOWrapper(io.BytesIO(file.read(end)), encoding="utf-8"))
+
 
 class ReplayBatch(_Reader, DataSourceReader):
     def partitions(self):
-        return [Files(f) for f in self.files()]
+        return [p for f in self.files() for p in parts(f)]
 
     def read(self, partition):
         return self.rows(partition)
@@ -140,7 +175,7 @@ class ReplayStream(_Reader, DataSourceStreamReader):
     def partitions(self, start, end):
         self.reached = max(self.reached or 0, end["file"])
         files, first = self.files(), start["file"]
-        return [Files(files[i], start.get("line", 0) if i == first else 0) for i in range(first, min(end["file"], len(files)))]
+        return [p for i in range(first, min(end["file"], len(files))) for p in parts(files[i], start.get("line", 0) if i == first else 0)]
 
     def read(self, partition):
         return self.rows(partition)

@@ -554,3 +554,22 @@ def test_streams_over_a_log_in_more_files(spark, monkeypatch, name):
 
     monkeypatch.setattr(streams, "FILE", 100, raising=False)
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(oracle(ORACLES[name]))
+
+
+def test_replay_reads_parts_of_a_file(tmp_path, monkeypatch):
+    from changelake.sources import replay
+
+    texts = [f'{{"_id":"é{i}","seq":{i},"fullDocument":"{"x" * (i % 7 * 9)}"}}' for i in range(50)]
+    path = tmp_path / "a.jsonl"
+    path.write_text("\n".join([*texts[:20], "no event", *texts[20:]]), newline="")
+    for size in (1, 7, 64, 500, 10**6):
+        monkeypatch.setattr(replay, "PART", size, raising=False)
+        reader = ReplaySource({"path": str(tmp_path), "level": "deployment"}).streamReader(None)
+        planned = reader.partitions({"file": 0, "line": 0}, {"file": 1, "line": 0})
+        assert (len(planned) > 1) == (size < 1000)
+        assert [r[-1] for p in planned for r in reader.read(p)] == list(range(50))
+        strict = ReplaySource({"path": str(tmp_path), "level": "deployment", "broken": "fail"}).reader(None)
+        with pytest.raises(replay.SourceError, match="line 21"):
+            [r for p in strict.partitions() for r in strict.read(p)]
+    behind = reader.partitions({"file": 0, "line": 30}, {"file": 1, "line": 0})
+    assert [r[-1] for p in behind for r in reader.read(p)] == list(range(29, 50))
